@@ -4,10 +4,18 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loomwright.llm import encode, leakage
+from loomwright.llm import encode, leakage, lookalike
 from loomwright.session import table
 
 
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lookalike.same_reading_pairs(table(spark, sf_dir, "policies"), "record_id", "title")
+
+
+def p1_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lookalike.canonical_texts(table(spark, sf_dir, "policies"), "title")
+
+
 def p7_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode.encode_corpus(table(spark, sf_dir, "documents"))
 
@@ -17,6 +25,8 @@ def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "p1_found": p1_found,
+    "p1_forms": p1_forms,
     "p7_ids": p7_ids,
     "p8_found": p8_found,
 }
