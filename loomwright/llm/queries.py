@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loomwright.llm import encode, leakage, lookalike
+from loomwright.llm import encode, leakage, lookalike, residue
 from loomwright.session import table
 
 
@@ -24,11 +24,21 @@ def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leakage.leaking_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
 
 
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return residue.residue(table(spark, sf_dir, "documents")).select("doc_id")
+
+
+def p9_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return residue.residue(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "p1_found": p1_found,
     "p1_forms": p1_forms,
     "p7_ids": p7_ids,
     "p8_found": p8_found,
+    "p9_found": p9_found,
+    "p9_kinds": p9_kinds,
 }
 
 SQL: dict[str, str] = {}
