@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from loomwright.llm import encode, leakage, lookalike, residue
+from loomwright.llm import bisect, encode, leakage, lookalike, residue, survivor
 from loomwright.session import table
 
 
@@ -16,6 +17,25 @@ def p1_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lookalike.canonical_texts(table(spark, sf_dir, "policies"), "title")
 
 
+def p2_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bisect.split_items(bisect.policy_items(table(spark, sf_dir, "policies")), ["record_id", "attachment_no"], "text")
+
+
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    # an item was too long if it came out in more than one piece
+    return p2_pieces(spark, sf_dir).where("piece_no = 2").select("record_id", "attachment_no")
+
+
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    best = survivor.best_rows(table(spark, sf_dir, "policies"), table(spark, sf_dir, "analyses"))
+    none = F.lit(0).cast("long")
+    return best.select("id", F.coalesce("text", none).alias("text_record_id"), F.coalesce("date", none).alias("date_record_id"), F.coalesce("analysis", none).alias("analysis_no"))
+
+
+def p4_survivors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return survivor.survivors(table(spark, sf_dir, "policies"), table(spark, sf_dir, "analyses"))
+
+
 def p7_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode.encode_corpus(table(spark, sf_dir, "documents"))
 
@@ -35,10 +55,39 @@ def p9_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "p1_found": p1_found,
     "p1_forms": p1_forms,
+    "p2_found": p2_found,
+    "p2_pieces": p2_pieces,
+    "p4_found": p4_found,
+    "p4_survivors": p4_survivors,
     "p7_ids": p7_ids,
     "p8_found": p8_found,
     "p9_found": p9_found,
     "p9_kinds": p9_kinds,
 }
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {
+    "p2_found": """
+        SELECT record_id, 0::BIGINT AS attachment_no FROM policies WHERE length(content_text) > 2000
+        UNION ALL
+        SELECT record_id, n FROM (
+            SELECT record_id, unnest(range(1, len(attachments) + 1)) AS n, unnest(attachments).text AS text FROM policies
+        ) WHERE length(text) > 2000
+    """,
+    "p4_found": r"""
+        WITH several AS (SELECT id FROM policies WHERE id IS NOT NULL GROUP BY id HAVING count(*) >= 2),
+        p AS (SELECT *, try_cast(last_checked_at AS TIMESTAMPTZ) AS checked,
+                     length(regexp_replace(coalesce(content_text, ''), '[\s\x{85}\x{0b}\p{Z}]', '', 'g')) AS chars FROM policies),
+        t AS (SELECT id, record_id FROM p QUALIFY row_number() OVER (PARTITION BY id ORDER BY
+                CASE content_status WHEN 'complete' THEN 0 WHEN 'partial' THEN 1 WHEN 'image_only' THEN 2 WHEN 'failed' THEN 3 ELSE 4 END,
+                chars DESC, checked DESC NULLS LAST, record_id) = 1),
+        d AS (SELECT id, record_id FROM p
+              WHERE regexp_full_match(publish_date, '[0-9]{4}-[0-9]{2}-[0-9]{2}') AND try_cast(publish_date AS DATE) IS NOT NULL AND publish_date >= '0001'
+              QUALIFY row_number() OVER (PARTITION BY id ORDER BY checked DESC NULLS LAST, record_id) = 1),
+        a AS (SELECT id, analysis_no FROM analyses QUALIFY row_number() OVER (PARTITION BY id ORDER BY
+                CASE WHEN status = 'complete' AND interpretation IS NOT NULL THEN 0 WHEN status = 'irrelevant' THEN 1
+                     WHEN status = 'pending_review' THEN 2 WHEN status = 'pending' THEN 3 ELSE 4 END,
+                try_cast(analyzed_at AS TIMESTAMPTZ) DESC NULLS LAST, analysis_no) = 1)
+        SELECT s.id, t.record_id AS text_record_id, coalesce(d.record_id, 0) AS date_record_id, coalesce(a.analysis_no, 0) AS analysis_no
+        FROM several s JOIN t USING (id) LEFT JOIN d USING (id) LEFT JOIN a USING (id)
+    """,
+}
