@@ -65,10 +65,15 @@ def session(cpus: int | None = None, **conf: str) -> SparkSession:
     return builder.getOrCreate()
 
 
-#: Unicode white space as Python's ``str.isspace`` and ``\\s`` see it, for Java character classes.
-WHITE = r"[\s\u001c-\u001f\u0085   -     　]"
+#: The characters with Unicode's property White_Space, as a Java character class.
+WHITE = r"[\t-\r \x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 
 
 def no_white(col):
     """The text without any Unicode white space."""
-    return F.regexp_replace(col, WHITE, "")
+    return F.regexp_replace(col, WHITE + "+", "")
+
+
+def instant(col):
+    """An ISO 8601 string with an offset as a timestamp; null where it is none."""
+    return F.try_to_timestamp(col)
