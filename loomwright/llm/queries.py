@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomwright.llm import bisect, encode, leakage, lookalike, residue, survivor
+from loomwright.llm import bisect, encode, leakage, lookalike, nearcopy, residue, survivor
 from loomwright.session import table
 
 
@@ -36,6 +36,14 @@ def p4_survivors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return survivor.survivors(table(spark, sf_dir, "policies"), table(spark, sf_dir, "analyses"))
 
 
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearcopy.similar_pairs(table(spark, sf_dir, "policies"), "record_id", "id", "title", "content_text")
+
+
+def p6_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearcopy.classes(table(spark, sf_dir, "policies"), "record_id", "id", "title", "content_text")
+
+
 def p7_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode.encode_corpus(table(spark, sf_dir, "documents"))
 
@@ -59,6 +67,8 @@ QUERIES = {
     "p2_pieces": p2_pieces,
     "p4_found": p4_found,
     "p4_survivors": p4_survivors,
+    "p6_found": p6_found,
+    "p6_classes": p6_classes,
     "p7_ids": p7_ids,
     "p8_found": p8_found,
     "p9_found": p9_found,
