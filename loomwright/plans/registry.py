@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-SQL: dict[str, str] = {}
+from loomwright.plans import incremental
+
+QUERIES: dict = {**incremental.QUERIES}
+SQL: dict[str, str] = {**incremental.SQL}
