@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomwright.llm import bisect, encode, leakage, lookalike, nearcopy, residue, survivor
+from loomwright.llm import bisect, boilerplate, encode, leakage, lookalike, nearcopy, residue, survivor
 from loomwright.session import table
 
 
@@ -26,6 +26,14 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p2_pieces(spark, sf_dir).where("piece_no = 2").select("record_id", "attachment_no")
 
 
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return boilerplate.site_lines(table(spark, sf_dir, "policies"), "record_id", "id", "url", "content_text")
+
+
+def p3_bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return boilerplate.bodies(table(spark, sf_dir, "policies"), "record_id", "id", "url", "content_text")
+
+
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     best = survivor.best_rows(table(spark, sf_dir, "policies"), table(spark, sf_dir, "analyses"))
     none = F.lit(0).cast("long")
@@ -65,6 +73,8 @@ QUERIES = {
     "p1_forms": p1_forms,
     "p2_found": p2_found,
     "p2_pieces": p2_pieces,
+    "p3_found": p3_found,
+    "p3_bodies": p3_bodies,
     "p4_found": p4_found,
     "p4_survivors": p4_survivors,
     "p6_found": p6_found,
