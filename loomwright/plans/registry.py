@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from loomwright.plans import incremental
+from loomwright.plans import incremental, records
 
-QUERIES: dict = {**incremental.QUERIES}
-SQL: dict[str, str] = {**incremental.SQL}
+QUERIES: dict = {**incremental.QUERIES, **records.QUERIES}
+SQL: dict[str, str] = {**incremental.SQL, **records.SQL}
