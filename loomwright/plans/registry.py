@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from loomwright.plans import incremental, records
+from loomwright.plans import extensions, flows, incremental, measures, records, streams
 
-QUERIES: dict = {**incremental.QUERIES, **records.QUERIES}
-SQL: dict[str, str] = {**incremental.SQL, **records.SQL}
+_MODULES = (incremental, records, flows, measures, extensions, streams)
+QUERIES: dict = {name: query for module in _MODULES for name, query in module.QUERIES.items()}
+SQL: dict[str, str] = {name: sql for module in _MODULES for name, sql in module.SQL.items()}
