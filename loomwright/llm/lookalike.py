@@ -152,7 +152,7 @@ def canonical_texts(texts: DataFrame, column: str) -> DataFrame:
     """(text, form): every distinct non-null text and the form by which it compares."""
     spark = texts.sparkSession
     distinct = texts.select(F.col(column).alias("text")).where(F.col("text").isNotNull()).distinct()
-    points = distinct.select("text", F.posexplode(F.split("text", "")).alias("at", "c"))
+    points = distinct.select("text", F.posexplode_outer(F.regexp_extract_all("text", F.lit("(?s)."), F.lit(0))).alias("at", "c"))
     mapped = points.join(F.broadcast(map_table(spark)), "c", "left")
     plain = F.array(F.struct(F.col("c").alias("c"), F.lit(0).alias("k")))
     rebuilt = mapped.groupBy("text").agg(
