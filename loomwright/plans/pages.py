@@ -28,7 +28,7 @@ def _pages(spark, d):
 
 def html_articles(spark, d):
     read = html.read_articles(_pages(spark, d))
-    return read.select(F.regexp_extract("url", "([0-9]+)$", 1).cast("long").alias("record_id"), "title", F.sha2("content_text", 256).alias("body"), F.size("attachments").cast("long").alias("files"), "error")
+    return read.select(F.regexp_extract("url", "([0-9]+)$", 1).cast("long").alias("record_id"), "title", F.sha2("content_text", 256).alias("body"), "error")
 
 
 def html_lists(spark, d):
@@ -64,6 +64,10 @@ QUERIES = {f.__name__: f for f in (html_articles, html_lists, json_store, json_l
 
 _SP = r"[\s\x0b\x1c-\x1f\x{85}\p{Z}]"
 SQL = {
+    "html_articles": rf"""
+        SELECT record_id, trim(regexp_replace(coalesce(title, ''), '{_SP}+', ' ', 'g')) AS title, sha256(array_to_string(list_filter(list_transform(
+            string_split_regex(content_text, '[\n\r\x0b\x0c\x1c-\x1e\x{{85}}\x{{2028}}\x{{2029}}]'), lambda l: trim(regexp_replace(l, '{_SP}+', ' ', 'g'))), lambda l: l <> ''), chr(10))) AS body, NULL::VARCHAR AS error
+        FROM policies WHERE length(trim(content_text)) > 0""",
     "html_lists": r"""
         SELECT record_id, t AS title, list_date FROM (SELECT record_id, list_date, regexp_replace(coalesce(title, ''), '[^一-龥A-Za-z]', '', 'g') AS t FROM policies WHERE list_date IS NOT NULL AND url IS NOT NULL AND column_id IS NOT NULL)
         WHERE length(t) >= 9 AND regexp_matches(list_date, '(20[0-9]{2})[-年/.]([0-9]{1,2})[-月/.]([0-9]{1,2})日?')""",
