@@ -107,7 +107,7 @@ def file_text(data: bytes, detected: str) -> tuple[str, str, str | None]:
 
 
 def read_files(files: DataFrame, path: str = "path", content: str = "content") -> DataFrame:
-    """Rows of the ``binaryFile`` source to (path, detected, status, text, error); a bad file is a row, never a failure."""
+    """Rows of the ``binaryFile`` source to (path, detected, status, text, error); a bad file is a row, never a failure. The source itself gives no row for a file of no bytes."""
     def run(frames):
         import pandas as pd
 
