@@ -86,6 +86,14 @@ QUERIES = {
 }
 
 SQL: dict[str, str] = {
+    "p6_found": r"""
+        WITH d AS (SELECT record_id, id, regexp_replace(coalesce(title, '') || content_text, '[\s\x{85}\x{0b}\p{Z}]', '', 'g') AS t
+                   FROM policies WHERE length(regexp_replace(content_text, '[\s\x{85}\x{0b}\p{Z}]', '', 'g')) >= 300),
+        w AS (SELECT DISTINCT record_id, id, t[i:i + 4] AS w FROM (SELECT record_id, id, t, unnest(range(1, length(t) - 3)) AS i FROM d)),
+        n AS (SELECT record_id, count(*) AS n FROM w GROUP BY 1),
+        c AS (SELECT a.record_id AS x, b.record_id AS y, count(*) AS k FROM w a JOIN w b ON a.w = b.w AND a.record_id < b.record_id AND a.id <> b.id GROUP BY ALL)
+        SELECT x AS record_id_a, y AS record_id_b FROM c JOIN n p ON p.record_id = x JOIN n q ON q.record_id = y WHERE 5 * k >= 3 * (p.n + q.n - k)
+    """,
     "p2_found": """
         SELECT record_id, 0::BIGINT AS attachment_no FROM policies WHERE length(content_text) > 2000
         UNION ALL
