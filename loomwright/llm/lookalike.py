@@ -22,6 +22,8 @@ from functools import lru_cache
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from loomwright.session import materialise
+
 # Letters that look like the Latin letter (or sign) below them.
 LOOK_ALIKES = {
     "A": "ΑАᎪ", "B": "ΒВᏴ", "C": "СᏟϹ", "D": "Ꭰ", "E": "ΕЕᎬ", "F": "Ϝ", "G": "ԌᏀ", "H": "ΗНᎻ", "I": "ΙІӀ", "J": "ЈᎫͿ", "K": "ΚКᏦ",
@@ -169,11 +171,9 @@ def same_reading_pairs(rows: DataFrame, id_col: str, column: str) -> DataFrame:
     Works on distinct texts: only forms shared by several texts go on, those texts are paired, and
     the pairs are expanded to rows last, so that copies of one text are never paired.
     """
-    from loomwright.session import materialise
-
-    forms = canonical_texts(rows, column)
-    groups = forms.groupBy("form").agg(F.collect_set("text").alias("texts")).where(F.size("texts") > 1)
-    groups = materialise(groups.select("form", F.explode("texts").alias("text")), "forms")
+    forms = materialise(canonical_texts(rows, column), "forms")
+    shared = forms.groupBy("form").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 1).select("form")
+    groups = forms.join(shared, "form", "left_semi")
     pairs = groups.alias("a").join(groups.alias("b"), (F.col("a.form") == F.col("b.form")) & (F.col("a.text") < F.col("b.text"))).select(F.col("a.text").alias("left"), F.col("b.text").alias("right"))
     owners = rows.select(F.col(id_col).alias("id"), F.col(column).alias("text"))
     found = pairs.join(owners.select(F.col("id").alias("l"), F.col("text").alias("left")), "left").join(owners.select(F.col("id").alias("r"), F.col("text").alias("right")), "right")
