@@ -31,10 +31,11 @@ def _order():
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     runs = table(spark, sf_dir, "runs")
     collected = incremental.changes_by_run(table(spark, sf_dir, "policy_checks"), incremental.succeeded_runs(runs, "collect"), "id", "arrived_at", _order(), ["content_hash", "attachments_hash"], _not_failed())
-    pending = runs.where((F.col("kind") == "analyse") & (F.col("status") == "pending")).select("run_id").distinct()
+    # the run log has few pending runs; each takes every wanted id
+    pending = sorted({r["run_id"] for r in runs.where((F.col("kind") == "analyse") & (F.col("status") == "pending")).select("run_id").collect()})
     wanted = to_analyse(table(spark, sf_dir, "policies"), table(spark, sf_dir, "analyses"))
-    # a run log has few pending runs; each takes every wanted id
-    return collected.unionByName(wanted.join(F.broadcast(pending), F.lit(True)).select("run_id", "id"))
+    names = F.array(*[F.lit(r) for r in pending]) if pending else F.array().cast("array<string>")
+    return collected.unionByName(wanted.select(F.explode(names).alias("run_id"), "id"))
 
 
 def p5_state(spark: SparkSession, sf_dir: str) -> DataFrame:
