@@ -145,12 +145,30 @@ class BlockEncoder:
 
     def encode(self, texts: list[str]):
         """(offsets, ids): the ids of text i are ids[offsets[i]:offsets[i + 1]]."""
+        return self.encode_words(texts, [self.words.findall(text) for text in texts])
+
+    def encode_long(self, text: str, chars: int = BLOCK_CHARS):
+        """The same of one long text, worked on in runs of whole words of about ``chars`` characters."""
+        import numpy as np
+
+        done, run, size = [], [], 0
+        for word in self.words.finditer(text):
+            run.append(word.group())
+            size += len(run[-1])
+            if size >= chars:
+                done.append(self.encode_words(["".join(run)], [run])[1])
+                run, size = [], 0
+        done.append(self.encode_words(["".join(run)], [run])[1])
+        ids = np.concatenate(done)
+        return np.array([0, len(ids)], dtype=np.int64), ids
+
+    def encode_words(self, texts: list[str], words: list[list[str]]):
+        """``encode`` of texts whose words are known."""
         import numpy as np
         import pandas as pd
 
         if len(self.known) > KEPT_PIECES:
             self.forget()
-        words = [self.words.findall(text) for text in texts]
         data = np.frombuffer("".join(texts).encode(), dtype=np.uint8)
         doc_end = np.cumsum(np.fromiter((len(t) if t.isascii() else len(t.encode()) for t in texts), dtype=np.int64, count=len(texts)))
         offsets = np.zeros(len(texts) + 1, dtype=np.int64)
@@ -216,7 +234,8 @@ def encode_corpus(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 while end < len(texts) and (end == begin or chars + len(texts[end] or "") <= block):
                     chars += len(texts[end] or "")
                     end += 1
-                offsets, ids = encoder.encode([t or "" for t in texts[begin:end]])
+                whole = texts[begin] or ""
+                offsets, ids = encoder.encode_long(whole, block) if len(whole) > block else encoder.encode([t or "" for t in texts[begin:end]])
                 lists = pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(ids, type=pa.int32()))
                 yield pa.RecordBatch.from_arrays([keys.slice(begin, end - begin), lists], names=["id", "ids"])
                 begin = end

@@ -35,10 +35,14 @@ def test_as_the_library(encoder, known, texts):
 def test_blocks_and_long_texts(encoder, known):
     r = random.Random(1)
     long = "".join(r.choice(["aaaaaaaaaaaaaaaaaaaaaaa", "储能 ", "<|endoftext|>", "internationalization's ", "𠮷", "\r\n"]) for _ in range(4000))
+    for chars in (1, 50, 10**6):
+        offsets, ids = encoder.encode_long(long, chars)
+        assert ids.tolist() == known(long) and offsets.tolist() == [0, len(ids)]
     assert ids_of(encoder, [long, "", "a" * 3000, long]) == [known(long), [], known("a" * 3000), known(long)]
 
 
-def test_rows(spark, known):
+def test_rows(spark, known, monkeypatch):
+    monkeypatch.setattr(encode, "BLOCK_CHARS", 12)
     texts = ["储能", None, "", "储能", "<|endoftext|> it's", " \n "]
     df = spark.createDataFrame([(i, t, [0]) for i, t in enumerate(texts)], "doc_id long, text string, ids array<int>")
     out = {r["doc_id"]: r["ids"] for r in encode.encode_corpus(df).collect()}
