@@ -45,6 +45,16 @@ def test_queries_equal_their_sql(spark, name):
     assert found == sorted(map(repr, expected))
 
 
+def test_scratch_is_shared_and_cleared(spark):
+    from loomwright.session import clear_scratch, materialise, scratch, shared_dir
+
+    df = materialise(spark.range(3), "t")
+    assert df.count() == 3 and scratch(spark, "x").startswith(shared_dir(spark)) and scratch(spark, "x") != scratch(spark, "x")
+    clear_scratch(spark)
+    with pytest.raises(Exception, match="NOT_EXIST|does not exist|FileNotFound"):
+        materialise(spark.range(3), "t").count() and df.count()
+
+
 @pytest.mark.skipif(not SMALL.exists(), reason="no test tables here")
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
