@@ -4,26 +4,26 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
+from loomwright.operators import scan
 
-def version_history(checks: DataFrame, key: str, order: list[Column], failed: Column, content: str, attachments: str) -> DataFrame:
+
+def version_history(checks: DataFrame, key: str, order: list[Column], failed: Column, content: str, attachments: str, chunk: Column | None = None) -> DataFrame:
     """Every check with ``event`` and ``change_type``, compared with the key's last good state.
 
     new: first check of a key; failed: a failed check (it never replaces a good state); unchanged;
     updated, with change_type recovery (only failures stood before), content or attachments.  Checks
-    stated twice should be removed first.  Null hashes compare as equal.
+    stated twice should be removed first.  Null hashes compare as equal.  ``chunk`` cuts keys of very
+    many checks (see ``scan``).
     """
-    over = W.partitionBy(key).orderBy(*order)
-    before = over.rowsBetween(W.unboundedPreceding, -1)
-    bad = F.coalesce(failed, F.lit(False))
-    state = F.when(~bad, F.struct(F.col(content).alias("c"), F.col(attachments).alias("a")))
-    seen = checks.withColumn("_bad", bad).withColumn("_n", F.row_number().over(over)).withColumn("_was", F.last(state, ignorenulls=True).over(before))
+    flagged = checks.withColumn("_bad", F.coalesce(failed, F.lit(False)))
+    state = F.when(~F.col("_bad"), F.struct(F.col(content).alias("c"), F.col(attachments).alias("a")))
+    seen = scan.last_values(flagged, [key], order, {"_was": state, "_before": F.lit(True)}, chunk)
     same = F.col(content).eqNullSafe(F.col("_was.c")) & F.col(attachments).eqNullSafe(F.col("_was.a"))
-    recovered = F.col("_was").isNull() & (F.col("_n") > 1)
-    event = F.when(F.col("_bad"), "failed").when(F.col("_n") == 1, "new").when(recovered, "updated").when(same, "unchanged").otherwise("updated")
-    change = F.when(F.col("_bad") | (F.col("_n") == 1), None).when(recovered, "recovery").when(~F.col(content).eqNullSafe(F.col("_was.c")), "content").when(~F.col(attachments).eqNullSafe(F.col("_was.a")), "attachments")
-    return seen.withColumn("event", event).withColumn("change_type", change).drop("_bad", "_n", "_was")
+    first, recovered = F.col("_before").isNull(), F.col("_was").isNull() & F.col("_before").isNotNull()
+    event = F.when(F.col("_bad"), "failed").when(first, "new").when(recovered, "updated").when(same, "unchanged").otherwise("updated")
+    change = F.when(F.col("_bad") | first, None).when(recovered, "recovery").when(~F.col(content).eqNullSafe(F.col("_was.c")), "content").when(~F.col(attachments).eqNullSafe(F.col("_was.a")), "attachments")
+    return seen.withColumn("event", event).withColumn("change_type", change).drop("_bad", "_was", "_before")
 
 
 def event_counts(events: DataFrame, by: list[str], kinds: list[str], event: str = "event") -> DataFrame:
@@ -31,14 +31,17 @@ def event_counts(events: DataFrame, by: list[str], kinds: list[str], event: str
     return events.groupBy(*by).agg(*[F.count_if(F.col(event) == k).alias(f"n_{k}") for k in kinds])
 
 
-def failure_runs(rows: DataFrame, key: str, order: list[Column], failed: Column, at: str) -> DataFrame:
-    """Every row with ``failures`` (consecutive ones up to it, 0 on success) and ``last_success`` (so far)."""
-    over = W.partitionBy(key).orderBy(*order).rowsBetween(W.unboundedPreceding, W.currentRow)
+def failure_runs(rows: DataFrame, key: str, order: list[Column], failed: Column, at: str, chunk: Column | None = None) -> DataFrame:
+    """Every row with ``failures`` (consecutive ones up to it, 0 on success) and ``last_success`` (so far).
+
+    Failures are the running count of failures less that count at the last success; ``chunk`` cuts
+    keys of very many rows (see ``scan``).
+    """
     flagged = rows.withColumn("_bad", F.coalesce(failed, F.lit(False)))
-    runs = flagged.withColumn("_run", F.sum(F.when(F.col("_bad"), 0).otherwise(1)).over(over))
-    inside = W.partitionBy(key, "_run").orderBy(*order).rowsBetween(W.unboundedPreceding, W.currentRow)
-    counted = runs.withColumn("failures", F.sum(F.when(F.col("_bad"), 1).otherwise(0)).over(inside))
-    return counted.withColumn("last_success", F.last(F.when(~F.col("_bad"), F.col(at)), ignorenulls=True).over(over)).drop("_bad", "_run")
+    counted = scan.running_sums(flagged, [key], order, {"_so_far": F.col("_bad").cast("long")}, chunk)
+    good = ~F.col("_bad")
+    seen = scan.last_values(counted, [key], order, {"_base": F.when(good, F.col("_so_far")), "last_success": F.when(good, F.col(at))}, chunk, inclusive=True)
+    return seen.withColumn("failures", F.col("_so_far") - F.coalesce("_base", F.lit(0))).drop("_bad", "_so_far", "_base")
 
 
 def latest_members(rows: DataFrame, key: list[str], order: list[str], columns: list[str]) -> DataFrame:

@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from loomwright.operators import scan
+
 
 def _over(by: list[str], order: str):
     return (W.partitionBy(*by) if by else W.partitionBy()).orderBy(order)
@@ -35,17 +37,18 @@ def as_of_change(series: DataFrame, back_days: int = 30, by: list[str] | None =
     return best.select(*by, "latest_day", "latest_value", target.alias("target_day"), F.col("b.day").alias("baseline_day"), F.col("b.value").alias("baseline_value"), pct.alias("change_pct"))
 
 
-def as_of_join(left: DataFrame, right: DataFrame, at: str, by: list[str], value: str) -> DataFrame:
+def as_of_join(left: DataFrame, right: DataFrame, at: str, by: list[str], value: str, chunk: Column | None = None) -> DataFrame:
     """Every left row with ``asof_at`` and the value of the right row with the largest ``at`` not after it, per key.
 
     Both sides are put in one sorted stream per key (union, then the last right value so far), so no
-    pair of rows is ever compared; ties: a right row at the same instant counts.
+    pair of rows is ever compared; ties: a right row at the same instant counts.  ``chunk`` cuts keys
+    of very many rows along ``at`` (see ``scan``).
     """
-    l = left.select(*by, at, F.lit(1).alias("_side"), F.struct(*[F.col(c) for c in left.columns]).alias("_row"), F.lit(None).cast(right.schema[at].dataType).alias("asof_at"), F.lit(None).cast(right.schema[value].dataType).alias(f"asof_{value}"))  # noqa: E741
-    r = right.select(*by, at, F.lit(0).alias("_side"), F.lit(None).cast(l.schema["_row"].dataType).alias("_row"), F.col(at).alias("asof_at"), F.col(value).alias(f"asof_{value}"))
-    w = W.partitionBy(*by).orderBy(at, "_side").rowsBetween(W.unboundedPreceding, W.currentRow)
-    so_far = l.unionByName(r).select("_side", "_row", F.last(F.when(F.col("_side") == 0, F.struct("asof_at", f"asof_{value}")), ignorenulls=True).over(w).alias("_b"))
-    return so_far.where("_side = 1").select("_row.*", F.col("_b.asof_at").alias("asof_at"), F.col(f"_b.asof_{value}").alias(f"asof_{value}"))
+    l = left.select(*by, at, F.lit(1).alias("_side"), F.struct(*[F.col(c) for c in left.columns]).alias("_row"), F.lit(None).cast(right.schema[value].dataType).alias("_value"))  # noqa: E741
+    r = right.select(*by, at, F.lit(0).alias("_side"), F.lit(None).cast(l.schema["_row"].dataType).alias("_row"), F.col(value).alias("_value"))
+    seen = F.when(F.col("_side") == 0, F.struct(F.col(at).alias("at"), F.col("_value").alias("value")))
+    so_far = scan.last_values(l.unionByName(r), by, [F.col(at), F.col("_side")], {"_b": seen}, chunk, inclusive=True)
+    return so_far.where("_side = 1").select("_row.*", F.col("_b.at").alias("asof_at"), F.col("_b.value").alias(f"asof_{value}"))
 
 
 def deltas(series: DataFrame, at: str, value: str, by: list[str] | None = None) -> DataFrame:

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
+
+from loomwright.operators import scan
 
 
 def since(entries: DataFrame, date: str, start: str) -> DataFrame:
@@ -17,33 +18,28 @@ def before_boundary(entries: DataFrame, page: list[str], date: str, start: str)
     return entries.groupBy(*page).agg(F.bool_and(F.coalesce(F.col(date) < start, F.lit(False))).alias("stop"))
 
 
-def until_streak(rows: DataFrame, by: list[str], order: list[Column], known: Column, most: int) -> DataFrame:
-    """Rows of every key up to and with the one that completes the first run of ``most`` known rows.
+def until_streak(rows: DataFrame, by: list[str], order: list[Column], known: Column, most: int, chunk: Column | None = None) -> DataFrame:
+    """Rows of every key, with ``streak``, up to and with the one that completes the first run of ``most`` known rows.
 
-    An unknown row ends a run.  Runs are numbered by a running count of unknown rows; a key's rows are
-    worked on in its window, which streams through them in sorted order.
+    An unknown row ends a run.  The streak is the running count of known rows less that count at the
+    last unknown row; ``chunk`` cuts keys of very many rows (see ``scan``).
     """
-    over = W.partitionBy(*by).orderBy(*order).rowsBetween(W.unboundedPreceding, W.currentRow)
-    flagged = rows.withColumn("_known", F.coalesce(known, F.lit(False))).withColumn("_run", F.sum(F.when(F.col("_known"), 0).otherwise(1)).over(over))
-    in_run = W.partitionBy(*by, "_run").orderBy(*order).rowsBetween(W.unboundedPreceding, W.currentRow)
-    counted = flagged.withColumn("streak", F.sum(F.when(F.col("_known"), 1).otherwise(0)).over(in_run))
-    # rows after the first completed run: some earlier row had reached it
-    done = F.coalesce(F.max(F.when(F.col("streak") >= most, 1).otherwise(0)).over(W.partitionBy(*by).orderBy(*order).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    return counted.withColumn("_done", done).where("_done = 0").drop("_known", "_run", "_done")
+    flagged = rows.withColumn("_known", F.coalesce(known, F.lit(False)))
+    counted = scan.running_sums(flagged, by, order, {"_so_far": F.col("_known").cast("long")}, chunk)
+    at_unknown = scan.last_values(counted, by, order, {"_base": F.when(~F.col("_known"), F.col("_so_far"))}, chunk, inclusive=True)
+    streaks = at_unknown.withColumn("streak", F.col("_so_far") - F.coalesce("_base", F.lit(0)))
+    return scan.up_to_first(streaks, by, order, F.col("streak") >= most, inclusive=True).drop("_known", "_so_far", "_base")
 
 
-def interleaved(tasks: DataFrame, host: Column, order: str) -> DataFrame:
+def interleaved(tasks: DataFrame, host: Column, order: str, chunk: Column | None = None) -> DataFrame:
     """Tasks with ``round`` and ``host_place``: the first task of each host, then the second of each, hosts by first appearance.
 
-    Sorting by (round, host_place) gives the schedule.  A host with a third of all tasks is numbered
-    in its own window: one sorted pass over narrow rows.
+    Sorting by (round, host_place) gives the schedule; ``chunk`` cuts hosts of very many tasks.
     """
     keyed = tasks.withColumn("_host", host)
-    return (
-        keyed.withColumn("round", F.row_number().over(W.partitionBy("_host").orderBy(order)).cast("long"))
-        .withColumn("host_place", F.min(order).over(W.partitionBy("_host")))
-        .drop("_host")
-    )
+    rounds = scan.running_sums(keyed, ["_host"], [F.col(order)], {"round": F.lit(1).cast("long")}, chunk)
+    first = keyed.groupBy(F.col("_host").alias("_h")).agg(F.min(order).alias("host_place"))
+    return rounds.join(first, F.col("_host").eqNullSafe(F.col("_h"))).drop("_host", "_h")
 
 
 def recheck_due(rows: DataFrame, key: str, checked: Column, broken: Column, now: str, days: int, most: int) -> DataFrame:

@@ -22,7 +22,12 @@ def _checks(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _order():
-    return [F.asc_nulls_first("at"), F.asc("check_id")]
+    return [F.col("at"), F.col("check_id")]
+
+
+def _day():
+    """Chunks of a key's checks: one for each day, so that one id or column with a third of all checks is many tasks."""
+    return F.to_date("at")
 
 
 def _failed():
@@ -38,12 +43,12 @@ def page_boundary(spark, d):
 
 
 def streak_stop(spark, d):
-    rows = tasks.until_streak(_checks(spark, d), ["column_id"], _order(), F.col("content_status") == "complete", 6)
+    rows = tasks.until_streak(_checks(spark, d), ["column_id"], _order(), F.col("content_status") == "complete", 6, _day())
     return rows.select("check_id", F.col("streak").cast("long").alias("streak"))
 
 
 def round_robin(spark, d):
-    return tasks.interleaved(_p(spark, d), urls.host(F.col("url")), "record_id").select("record_id", "round", "host_place")
+    return tasks.interleaved(_p(spark, d), urls.host(F.col("url")), "record_id", F.floor(F.col("record_id") / 100_000)).select("record_id", "round", "host_place")
 
 
 def recheck_due(spark, d):
@@ -69,16 +74,16 @@ def unseen_checks(spark, d):
 
 
 def version_history(spark, d):
-    return merge.version_history(_checks(spark, d), "id", _order(), _failed(), "content_hash", "attachments_hash").select("check_id", "event", "change_type")
+    return merge.version_history(_checks(spark, d), "id", _order(), _failed(), "content_hash", "attachments_hash", _day()).select("check_id", "event", "change_type")
 
 
 def event_counters(spark, d):
-    events = merge.version_history(_checks(spark, d), "id", _order(), _failed(), "content_hash", "attachments_hash")
+    events = merge.version_history(_checks(spark, d), "id", _order(), _failed(), "content_hash", "attachments_hash", _day())
     return merge.event_counts(events, ["column_id"], ["new", "updated", "unchanged", "failed"])
 
 
 def consecutive_failures(spark, d):
-    return merge.failure_runs(_checks(spark, d), "column_id", _order(), _failed(), "last_checked_at").select("check_id", F.col("failures").cast("long").alias("failures"), "last_success")
+    return merge.failure_runs(_checks(spark, d), "column_id", _order(), _failed(), "last_checked_at", _day()).select("check_id", F.col("failures").cast("long").alias("failures"), "last_success")
 
 
 def membership_upsert(spark, d):
@@ -117,7 +122,7 @@ def missing_columns(spark, d):
 
 
 def budget_admission(spark, d):
-    rows = budget.admitted(_checks(spark, d), F.date_format("at", "yyyy-MM"), _order(), F.col("attempt").cast("decimal(12,4)") * F.lit("0.2").cast("decimal(4,2)"), "50", 230)
+    rows = budget.admitted(_checks(spark, d), F.date_format("at", "yyyy-MM"), _order(), F.col("attempt").cast("decimal(12,4)") * F.lit("0.2").cast("decimal(4,2)"), "50", 230, _day())
     return rows.select("check_id", "period", F.col("reserved").cast("string").alias("reserved"))
 
 
@@ -127,7 +132,7 @@ def budget_by_month(spark, d):
 
 
 def running_limit(spark, d):
-    return budget.within_running_limit(_checks(spark, d), ["column_id"], _order(), F.col("size_bytes"), 5_000_000).select("check_id", "running")
+    return budget.within_running_limit(_checks(spark, d), ["column_id"], _order(), F.col("size_bytes"), 5_000_000, _day()).select("check_id", "running")
 
 
 _C = """

@@ -30,7 +30,7 @@ def asof_all_days(spark, d):
     days = _daily(spark, d, ["o_orderpriority"])
     left = days.where("dayofweek(day) = 2").select("o_orderpriority", "day", F.col("value").alias("own"))
     right = days.where("dayofmonth(day) % 5 = 0").select("o_orderpriority", "day", "value")
-    return _text(series.as_of_join(left, right, "day", ["o_orderpriority"], "value"), "day", "asof_at")
+    return _text(series.as_of_join(left, right, "day", ["o_orderpriority"], "value", F.trunc("day", "year")), "day", "asof_at")
 
 
 def month_deltas(spark, d):
