@@ -121,7 +121,7 @@ def quality_violations(spark, d):
         "bad_date": (F.col("publish_date") != "") & F.try_to_timestamp(F.col("publish_date"), F.lit("yyyy-MM-dd")).isNull(),
         "image_with_text": (F.col("content_status") == "image_only") & (F.length(text) > 0),
         "empty_complete": (F.col("content_status") == "complete") & (F.length(text) == 0),
-        "no_title": F.coalesce(F.trim("title"), F.lit("")) == "",
+        "no_title": T.clean(F.col("title")) == "",
         "repeated_column": F.size(F.array_distinct("column_ids")) < F.size("column_ids"),
         "open_issue": F.size("collection_issues") > 0,
     }
@@ -178,7 +178,7 @@ def id_columns(spark, d):
 
 
 def display_dates(spark, d):
-    return _p(spark, d).select("record_id", search.display_date(F.col("publish_date"), F.col("list_date")).alias("date"), F.coalesce(F.nullif(F.trim("issuer"), F.lit("")), urls.host(F.col("url"))).alias("issuer"))
+    return _p(spark, d).select("record_id", search.display_date(F.col("publish_date"), F.col("list_date")).alias("date"), F.coalesce(F.nullif(T.clean(F.col("issuer")), F.lit("")), urls.host(F.col("url"))).alias("issuer"))
 
 
 def _items(spark, d):
@@ -208,7 +208,7 @@ def recent_30d(spark, d):
 
 
 def facet_issuers(spark, d):
-    return search.facet_values(_p(spark, d), F.trim("issuer"))
+    return search.facet_values(_p(spark, d), T.clean(F.col("issuer")))
 
 
 def related_top5(spark, d):
@@ -305,13 +305,13 @@ SQL = {
             UNION ALL SELECT 'content', coalesce(content_status, '') FROM policies
             UNION ALL SELECT 'attachment', coalesce(unnest(attachments).status, '') FROM policies
             UNION ALL SELECT 'several', '' FROM policies WHERE len(columns) > 1) GROUP BY ALL""",
-    "quality_violations": r"""
-        SELECT 'bad_id' AS rule, record_id FROM policies WHERE NOT regexp_full_match(id, '[0-9a-f]{64}')
+    "quality_violations": rf"""
+        SELECT 'bad_id' AS rule, record_id FROM policies WHERE NOT regexp_full_match(id, '[0-9a-f]{{64}}')
         UNION ALL SELECT 'body_hash', record_id FROM policies WHERE content_hash <> sha256(coalesce(content_text, ''))
-        UNION ALL SELECT 'bad_date', record_id FROM policies WHERE publish_date <> '' AND (NOT regexp_full_match(publish_date, '[0-9]{4}-[0-9]{2}-[0-9]{2}') OR try_strptime(publish_date, '%Y-%m-%d') IS NULL)
+        UNION ALL SELECT 'bad_date', record_id FROM policies WHERE publish_date <> '' AND (NOT regexp_full_match(publish_date, '[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}') OR try_strptime(publish_date, '%Y-%m-%d') IS NULL)
         UNION ALL SELECT 'image_with_text', record_id FROM policies WHERE content_status = 'image_only' AND length(content_text) > 0
         UNION ALL SELECT 'empty_complete', record_id FROM policies WHERE content_status = 'complete' AND coalesce(content_text, '') = ''
-        UNION ALL SELECT 'no_title', record_id FROM policies WHERE coalesce(trim(title), '') = ''
+        UNION ALL SELECT 'no_title', record_id FROM policies WHERE trim(regexp_replace(coalesce(title, ''), '{SP}+', ' ', 'g')) = ''
         UNION ALL SELECT 'repeated_column', record_id FROM policies WHERE len(list_distinct(column_ids)) < len(column_ids)
         UNION ALL SELECT 'open_issue', record_id FROM policies WHERE len(collection_issues) > 0""",
     "evidence_contains": rf"""
@@ -347,14 +347,14 @@ SQL = {
     "column_membership": """
         SELECT h.column_id, h.name, h.status AS health, count(*) AS records FROM policies p JOIN column_health h ON list_contains(p.column_ids, h.column_id) GROUP BY ALL""",
     "id_columns": "SELECT id, string_agg(c, '|' ORDER BY c) AS column_ids FROM (SELECT DISTINCT id, unnest(column_ids) AS c FROM policies) GROUP BY id",
-    "display_dates": f"SELECT record_id, {_DISPLAY} AS date, coalesce(nullif(trim(issuer), ''), lower(nullif(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#:]+)', 1), ''))) AS issuer FROM policies",
+    "display_dates": f"SELECT record_id, {_DISPLAY} AS date, coalesce(nullif(trim(regexp_replace(coalesce(issuer, ''), '{SP}+', ' ', 'g')), ''), lower(nullif(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#:]+)', 1), ''))) AS issuer FROM policies",
     "search_facets": f"""
         SELECT record_id, {_DISPLAY} AS date FROM policies WHERE contains(lower(coalesce(title, '') || ' ' || coalesce(content_text, '')), '储能')
             AND contains(lower(coalesce(title, '') || ' ' || coalesce(content_text, '')), 'bms') AND {_DISPLAY} BETWEEN '2022-01-01' AND '2026-12-31'""",
     "search_array_facet": "SELECT record_id FROM policies WHERE contains(lower(coalesce(title, '') || ' ' || coalesce(content_text, '')), '容量') AND list_contains(column_ids, 'xznb_interpretations') AND source_id = 'xznb'",
     "search_page": f"SELECT record_id, {_DISPLAY} AS date FROM policies WHERE contains(lower(coalesce(title, '') || ' ' || coalesce(content_text, '')), '容量') ORDER BY date DESC, record_id LIMIT 12 OFFSET 12",
     "recent_30d": f"SELECT record_id, {_DISPLAY} AS date FROM policies WHERE {_DISPLAY} BETWEEN '2026-03-02' AND '2026-03-31'",
-    "facet_issuers": "SELECT trim(issuer) AS value, count(*) AS n FROM policies WHERE trim(issuer) <> '' GROUP BY 1",
+    "facet_issuers": f"SELECT trim(regexp_replace(coalesce(issuer, ''), '{SP}+', ' ', 'g')) AS value, count(*) AS n FROM policies WHERE trim(regexp_replace(coalesce(issuer, ''), '{SP}+', ' ', 'g')) <> '' GROUP BY 1",
     "related_top5": """
         WITH t AS (SELECT DISTINCT analysis_no, unnest(interpretation.topics) AS topic FROM analyses WHERE interpretation IS NOT NULL),
         few AS (SELECT * FROM t QUALIFY row_number() OVER (PARTITION BY topic ORDER BY analysis_no) <= 50),

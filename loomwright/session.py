@@ -81,6 +81,11 @@ def no_white(col):
     return F.regexp_replace(col, WHITE + "+", "")
 
 
+def stripped(col):
+    """The text without Unicode white space at its ends."""
+    return F.regexp_replace(col, f"^{WHITE}+|{WHITE}+$", "")
+
+
 def instant(col):
     """An ISO 8601 string with an offset as a timestamp; null where it is none."""
     return F.try_to_timestamp(col)
