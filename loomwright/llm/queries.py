@@ -85,6 +85,23 @@ QUERIES = {
     "p9_kinds": p9_kinds,
 }
 
+# the best rows of each id by the stated orders
+_P4 = r"""
+        WITH several AS (SELECT id FROM policies WHERE id IS NOT NULL GROUP BY id HAVING count(*) >= 2),
+        p AS (SELECT *, try_cast(last_checked_at AS TIMESTAMPTZ) AS checked,
+                     length(regexp_replace(coalesce(content_text, ''), '[\s\x{85}\x{0b}\p{Z}]', '', 'g')) AS chars FROM policies),
+        t AS (SELECT id, record_id FROM p QUALIFY row_number() OVER (PARTITION BY id ORDER BY
+                CASE content_status WHEN 'complete' THEN 0 WHEN 'partial' THEN 1 WHEN 'image_only' THEN 2 WHEN 'failed' THEN 3 ELSE 4 END,
+                chars DESC, checked DESC NULLS LAST, record_id) = 1),
+        d AS (SELECT id, record_id FROM p
+              WHERE regexp_full_match(publish_date, '[0-9]{4}-[0-9]{2}-[0-9]{2}') AND try_cast(publish_date AS DATE) IS NOT NULL AND publish_date >= '0001'
+              QUALIFY row_number() OVER (PARTITION BY id ORDER BY checked DESC NULLS LAST, record_id) = 1),
+        a AS (SELECT id, analysis_no FROM analyses QUALIFY row_number() OVER (PARTITION BY id ORDER BY
+                CASE WHEN status = 'complete' AND interpretation IS NOT NULL THEN 0 WHEN status = 'irrelevant' THEN 1
+                     WHEN status = 'pending_review' THEN 2 WHEN status = 'pending' THEN 3 ELSE 4 END,
+                try_cast(analyzed_at AS TIMESTAMPTZ) DESC NULLS LAST, analysis_no) = 1)
+"""
+
 SQL: dict[str, str] = {
     "p6_found": r"""
         WITH d AS (SELECT record_id, id, regexp_replace(coalesce(title, '') || content_text, '[\s\x{85}\x{0b}\p{Z}]', '', 'g') AS t
@@ -101,21 +118,17 @@ SQL: dict[str, str] = {
             SELECT record_id, unnest(range(1, len(attachments) + 1)) AS n, unnest(attachments).text AS text FROM policies
         ) WHERE length(text) > 2000
     """,
-    "p4_found": r"""
-        WITH several AS (SELECT id FROM policies WHERE id IS NOT NULL GROUP BY id HAVING count(*) >= 2),
-        p AS (SELECT *, try_cast(last_checked_at AS TIMESTAMPTZ) AS checked,
-                     length(regexp_replace(coalesce(content_text, ''), '[\s\x{85}\x{0b}\p{Z}]', '', 'g')) AS chars FROM policies),
-        t AS (SELECT id, record_id FROM p QUALIFY row_number() OVER (PARTITION BY id ORDER BY
-                CASE content_status WHEN 'complete' THEN 0 WHEN 'partial' THEN 1 WHEN 'image_only' THEN 2 WHEN 'failed' THEN 3 ELSE 4 END,
-                chars DESC, checked DESC NULLS LAST, record_id) = 1),
-        d AS (SELECT id, record_id FROM p
-              WHERE regexp_full_match(publish_date, '[0-9]{4}-[0-9]{2}-[0-9]{2}') AND try_cast(publish_date AS DATE) IS NOT NULL AND publish_date >= '0001'
-              QUALIFY row_number() OVER (PARTITION BY id ORDER BY checked DESC NULLS LAST, record_id) = 1),
-        a AS (SELECT id, analysis_no FROM analyses QUALIFY row_number() OVER (PARTITION BY id ORDER BY
-                CASE WHEN status = 'complete' AND interpretation IS NOT NULL THEN 0 WHEN status = 'irrelevant' THEN 1
-                     WHEN status = 'pending_review' THEN 2 WHEN status = 'pending' THEN 3 ELSE 4 END,
-                try_cast(analyzed_at AS TIMESTAMPTZ) DESC NULLS LAST, analysis_no) = 1)
-        SELECT s.id, t.record_id AS text_record_id, coalesce(d.record_id, 0) AS date_record_id, coalesce(a.analysis_no, 0) AS analysis_no
+    "p4_survivors": rf"""{_P4},
+        v AS (SELECT id, record_id, regexp_replace(title, '^[\s\x0b\x{{85}}\p{{Z}}]+|[\s\x0b\x{{85}}\p{{Z}}]+$', '', 'g') AS title, regexp_replace(issuer, '^[\s\x0b\x{{85}}\p{{Z}}]+|[\s\x0b\x{{85}}\p{{Z}}]+$', '', 'g') AS issuer,
+                (CASE content_status WHEN 'complete' THEN 1.0 WHEN 'partial' THEN 0.6 ELSE 0.3 END)
+                * coalesce(pow(0.5, greatest(0, epoch(TIMESTAMPTZ '2026-12-31 00:00:00+00') - epoch(checked)) / 86400.0 / 180.0), 0) AS vote FROM p),
+        ti AS (SELECT id, title FROM (SELECT id, title, round(sum(vote), 9) AS n, min(record_id) AS f FROM v WHERE title <> '' GROUP BY ALL) QUALIFY row_number() OVER (PARTITION BY id ORDER BY n DESC, f) = 1),
+        iss AS (SELECT id, issuer FROM (SELECT id, issuer, round(sum(vote), 9) AS n, min(record_id) AS f FROM v WHERE issuer <> '' GROUP BY ALL) QUALIFY row_number() OVER (PARTITION BY id ORDER BY n DESC, f) = 1)
+        SELECT t.id, x.content_status, x.content_text, y.publish_date, ti.title AS title, iss.issuer AS issuer, z.status AS analysis_status
+        FROM t JOIN policies x ON x.record_id = t.record_id LEFT JOIN d ON d.id = t.id LEFT JOIN policies y ON y.record_id = d.record_id
+        LEFT JOIN ti ON ti.id = t.id LEFT JOIN iss ON iss.id = t.id LEFT JOIN a ON a.id = t.id LEFT JOIN analyses z ON z.analysis_no = a.analysis_no
+    """,
+    "p4_found": rf"""{_P4}        SELECT s.id, t.record_id AS text_record_id, coalesce(d.record_id, 0) AS date_record_id, coalesce(a.analysis_no, 0) AS analysis_no
         FROM several s JOIN t USING (id) LEFT JOIN d USING (id) LEFT JOIN a USING (id)
     """,
 }

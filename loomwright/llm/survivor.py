@@ -22,7 +22,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomwright.session import instant, no_white
+from loomwright.session import instant, no_white, stripped
 
 #: Age in days after which a vote counts half.
 HALF_LIFE_DAYS = 180.0
@@ -103,8 +103,8 @@ def policy_votes(policies: DataFrame, analyses: DataFrame) -> DataFrame:
     fields = [
         Field("text", F.coalesce("content_text", F.lit("")), _rank(ordered("content_status", status), chars, checked), F.lit(True)),
         Field("date", F.col("publish_date"), _rank(zero, zero, checked), real_date("publish_date")),
-        Field("title", F.trim("title")),
-        Field("issuer", F.trim("issuer")),
+        Field("title", stripped("title")),
+        Field("issuer", stripped("issuer")),
     ]
     now = F.to_timestamp(F.lit("2026-12-31 00:00:00"))
     rows = long_rows(policies, "id", "record_id", fields, trust, checked, now)
@@ -130,8 +130,8 @@ def survivors(policies: DataFrame, analyses: DataFrame) -> DataFrame:
     return (
         won.join(take("text", "content_status", "content_text"), "text", "left")
         .join(take("date", "publish_date"), "date", "left")
-        .join(take("title", F.col("title").alias("best_title")), "title", "left")
-        .join(take("issuer", F.col("issuer").alias("best_issuer")), "issuer", "left")
+        .join(take("title", stripped("title").alias("best_title")), "title", "left")
+        .join(take("issuer", stripped("issuer").alias("best_issuer")), "issuer", "left")
         .join(analyses.select(F.col("analysis_no").alias("analysis"), F.col("status").alias("analysis_status")), "analysis", "left")
         .where(F.col("text").isNotNull())
         .select(F.col("key").alias("id"), "content_status", "content_text", "publish_date", F.col("best_title").alias("title"), F.col("best_issuer").alias("issuer"), "analysis_status")
