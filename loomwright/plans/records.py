@@ -244,7 +244,8 @@ _KEYS = "[" + ", ".join(f"'{k}'" for k in screen.KEYWORDS) + "]"
 _TOPICS = "[" + ", ".join(f"'{k}'" for k in screen.TOPICS) + "]"
 _TARGETS = "[" + ", ".join(f"'{k}'" for k in TARGETS) + "]"
 _DATE = r"(20[0-9]{2})[-年/.]([0-9]{1,2})[-月/.]([0-9]{1,2})日?"
-_TITLE = rf"translate(regexp_replace(coalesce(title, ''), '[\s\x0b\x1c-\x1f\x{{85}}\p{{Z}}\x{{200b}}\x{{feff}}]+', '', 'g'), '“”‘’', '\"\"''''')"
+_BARE = r"regexp_replace(coalesce(title, ''), '[\s\x0b\x1c-\x1f\x{85}\p{Z}\x{200b}\x{feff}]+', '', 'g')"
+_TITLE = f"translate({_BARE}, '“”‘’', chr(34) || chr(34) || chr(39) || chr(39))"
 
 
 def _iso(x):
