@@ -1,16 +1,20 @@
 """Page boilerplate: which lines of a page belong to the site, and the body without them.
 
 Template deduction after equivalence classes, with masked lines as tokens.  The occurrence vector of
-a token is the set of pages of one host that hold it, kept as a count and an additive hash, so it is
+a token says how often each page of one host holds it, kept as a count and an additive hash, so it is
 built by one partially aggregated shuffle however many pages a host has.
 
-* Tokens of one host with the same vector form a class; a class of several tokens on enough pages is
-  valid: independent sentences never share their pages exactly.
-* Valid classes are nested into the host's template together with tokens that stay on few hosts where
-  chance would spread them over many, and with tokens of the forms that page furniture has anywhere
-  (navigation, breadcrumbs, tools, notices, footers).
-* What a list heading of the template opens (related pages, rankings) is a slot of the template: its
-  entries differ on every page but follow the heading without a break.
+* Tokens of one host with the same vector form a class.  A class of several tokens on enough pages is
+  valid if its tokens follow each other in one order on every page, and if it does not interleave with
+  a class on more pages: all of it lies in one and the same gap of the other, or the other way round.
+* The host's template is its valid classes together with tokens that stay on few hosts where chance
+  would spread them over many.
+* What lies between two tokens of the template, or between one and an end of the page, is a slot of
+  the host.  The body is what fills the page's largest run; a slot that never holds it on enough pages
+  is the site's, whatever fills it (breadcrumbs, dates, entries of lists).
+* Furniture that stands alone in the body, or on all hosts alike, leaves no such trace.  Stated forms
+  (navigation, breadcrumbs, tools, notices, footers) and list headings with the entries that follow
+  them without a break are added to the template; ``forms=False`` leaves them out.
 
 All other lines are the remaining slots: the body.
 
@@ -92,9 +96,10 @@ def _whole(patterns: list[str]) -> str:
 
 
 def page_lines(pages: DataFrame, row_id: str, page_id: str, url: str, text: str) -> DataFrame:
-    """(row, page, host, line_no, token, kind): every line that is not blank; kind tells what its form says.
+    """(row, page, host, line_no, token, kind, chars): every line that is not blank; kind tells what its form says.
 
     kind: form (furniture anywhere), heading (opens a list), entry (of the form of list entries), ''.
+    chars: length of the line.
     """
     navigation = r"(?:" + "|".join(NAVIGATION) + ")"
     separated = navigation + r"(?:[\s　·|/>→-]+" + navigation + r")*"
@@ -114,20 +119,41 @@ def page_lines(pages: DataFrame, row_id: str, page_id: str, url: str, text: str)
     return (
         read.withColumn("line", line)
         .where("line != ''")
-        .select("row", "page", "host", (F.col("at") + 1).cast("long").alias("line_no"), F.when(short, F.xxhash64(F.regexp_replace("line", r"[0-9]+", "#"))).alias("token"), kind.alias("kind"))
+        .select("row", "page", "host", (F.col("at") + 1).cast("long").alias("line_no"), F.when(short, F.xxhash64(F.regexp_replace("line", r"[0-9]+", "#"))).alias("token"), kind.alias("kind"), F.length("line").alias("chars"))
     )
 
 
+def valid_classes(lines: DataFrame, classes: DataFrame) -> DataFrame:
+    """(host, token) of the classes that are ordered and nested; classes: (host, class, pages, tokens)."""
+    tokens = classes.select("host", "class", "pages", F.size("tokens").alias("size"), F.explode("tokens").alias("token"))
+    # the first place of every token of a class on each row
+    found = lines.join(tokens, ["host", "token"]).groupBy("host", "class", "pages", "size", "row", "token").agg(F.min("line_no").alias("at"))
+    placed = materialise(found.groupBy("host", "class", "pages", "size", "row").agg(F.sort_array(F.collect_list(F.struct("at", "token"))).alias("places")), "places")
+    # rows of a page that hold a part of the class say nothing about its order
+    whole = placed.where(F.size("places") == F.col("size"))
+    ordered = whole.groupBy("host", "class").agg(F.count_distinct(F.xxhash64("places.token")).alias("orders")).where("orders = 1").select("host", "class")
+    held = whole.join(ordered, ["host", "class"], "left_semi").select("host", "class", "pages", "row", F.col("places.at").alias("at"))
+    one, other = (held.select("host", "row", *[F.col(c).alias(f"{c}_{n}") for c in ("class", "pages", "at")]) for n in "ab")
+    gap = lambda inner, outer, end: F.size(F.filter(F.col(outer), lambda p: p < (F.array_min(inner) if end == "first" else F.array_max(inner))))
+    both = one.join(other, ["host", "row"]).where("pages_a > pages_b OR (pages_a = pages_b AND class_a < class_b)")
+    gaps = both.select("host", "class_a", "class_b", *[gap(f"at_{i}", f"at_{o}", end).alias(f"{end}_{i}") for i, o in ("ba", "ab") for end in ("first", "last")])
+    one_gap = lambda i: F.min(f"first_{i}") == F.max(f"last_{i}")
+    crossing = gaps.groupBy("host", "class_a", "class_b").agg((one_gap("a") | one_gap("b")).alias("nested")).where("NOT nested").select("host", F.col("class_b").alias("class")).distinct()
+    return tokens.join(ordered, ["host", "class"], "left_semi").join(crossing, ["host", "class"], "left_anti").select("host", "token")
+
+
 def template_tokens(lines: DataFrame) -> DataFrame:
     """(host, token): tokens of each host's template, by occurrence vectors alone."""
-    once = lines.where("token IS NOT NULL").select("host", "token", "page").distinct()
-    vectors = once.groupBy("host", "token").agg(F.count(F.lit(1)).alias("pages"), F.sum(F.shiftrightunsigned("page", 32)).alias("high"), F.sum(F.col("page").bitwiseAND(F.lit(0xFFFFFFFF))).alias("low"))
+    once = lines.where("token IS NOT NULL").groupBy("host", "token", "page").agg(F.count(F.lit(1)).alias("times"))
+    once = once.select("host", "token", F.xxhash64("page", "times").alias("mark"))
+    vectors = once.groupBy("host", "token").agg(F.count(F.lit(1)).alias("pages"), F.sum(F.shiftrightunsigned("mark", 32)).alias("high"), F.sum(F.col("mark").bitwiseAND(F.lit(0xFFFFFFFF))).alias("low"))
     # all hosts of every token that is common on some host
     frequent = once.groupBy("token").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= LEAST_PAGES).select("token")
     vectors = materialise(vectors.join(frequent, "token", "left_semi"), "vectors")
     common = vectors.where(F.col("pages") >= LEAST_PAGES)
-    # valid classes: several tokens on exactly the same pages
-    classes = common.groupBy("host", "pages", "high", "low").agg(F.collect_set("token").alias("tokens")).where(F.size("tokens") > 1).select("host", F.explode("tokens").alias("token"))
+    # classes: several tokens equally often on exactly the same pages
+    alike = common.groupBy("host", "pages", "high", "low").agg(F.collect_set("token").alias("tokens")).where(F.size("tokens") > 1)
+    classes = valid_classes(lines, alike.select("host", F.xxhash64("host", "pages", "high", "low").alias("class"), "pages", "tokens"))
     # tokens that stay on few hosts: chance would put n pages on sum(1 - (1 - share)^n) of them.  Hosts are
     # counted by size in quarter steps of log2, so that what comes to the driver is at most some 200 rows
     sizes = lines.select("host", "row").distinct().groupBy("host").agg(F.count(F.lit(1)).alias("n"))
@@ -142,11 +168,31 @@ def template_tokens(lines: DataFrame) -> DataFrame:
     return classes.unionByName(common.join(own, "token", "left_semi").select("host", "token")).distinct()
 
 
-def site_lines(pages: DataFrame, row_id: str, page_id: str, url: str, text: str) -> DataFrame:
-    """(row_id, line_no) of every line that belongs to the site."""
+def slot_lines(marked: DataFrame) -> DataFrame:
+    """(row, line_no) of the lines in slots of the template that never hold the largest run of a page.
+
+    marked: (row, page, host, line_no, token, chars, nested).
+    """
+    order = W.partitionBy("row").orderBy("line_no")
+    placed = marked.withColumn("run", F.sum(F.col("nested").cast("int")).over(order))
+    # a run begins with its template token; the token of the next run closes it
+    runs = placed.groupBy("row", "run", "page", "host").agg(F.max(F.when(F.col("nested"), F.col("token"))).alias("before"), F.sum(F.when(~F.col("nested"), F.col("chars")).otherwise(0)).alias("chars"))
+    bounded = runs.withColumn("after", F.lead("before").over(W.partitionBy("row").orderBy("run"))).withColumn("largest", F.col("chars") == F.max("chars").over(W.partitionBy("row")))
+    filled = materialise(bounded.where("chars > 0 AND (before IS NOT NULL OR after IS NOT NULL)").select("row", "run", "page", "host", F.xxhash64("before", "after", F.isnull("before")).alias("slot"), "largest"), "runs")
+    pages = filled.groupBy("host", "slot", "page").agg(F.max("largest").alias("largest"))
+    site = pages.groupBy("host", "slot").agg(F.count(F.lit(1)).alias("pages"), F.max("largest").alias("largest")).where((F.col("pages") >= LEAST_PAGES) & ~F.col("largest")).select("host", "slot")
+    return placed.where("NOT nested").join(filled.join(site, ["host", "slot"], "left_semi").select("row", "run"), ["row", "run"], "left_semi").select("row", "line_no")
+
+
+def site_lines(pages: DataFrame, row_id: str, page_id: str, url: str, text: str, forms: bool = True) -> DataFrame:
+    """(row_id, line_no) of every line that belongs to the site; without ``forms`` by the template alone."""
     lines = materialise(page_lines(pages, row_id, page_id, url, text), "lines")
     template = template_tokens(lines).withColumn("nested", F.lit(True))
-    marked = lines.join(template, ["host", "token"], "left").select("row", "line_no", "kind", F.coalesce("nested", F.lit(False)).alias("nested"))
+    marked = materialise(lines.join(template, ["host", "token"], "left").withColumn("nested", F.coalesce("nested", F.lit(False))), "marked")
+    deduced = marked.where("nested").select("row", "line_no").unionByName(slot_lines(marked))
+    if not forms:
+        return deduced.distinct().withColumnRenamed("row", row_id)
+    marked = marked.select("row", "line_no", "kind", "nested")
     # entries belong to the heading above if nothing but entries stands between
     heads = marked.where("kind = 'heading'").select("row").distinct()
     lists = marked.join(heads, "row", "left_semi").where("kind != '' OR nested OR line_no > 0")
@@ -155,8 +201,8 @@ def site_lines(pages: DataFrame, row_id: str, page_id: str, url: str, text: str)
     runs = lists.select("row", "line_no", "kind", "nested", breaks.alias("run"))
     opened = F.max(F.when(F.col("kind") == "heading", F.lit(True)).otherwise(F.lit(False))).over(W.partitionBy("row", "run"))
     entries = runs.select("row", "line_no", "kind", "nested", opened.alias("opened")).where("opened AND kind = 'entry'").select("row", "line_no")
-    plain = marked.where("kind IN ('form', 'heading') OR nested").select("row", "line_no")
-    return plain.unionByName(entries).distinct().withColumnRenamed("row", row_id)
+    listed = marked.where("kind IN ('form', 'heading')").select("row", "line_no")
+    return deduced.unionByName(listed).unionByName(entries).distinct().withColumnRenamed("row", row_id)
 
 
 def bodies(pages: DataFrame, row_id: str, page_id: str, url: str, text: str) -> DataFrame:

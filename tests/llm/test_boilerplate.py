@@ -40,3 +40,40 @@ def test_policy_lines_that_speak_of_sites(spark):
     lines = ["投诉建议请通过首页“监督举报”栏目提交，5日内答复。", "版权归编制单位所有，引用第3章时须注明出处。", "各平台弹窗提示收集Cookie的，应说明用途。", "相关阅读材料由培训组在6月统一下发。", "附件：1.申报表；2.承诺书。", "特此通知。"]
     df = spark.createDataFrame([(1, "a", "https://a.example/", "\n".join(lines))], "record_id long, id string, url string, content_text string")
     assert rows(boilerplate.site_lines(df, "record_id", "id", "url", "content_text")) == []
+
+
+def unlisted(spark, shuffle=False):
+    """Pages of one host whose furniture has no stated form: a bar of two lines, a trail that differs, a foot."""
+    data = []
+    for i in range(40):
+        body = [f"单位{chr(0x4E00 + i * 7 + k)}就{chr(0x5000 + i * 3 + k)}事项作出说明，并逐项办理。" for k in range(4)]
+        bar = ["甲栏乙栏丙栏", "检索本馆藏品"]
+        lines = [*(bar[::-1] if shuffle and i % 2 else bar), f"藏品{chr(0x6000 + i)}室", "馆内导览图", *body, "本馆开放时间见门前公示牌"]
+        data.append((i, f"id{i}", "https://www.m.example/a", "\n".join(lines)))
+    for i in range(40, 60):
+        data.append((i, f"id{i}", f"https://www.n{i % 5}.example/a", f"单位{chr(0x4E00 + i * 7)}的事项另行说明。"))
+    return spark.createDataFrame(data, "record_id long, id string, url string, content_text string")
+
+
+def test_the_template_decides_without_forms(spark):
+    found = rows(boilerplate.site_lines(unlisted(spark), "record_id", "id", "url", "content_text", forms=False))
+    # the class of four lines, and the slot in it that differs on every page; the body is the largest run
+    assert found == [(i, n) for i in range(40) for n in (1, 2, 3, 4, 9)]
+    assert found == rows(boilerplate.site_lines(unlisted(spark), "record_id", "id", "url", "content_text"))
+
+
+def test_classes_are_ordered_nested_and_count_occurrences(spark):
+    def valid(pages):
+        lines = [(r, "h", t, n + 1) for r, ts in enumerate(pages) for n, t in enumerate(ts)]
+        df = spark.createDataFrame(lines, "row long, host string, token long, line_no long")
+        names = {t: c for c, t in ((1, 1), (1, 2), (2, 3), (2, 4))}
+        classes = spark.createDataFrame([("h", c, 9 - c, [t for t in names if names[t] == c]) for c in (1, 2)], "host string, class long, pages long, tokens array<long>")
+        return [t for _, t in rows(boilerplate.valid_classes(df, classes))]
+
+    assert valid([[1, 3, 4, 2]] * 3) == [1, 2, 3, 4]
+    assert valid([[1, 3, 4, 2], [1, 4, 3, 2]]) == [1, 2]  # no order
+    assert valid([[1, 3, 2, 4]] * 3) == [1, 2]  # interleaved
+    lines = [(p, p, "h", n, t, "", 1) for p in range(20) for n, t in enumerate([1, 2, 2] if p % 2 else [1, 2])]
+    other = [(p, p, "g", 0, t, "", 1) for p in range(20, 40) for t in (1, 2)]
+    df = spark.createDataFrame(lines + other, "row long, page long, host string, line_no int, token long, kind string, chars int")
+    assert ("h", 1) not in rows(boilerplate.template_tokens(df))  # on the same pages, but not equally often
