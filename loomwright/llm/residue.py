@@ -1,19 +1,23 @@
 """Template residue and error pages: records to leave out.
 
-Records made by one template say the same around their slots.  ``induced_slots`` aligns them: a
-frame is the three characters before and after a value (a number, or what follows a label), and a
-frame filled in three or more ways over the corpus is a slot.  A record is marked if
+Records made by one template say the same around their slots.  A default or a variable name in a
+sentence is put beside the other records in two ways, and a place filled in three or more ways is a slot:
+``induced_slots`` by the three characters on both sides of a number, ``aligned_slots`` by the masked
+clause, from its start to the place or from the place to its end, whatever fills it there (words,
+names, labels, numbers).  A record is marked if
 
 * a slot, or a place that can only be a slot, still holds a variable name or a hint to the writer
   (the marker forms below),
-* a slot holds a default of a program instead of a value (``null``, ``NaN``, ``[object Object]`` ...),
+* a slot holds a default of a program (``null``, ``NaN``, ``[object Object]`` ...) or a bare variable
+  name instead of a value,
 * a run of it is filler: one unit said over and over, or words of the usual dummy texts,
 * the whole page is an error, block, login, maintenance or script notice: its lines have the form of
   such pages, or the page, numbers and paths masked, is repeated over the corpus and says so.
 
 Markers that are quoted or spoken about ("the field “{{name}}” is replaced ...") are not residue.
-All expressions run in the JVM over whole texts; the only shuffles are one of frames (partially
-aggregated, and only those that hold a default somewhere) and one of masked short pages.
+Blanks are forms to sign, not residue.  All expressions run in the JVM over whole texts; the only
+shuffles are those of frames and clauses (partially aggregated, and only those that share their ends
+with a clause that holds a default) and one of masked short pages.
 
 Defined results: null, empty and blank texts are never marked; repeated texts are each marked; one
 row for each marked row; an empty table gives an empty table; other columns are not read.
@@ -55,6 +59,12 @@ FIELD_FORMS = [
 ]
 # What programs write where a value is missing.
 DEFAULTS = r"(?:null|undefined|NaN|None|\[object Object\]|\{\})"
+# what a slot may keep instead of a value, to be judged by aligned records
+LOOSE = r"(?:null|undefined|NaN|None|N/A|XX+|××+|\[object Object\]|(?<![\w./@:-])[a-z]{1,20}(?:_[a-z0-9]{1,20}){1,4}(?![\w./@:-])|(?<![\w./@:-])[a-z]{2,20}[A-Z][a-z]{1,20}[A-Za-z]{0,20}(?![\w./@:-]))"
+#: Characters of a clause's ends by which clauses find each other, and of the far side of a slot.
+ENDS, FAR_SIDE = 3, 6
+#: Longest value of a slot, in characters.
+FILL_CHARS = 40
 # Dummy sentences of editors and keyboards.
 FILLER = [
     "这里是示例文字", "用来占位。", "正文区域，字数仅供参考", "默认正文，请编辑", "此段为测试内容", "排版效果演示", "上山打老虎",
@@ -154,22 +164,68 @@ def induced_slots(df: DataFrame, text_col: str, wanted: DataFrame) -> DataFrame:
     return frames.join(wanted, ["before", "after"], "left_semi").groupBy("before", "after").agg(F.count_distinct("fill").alias("ways")).where(F.col("ways") >= SHARED).select("before", "after")
 
 
-def residue(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, kind): every row that is or holds residue; kind is field, default, filler or notice."""
+def clauses(text: Column) -> Column:
+    """The clauses of a text, numbers masked."""
+    masked = F.regexp_replace(text, r"[0-9]+(?:[.,][0-9]+)*", "#")
+    return F.filter(F.transform(F.split(masked, r"[，,。；;！!？?\n]"), F.trim), lambda c: F.length(c) >= ENDS + 1)
+
+
+def clause_slots(text: Column) -> Column:
+    """(left, right) of every place in a clause that holds what a slot may keep, neither quoted nor spoken about."""
+    held = F.filter(clauses(text), lambda c: F.rlike(c, F.lit(QUOTED_BEFORE + LOOSE + QUOTED_AFTER)))
+    left = lambda c: F.regexp_extract(c, "^(.*?)" + QUOTED_BEFORE + LOOSE + QUOTED_AFTER, 1)
+    right = lambda c: F.regexp_extract(c, "^.*?" + QUOTED_BEFORE + LOOSE + QUOTED_AFTER + "(.*)$", 1)
+    return F.transform(held, lambda c: F.struct(left(c).alias("left"), right(c).alias("right")))
+
+
+def aligned_slots(df: DataFrame, text_col: str, wanted: DataFrame) -> DataFrame:
+    """(left, right) of the places among ``wanted`` that clauses of the corpus fill in at least ``SHARED`` ways.
+
+    A clause is aligned if it has the same start up to the place and goes on alike after it, or the
+    same end and comes to it alike; what stands between is the fill.
+    """
+    ends = lambda c: F.array(F.concat(F.lit("<"), F.substring(c, 1, ENDS)), F.concat(F.lit(">"), F.right(c, F.lit(ENDS))))
+    one = wanted.select("left", "right").distinct()
+    by_start = one.where(F.length("left") >= ENDS).select("left", "right", F.concat(F.lit("<"), F.substring("left", 1, ENDS)).alias("key"))
+    by_end = one.where(F.length("right") >= ENDS).select("left", "right", F.concat(F.lit(">"), F.right("right", F.lit(ENDS))).alias("key"))
+    places = materialise(by_start.unionByName(by_end), "places")
+    corpus = df.select(F.explode(clauses(F.col(text_col))).alias("clause")).select("clause", F.explode(ends(F.col("clause"))).alias("key"))
+    met = corpus.join(places, "key").select("left", "right", "clause", F.substring("key", 1, 1).alias("side"))
+    after, before = F.substring("right", 1, FAR_SIDE), F.right("left", F.lit(FAR_SIDE))
+    rest = F.expr("substring(clause, length(left) + 1)")
+    lead = F.expr("substring(clause, 1, length(clause) - length(right))")
+    cut = F.when(after == "", rest).when(F.instr(rest, after) > 1, F.call_function("substring_index", rest, after, F.lit(1)))
+    tail = F.when(before == "", lead).when(F.instr(lead, before) > 0, F.call_function("substring_index", lead, before, F.lit(-1)))
+    fill = F.when((F.col("side") == "<") & F.startswith("clause", F.col("left")), cut).when((F.col("side") == ">") & F.endswith("clause", F.col("right")), tail)
+    # in Latin script a place within a sentence whose fills are words of it is none: values are names or numbers
+    latin = F.rlike("left", F.lit("[A-Za-z] ?$")) | F.rlike("right", F.lit("^ ?[a-z]"))
+    value = ~F.rlike("fill", F.lit(LOOSE)) & F.when(latin, (F.trim("left") != "") & F.rlike("fill", F.lit("^[A-Z0-9#]"))).otherwise(True)
+    filled = met.select("left", "right", F.trim(fill).alias("fill")).where((F.length("fill") > 0) & (F.length("fill") <= FILL_CHARS) & value)
+    return filled.groupBy("left", "right").agg(F.count_distinct("fill").alias("ways")).where(F.col("ways") >= SHARED).select("left", "right")
+
+
+def residue(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", forms: bool = True) -> DataFrame:
+    """(id, kind): every row that is or holds residue; kind is field, default, filler or notice.
+
+    Without ``forms``, only what other records tell.
+    """
     read = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where(F.rlike(text_col, F.lit(r"\S")))
     text = F.col("text")
     kind = F.when(notice_page(text), "notice").when(holds_field(text), "field").when(holds_default(text), "default").when(holds_filler(text), "filler")
+    kind = kind if forms else F.lit(None).cast("string")
     # one pass over all texts: what its own form tells, and what only other records can tell
     loose = r"(?<=([^\d\n]{3}))(?:null|undefined|NaN|None|N/A|XX+|××+)(?=([^\d\n]{3}))"
     frames = F.when(
         F.rlike("text", F.lit("null|undefined|NaN|None|N/A|XX|××")),
         F.arrays_zip(F.regexp_extract_all("text", F.lit(loose), F.lit(1)).alias("before"), F.regexp_extract_all("text", F.lit(loose), F.lit(2)).alias("after")),
     )
+    # a plainer test first, as most texts keep nothing of the kind
+    places = F.when(F.rlike("text", F.lit(LOOSE)), clause_slots(F.col("text")))
     page = F.when((F.length("text") <= 200) & F.rlike(text, F.lit("(?i)(?:^|[\\s。，])" + NOTICE)), masked_page(text))
     # exploding an array of one keeps the costly expression from being copied into every use of it
     once = read.select("id", "text", F.explode(F.array(kind)).alias("kind"))
-    judged = once.select("id", "kind", F.when(F.col("kind").isNull(), frames).alias("frames"), F.when(F.col("kind").isNull(), page).alias("page"))
-    candidates = materialise(judged.where("kind IS NOT NULL OR size(frames) > 0 OR page IS NOT NULL").select("id", "kind", "frames", "page"), "residue")
+    judged = once.select("id", "kind", F.when(F.col("kind").isNull(), frames).alias("frames"), F.when(F.col("kind").isNull(), places).alias("places"), F.when(F.col("kind").isNull(), page).alias("page"))
+    candidates = materialise(judged.where("kind IS NOT NULL OR size(frames) > 0 OR size(places) > 0 OR page IS NOT NULL").select("id", "kind", "frames", "places", "page"), "residue")
     marked = candidates.where("kind IS NOT NULL").select("id", "kind")
     # short pages repeated over the corpus, numbers masked, that speak as a notice somewhere
     short = candidates.where("page IS NOT NULL").select("id", "page")
@@ -180,4 +236,8 @@ def residue(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     if not weak.isEmpty():
         slots = induced_slots(read, "text", weak.select("before", "after").distinct())
         found = found.unionByName(weak.join(slots, ["before", "after"], "left_semi").select("id", F.lit("default").alias("kind")))
+    held = candidates.where("size(places) > 0").select("id", F.explode("places").alias("p")).select("id", "p.left", "p.right")
+    if not held.isEmpty():
+        slots = aligned_slots(read, "text", held)
+        found = found.unionByName(held.join(slots, ["left", "right"], "left_semi").select("id", F.lit("default").alias("kind")))
     return found.dropDuplicates(["id"]).withColumnRenamed("id", id_col)

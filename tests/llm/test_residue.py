@@ -39,3 +39,13 @@ def test_slots_are_induced_from_aligned_records(spark):
     odd = [(100, "计划投入N/A万元用于改造。"), (101, "标记N/A表示缺失的数据。")]
     df = spark.createDataFrame([*filled, *odd], "doc_id long, text string")
     assert rows(residue.residue(df)) == [(100, "default")]
+
+
+def test_slots_with_any_fill_are_aligned(spark):
+    names = ["岚渡市", "芷溪州", "澜陵市工业局", "皓塬州"]
+    filled = [(i, f"本项目由{n}负责实施，总投资{i}万元。联系单位：{n}服务窗口\nThe permit was issued by {e} on 3 May.") for i, (n, e) in enumerate(zip(names, ["Ann Lee", "Bo Ray", "Cy Fox", "Di Orr"]))]
+    prose = [(50 + i, f"Readers follow the glossary; a {w} result is reported twice.") for i, w in enumerate(["good", "partial", "complete", "late"])]
+    odd = [(100, "本项目由N/A负责实施，总投资7万元。"), (101, "本项目由None负责实施，另行通知。"), (102, "联系单位：unit_name服务窗口"), (103, "The permit was issued by None on 3 May.")]
+    clean = [(200, "Readers follow the glossary; a null result is reported twice."), (201, "本项目由“N/A”负责实施的写法应更正。"), (202, "备注栏不得填写null或undefined，否则退回。")]
+    df = spark.createDataFrame([*filled, *prose, *odd, *clean], "doc_id long, text string")
+    assert rows(residue.residue(df)) == [(i, "default") for i in (100, 101, 102, 103)]
