@@ -12,7 +12,8 @@ names, labels, numbers).  A record is marked if
   name instead of a value,
 * a run of it is filler: one unit said over and over, or words of the usual dummy texts,
 * the whole page is an error, block, login, maintenance or script notice: its lines have the form of
-  such pages, or the page, numbers and paths masked, is repeated over the corpus and says so.
+  such pages, or the page, numbers and paths masked, is repeated over the corpus and says so,
+* a line or sentence of it, in a text of any length, is such a notice by itself (``holds_notice``).
 
 Markers that are quoted or spoken about ("the field “{{name}}” is replaced ...") are not residue.
 Blanks are forms to sign, not residue.  All expressions run in the JVM over whole texts; the only
@@ -32,8 +33,11 @@ from loomwright.session import materialise
 
 #: A frame or a page counts as shared by records from this many on.
 SHARED = 3
-#: Longest page, in characters, that can be nothing but a notice.
-PAGE_CHARS = 600
+#: Longest page, in characters, that counts as a notice because copies of it speak like one somewhere;
+#: in longer ones the notice has to be a line or a sentence of its own.
+PAGE_CHARS = 200
+#: From this many characters on, a page of notices is held to one sentence a line.
+LONG_PAGE = 600
 
 NAME = r"[A-Za-z_一-龥][\w.一-龥]{0,40}"
 # Forms in which template languages, form letters and editors mark a field.
@@ -104,6 +108,32 @@ NOTICE = "(?:" + "|".join(NOTICES) + ")"
 # what may accompany a notice: stack frames, paths, ids, server names, short advice
 COMPANION = r"(?:\s*at \S+\(.*|\s*File \".*|\w*(?:Error|Exception)\b.*|/\S*|nginx.*|apache.*|.{0,120}(?i:reference|request|ray|server|upstream|permission|请求编号|事件|规则|错误码|编号|自动返回|正在跳转|返回首页|执行语句|稍后|删除|更改|不可用|谅解).{0,120})"
 
+# Notices that fill a line or a sentence of real content, up to where they may end.
+_ENDS = r"(?=\s*(?:$|[\n，,。.!！:：(（—]|- ))"
+BLOCKS = (
+    r"(?:HTTP )?[45]\d\d (?:Bad Gateway|Forbidden|Not Found|Service (?:Temporarily )?Unavailable|Gateway Time-?out|Internal Server Error|Unauthorized|Too Many Requests)" + _ENDS,
+    r"(?:Internal Server Error|Access denied|Bad Gateway|Service (?:Temporarily )?Unavailable)" + _ENDS,
+    r"Error establishing a (?:database )?connection",
+    r"(?:Sorry, )?(?:Please |You need to |You must )?(?:enable|turn on|allow|activate) (?:your )?(?:JavaScript|scripts?|cookies)(?:" + _ENDS + r"| (?:to|in|and|for|before|on)\b)",
+    r"(?:JavaScript|Scripts?|Cookies) (?:is|are|must be) (?:required|disabled|enabled|blocked|turned)(?:" + _ENDS + r"| (?:to|in|off|on|for)\b)",
+    r"(?:Are you a robot\?|Checking (?:if the site|your browser)|Just a moment\.\.\.|Verify(?:ing)? (?:that )?you are (?:a )?human|Complete the captcha|Oops!)",
+    r"(?:Sorry, )?(?:the |this )?page (?:\S{1,80} )?(?:you \w{1,20} \w{1,20} )?(?:can(?:’t|'t|not| not)|could not|was not|does not) (?:be found|found|exist)" + _ENDS,
+    r"(?:(?:This |Our |The )?(?:Site|System|website) (?:is )?(?:currently )?under maintenance|We(?:’|')ll be back (?:soon|shortly))",
+    r"(?:Your session (?:has )?(?:expired|timed out)|Session expired)" + _ENDS,
+    r"(?:Please |You must )?(?:log|sign) in to (?:continue|view|read|see|access) ?(?:" + _ENDS + r"|(?:this|the) (?:page|article|content|full text))",
+    r"(?:Traceback \(most recent call last\)|Fatal error: |Warning: \w+\(\)|Uncaught \w*(?:Error|Exception)|java\.\w+\.[\w.]*(?:Exception|Error)|System\.\w+\.\w*Exception|org\.\w+\.[\w.]*(?:NotFound|Exception|Error)|ORA-\d{5}: |SQLSTATE\[)",
+    r"(?:抱歉|对不起|很遗憾)?[，, ]?(?:您|你)(?:所)?(?:访问|请求|查找|要查看)的(?:页面|网页|资源|文件|地址|内容)[^。，\n]{0,60}(?:不存在|已?下线|已?(?:被)?删除|已?迁移|找不到|已?失效|已?过期)" + _ENDS,
+    r"(?:HTTP )?(?:\d{3} ?-? ?)?(?:找不到|无法找到|无法显示|无法访问)(?:该|此)?(?:文件|页面|网页|资源)" + _ENDS,
+    r"(?:页面不存在|页面已删除|访问被拒绝|拒绝访问|(?:您)?(?:没有权限|无权)访问(?:该|此|本)(?:页面|内容|资源)|会话已过期|会话超时|登录超时|登录已失效|网关超时|网关错误|服务器(?:开小差(?:了)?|内部错误|错误|繁忙)|系统繁忙)" + _ENDS,
+    r"(?:系统|网站|平台|本站|服务)(?:正在)?(?:维护中|停机维护中|升级维护中|升级中)" + _ENDS,
+    r"(?:该|此|本)(?:内容|页面|栏目|文章)(?:需|需要)?(?:请)?(?:先)?登录(?:后|以|才)(?:能|可|方可|继续)?(?:查看|阅读|浏览|访问)",
+    r"(?:请)?(?:输入|完成)(?:图形)?验证码(?:后|以)(?:继续|访问|查看)|正在验证您的浏览器|您的IP(?:访问过于频繁|已被)",
+    r"(?:抱歉|对不起)?[，, ]?(?:请|您需要)(?:先)?(?:在(?:您的)?浏览器中)?(?:开启|启用|打开|允许)(?:您的)?(?:浏览器)?(?:的)?[ “]?(?:JS|JavaScript|脚本|Cookie)",
+    r"(?:您|你)的浏览器(?:未启用|不支持|禁用了?|已禁用|版本过低)|本(?:页|站)需(?:要)?脚本",
+)
+# What a sentence says that speaks about notices.
+ABOUT = r"(?i:投诉|反映|反馈称|问题|提示语|字样|一类|之类|现象|情况|次数|工单|培训|演练|应当|应由|应及|不得|\bcomplain|\breport(?:s|ed)\b|\btickets?\b|\busers\b|\bcases?\b|\bincidents?\b|\bmeans?\b|\bwording\b|\bphrase\b)"
+
 
 def _any(text: Column, patterns) -> Column:
     return F.rlike(text, F.lit("|".join(patterns)))
@@ -144,9 +174,19 @@ def holds_filler(text: Column) -> Column:
 
 def notice_page(text: Column) -> Column:
     """The whole page is a notice: it begins with one and every other line is one or accompanies one."""
-    page = F.when(F.length(text) <= PAGE_CHARS, F.trim(F.regexp_replace(text, r"^[\s　]+|[\s　]+$", "")))
-    form = r"(?is)^" + NOTICE + r"[^\n]*(?:\n\s*(?:" + NOTICE + r"[^\n]*|" + COMPANION.replace(".{0,120}", r"[^\n]{0,120}").replace(".*", r"[^\n]*") + r"))*$"
-    return (F.length(text) <= PAGE_CHARS) & F.rlike(page, F.lit(form))
+    page = F.trim(F.regexp_replace(text, r"^[\s　]+|[\s　]+$", ""))
+    first = r"(?is)^[\s　]*" + NOTICE
+    # judged line by line: a page may be of any length; on a long one a notice is one sentence a line
+    companion = COMPANION.replace(".{0,120}", r"[^\n]{0,120}").replace(".*", r"[^\n]*")
+    line = lambda rest: r"(?is)^\s*(?:" + NOTICE + rest + "|" + companion + "|)$"
+    every = lambda rest: F.forall(F.split(page, "\n"), lambda x: F.rlike(x, F.lit(line(rest))))
+    return F.rlike(text, F.lit(first)) & F.when(F.length(text) <= LONG_PAGE, every(r"[^\n]*")).otherwise(every(r"[^\n。.]*[。.]?\s*"))
+
+
+def holds_notice(text: Column) -> Column:
+    """A line or a sentence of the text, however long that is, is a notice, neither quoted nor spoken about."""
+    at = r"(?:^|[\n。！？!?][\s　]*|\. +)"
+    return F.rlike(text, F.lit(r"(?i)" + at + "(?:" + "|".join(BLOCKS) + r")(?![^\n。！!]*" + ABOUT + r")(?!\s?[”’」』\"'`])"))
 
 
 def masked_page(text: Column) -> Column:
@@ -211,7 +251,7 @@ def residue(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", forms
     """
     read = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where(F.rlike(text_col, F.lit(r"\S")))
     text = F.col("text")
-    kind = F.when(notice_page(text), "notice").when(holds_field(text), "field").when(holds_default(text), "default").when(holds_filler(text), "filler")
+    kind = F.when(notice_page(text) | holds_notice(text), "notice").when(holds_field(text), "field").when(holds_default(text), "default").when(holds_filler(text), "filler")
     kind = kind if forms else F.lit(None).cast("string")
     # one pass over all texts: what its own form tells, and what only other records can tell
     loose = r"(?<=([^\d\n]{3}))(?:null|undefined|NaN|None|N/A|XX+|××+)(?=([^\d\n]{3}))"
@@ -221,7 +261,7 @@ def residue(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", forms
     )
     # a plainer test first, as most texts keep nothing of the kind
     places = F.when(F.rlike("text", F.lit(LOOSE)), clause_slots(F.col("text")))
-    page = F.when((F.length("text") <= 200) & F.rlike(text, F.lit("(?i)(?:^|[\\s。，])" + NOTICE)), masked_page(text))
+    page = F.when((F.length("text") <= PAGE_CHARS) & F.rlike(text, F.lit("(?i)(?:^|[\\s。，])" + NOTICE)), masked_page(text))
     # exploding an array of one keeps the costly expression from being copied into every use of it
     once = read.select("id", "text", F.explode(F.array(kind)).alias("kind"))
     judged = once.select("id", "kind", F.when(F.col("kind").isNull(), frames).alias("frames"), F.when(F.col("kind").isNull(), places).alias("places"), F.when(F.col("kind").isNull(), page).alias("page"))

@@ -49,3 +49,18 @@ def test_slots_with_any_fill_are_aligned(spark):
     clean = [(200, "Readers follow the glossary; a null result is reported twice."), (201, "本项目由“N/A”负责实施的写法应更正。"), (202, "备注栏不得填写null或undefined，否则退回。")]
     df = spark.createDataFrame([*filled, *prose, *odd, *clean], "doc_id long, text string")
     assert rows(residue.residue(df)) == [(i, "default") for i in (100, 101, 102, 103)]
+
+
+def test_notices_within_texts_of_any_length(spark):
+    body = "充放电曲线由属地供电所及时确认，偏差超过3%的计入考核。\n" * 40
+    frames = "\n".join(f"  File \"/srv/app/module_{i}.py\", line {i}, in handle" for i in range(60))
+    held = [
+        body + "Please enable JavaScript to view this page.", "请启用JavaScript以继续浏览。\n" + body, body + "您访问的页面不存在\n" + body, "The plan was filed. Your session has expired. Staff keep records.",
+        body + "系统维护中，预计8点恢复。", body + "该内容需登录后查看", "Traceback (most recent call last):\n" + frames + "\nKeyError: 'x'", "502 Bad Gateway\n" + "nginx/1.2\n" * 200, body + "java.lang.NullPointerException\n\tat a.b.C(D.java:1)",
+    ]
+    clean = [
+        body + "系统维护中发现的问题另案处理。", body + "请登录后在系统内填报申请表。", body + "平台升级改造，由信息中心负责。", body + "登录超时问题已修复。", body + "“您访问的页面不存在”一类提示语应删除。", body + "Access denied events rose by 3 in May.",
+        body + "页面不存在的情况由运维单位登记。", "Sign in to the portal before 5 May. " * 40, body + "提示“请启用JavaScript”，经核实为版本过低。", "Staff filed the plan. Users reported that the page could not be found.",
+    ]
+    df = spark.createDataFrame([*enumerate(held), *((100 + i, t) for i, t in enumerate(clean))], "doc_id long, text string")
+    assert rows(residue.residue(df)) == [(i, "notice") for i in range(len(held))]
