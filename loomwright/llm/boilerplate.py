@@ -19,7 +19,7 @@ built by one partially aggregated shuffle however many pages a host has.
 All other lines are the remaining slots: the body.
 
 Copies of one page must not look like a template, so vectors count ids, not rows, and a valid class
-needs ``LEAST_PAGES`` of them; recurring sentences of policies ("hereby notified") are single tokens
+needs ``LEAST_PAGES`` of them, or half of a smaller host's and less than half of what stands on them; recurring sentences of policies ("hereby notified") are single tokens
 spread over all hosts and stay in the body.
 
 Defined results: null and empty texts have no lines; blank lines are never the site's; a page without
@@ -35,11 +35,14 @@ from pyspark.sql import Window as W
 
 from loomwright.session import materialise
 
-#: Ids on which a class or a host's own token must stand.
+#: Ids on which a class, a slot or a host's own token must stand.
 LEAST_PAGES = 12
+#: On hosts with few ids a class must stand on half of them, and on this many.
+LEAST_OF_FEW = 3
 #: A token is a host's own if it is seen on less than this share of the hosts chance would give it.
 OWN_SHARE = 0.6
-#: Longest line, in characters, that can be furniture.
+#: Longest line, in characters, whose form is looked at; longer ones are the site's by the template, or
+#: if they are nothing but entries of navigation bars.
 LINE_CHARS = 200
 
 # Entries of navigation bars.
@@ -109,8 +112,11 @@ def page_lines(pages: DataFrame, row_id: str, page_id: str, url: str, text: str)
     )
     line = F.trim(F.regexp_replace("line", r"^[\s　]+|[\s　]+$", ""))
     short = F.length("line") <= LINE_CHARS
+    # without a repeated group, as a line may be of any length
+    entries = r"(?:" + "|".join(sorted(NAVIGATION, key=len, reverse=True)) + r")(?=[\s　·|/>→-]|$)|[\s　·|/>→-]+"
+    bar = F.rlike("line", F.lit("^" + navigation + r"[\s　·|/>→-]")) & (F.regexp_replace("line", entries, "") == "")
     kind = (
-        F.when(~short, "")
+        F.when(~short, F.when(bar, "form").otherwise(""))
         .when(F.rlike("line", F.lit(_whole([headings]))), "heading")
         .when(F.rlike("line", F.lit(_whole([separated, *FORMS]))), "form")
         .when(F.rlike("line", F.lit(_whole(ENTRIES))), "entry")
@@ -119,7 +125,7 @@ def page_lines(pages: DataFrame, row_id: str, page_id: str, url: str, text: str)
     return (
         read.withColumn("line", line)
         .where("line != ''")
-        .select("row", "page", "host", (F.col("at") + 1).cast("long").alias("line_no"), F.when(short, F.xxhash64(F.regexp_replace("line", r"[0-9]+", "#"))).alias("token"), kind.alias("kind"), F.length("line").alias("chars"))
+        .select("row", "page", "host", (F.col("at") + 1).cast("long").alias("line_no"), F.xxhash64(F.regexp_replace("line", r"[0-9]+", "#")).alias("token"), kind.alias("kind"), F.length("line").alias("chars"))
     )
 
 
@@ -144,16 +150,24 @@ def valid_classes(lines: DataFrame, classes: DataFrame) -> DataFrame:
 
 def template_tokens(lines: DataFrame) -> DataFrame:
     """(host, token): tokens of each host's template, by occurrence vectors alone."""
-    once = lines.where("token IS NOT NULL").groupBy("host", "token", "page").agg(F.count(F.lit(1)).alias("times"))
+    once = lines.groupBy("host", "token", "page").agg(F.count(F.lit(1)).alias("times"))
     once = once.select("host", "token", F.xxhash64("page", "times").alias("mark"))
     vectors = once.groupBy("host", "token").agg(F.count(F.lit(1)).alias("pages"), F.sum(F.shiftrightunsigned("mark", 32)).alias("high"), F.sum(F.col("mark").bitwiseAND(F.lit(0xFFFFFFFF))).alias("low"))
     # all hosts of every token that is common on some host
-    frequent = once.groupBy("token").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= LEAST_PAGES).select("token")
+    frequent = once.groupBy("token").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min(LEAST_PAGES, LEAST_OF_FEW)).select("token")
     vectors = materialise(vectors.join(frequent, "token", "left_semi"), "vectors")
     common = vectors.where(F.col("pages") >= LEAST_PAGES)
     # classes: several tokens equally often on exactly the same pages
-    alike = common.groupBy("host", "pages", "high", "low").agg(F.collect_set("token").alias("tokens")).where(F.size("tokens") > 1)
-    classes = valid_classes(lines, alike.select("host", F.xxhash64("host", "pages", "high", "low").alias("class"), "pages", "tokens"))
+    ids = lines.groupBy("host").agg(F.count_distinct("page").alias("ids"))
+    least = F.least(F.lit(LEAST_PAGES), F.greatest(F.lit(LEAST_OF_FEW), F.ceil(F.col("ids") / 2)))
+    alike = vectors.join(ids, "host").where(F.col("pages") >= least).groupBy("host", "pages", "high", "low").agg(F.collect_set("token").alias("tokens")).where(F.size("tokens") > 1)
+    alike = alike.select("host", F.xxhash64("host", "pages", "high", "low").alias("class"), "pages", "tokens")
+    few = alike.where(F.col("pages") < LEAST_PAGES).select("host", "class", F.explode("tokens").alias("token"))
+    # a few copies of one page share most of it, a template of a small host leaves room for the body
+    held = lines.join(few, ["host", "token"]).groupBy("host", "class", "row").agg(F.sum("chars").alias("held"))
+    whole = lines.join(few.select("host").distinct(), "host", "left_semi").groupBy("row").agg(F.sum("chars").alias("chars"))
+    copied = held.join(whole, "row").groupBy("host", "class").agg(F.sum("held").alias("held"), F.sum("chars").alias("chars")).where("2 * held >= chars").select("host", "class")
+    classes = valid_classes(lines, alike.join(copied, ["host", "class"], "left_anti"))
     # tokens that stay on few hosts: chance would put n pages on sum(1 - (1 - share)^n) of them.  Hosts are
     # counted by size in quarter steps of log2, so that what comes to the driver is at most some 200 rows
     sizes = lines.select("host", "row").distinct().groupBy("host").agg(F.count(F.lit(1)).alias("n"))

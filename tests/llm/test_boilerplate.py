@@ -77,3 +77,15 @@ def test_classes_are_ordered_nested_and_count_occurrences(spark):
     other = [(p, p, "g", 0, t, "", 1) for p in range(20, 40) for t in (1, 2)]
     df = spark.createDataFrame(lines + other, "row long, page long, host string, line_no int, token long, kind string, chars int")
     assert ("h", 1) not in rows(boilerplate.template_tokens(df))  # on the same pages, but not equally often
+
+
+def test_long_lines_and_small_hosts(spark):
+    long = "本馆以小块数据辨认来访者，" * 30
+    body = lambda i: "\n".join(f"单位{chr(0x4E00 + i * 7 + k)}就{chr(0x5000 + i * 3 + k)}事项作出说明，并逐项办理，按期报送材料。" * 3 for k in range(9))
+    data = [(i, f"id{i}", "https://www.m.example/a", f"{long}\n{body(i)}\n馆内须知全文{long}") for i in range(20)]
+    data += [(100 + i, f"s{i}", "https://www.s.example/a", f"甲栏乙栏丙栏\n{body(30 + i)}\n本馆开放时间见门前公示牌") for i in range(6)]
+    data += [(200 + i, f"c{i}", "https://www.c.example/a", body(50)) for i in range(6)]  # copies of one page under many ids
+    data += [(300, "n", "https://www.z.example/a", " | ".join(["首页", "政策文件", "网站地图"] * 5000) + "\n" + body(60))]
+    df = spark.createDataFrame(data, "record_id long, id string, url string, content_text string")
+    found = rows(boilerplate.site_lines(df, "record_id", "id", "url", "content_text"))
+    assert found == [(i, n) for i in range(20) for n in (1, 11)] + [(100 + i, n) for i in range(6) for n in (1, 11)] + [(300, 1)]
