@@ -19,6 +19,10 @@ pair above it fails with a probability below 1e-4); then exactly on the windows
 one class beforehand, so copies meet neither in the index nor in verification; class pairs are
 expanded to records last, group by group of (class, id), never within one id.
 
+These bounds take the places of a sketch as independent, which they are not where a text has few
+distinct windows (repetitive text).  Pairs with a text of fewer than ``FEW_WINDOWS`` of them take an
+exact way instead: sets that overlap enough share a window among the first of each in hash order.
+
 Defined results: null or short texts match nothing; a null title counts as ''; rows without an id
 pair with nothing; ties at the
 threshold match; repeated rows of other ids are pairs; an empty table gives an empty result; other
@@ -50,6 +54,8 @@ KEY_COST = 0.5
 BITS_APART = 25
 #: Ids up to this number (16 MB) are broadcast after they were counted; more are joined by shuffle.
 BROADCAST_IDS = 2_000_000
+#: Distinct windows below which a text's pairs are found exactly: three times the parts of four values.
+FEW_WINDOWS = 240
 
 MASK = (1 << 64) - 1
 
@@ -175,7 +181,7 @@ def _base(rows: DataFrame, row_id: str, group_id: str, title: str, body: str) ->
 
 
 def _sketched(base: DataFrame, thresholds: list[int], shape: tuple[int, int]) -> DataFrame:
-    """(row, own, digest, keys, bits, bytes) of every row; Python sees each text once."""
+    """(row, own, digest, keys, bits, bytes, size) of every row; Python sees each text once."""
     row_type, own_type = base.schema["row"].dataType.simpleString(), base.schema["own"].dataType.simpleString()
 
     def run(batches):
@@ -185,9 +191,11 @@ def _sketched(base: DataFrame, thresholds: list[int], shape: tuple[int, int]) ->
         import pyarrow as pa
 
         for batch in batches:
-            digests, probes, bits, small = [], [], [], []
+            digests, probes, bits, small, sizes = [], [], [], [], []
             for text in batch.column(2).to_pylist():
-                values = sketch(windows(text), shape)
+                own = windows(text)
+                values = sketch(own, shape)
+                sizes.append(len(own))
                 digests.append(hashlib.blake2b(text.encode(), digest_size=16).digest())
                 probes.append(keys(values, thresholds).view(np.int64))
                 bits.append(int(np.packbits((values[0, :64] & np.uint64(1)).astype(bool)).view(np.int64)[0]))
@@ -196,10 +204,10 @@ def _sketched(base: DataFrame, thresholds: list[int], shape: tuple[int, int]) ->
             flat = np.concatenate(probes) if probes else np.zeros(0, dtype=np.int64)
             lists = pa.ListArray.from_arrays(pa.array(np.arange(len(digests) + 1, dtype=np.int32) * count), pa.array(flat))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(digests, pa.binary()), lists, pa.array(bits, pa.int64()), pa.array(small, pa.binary())], names=["row", "own", "digest", "keys", "bits", "bytes"]
+                [batch.column(0), batch.column(1), pa.array(digests, pa.binary()), lists, pa.array(bits, pa.int64()), pa.array(small, pa.binary()), pa.array(sizes, pa.int64())], names=["row", "own", "digest", "keys", "bits", "bytes", "size"]
             )
 
-    return base.mapInArrow(run, f"row {row_type}, own {own_type}, digest binary, keys array<bigint>, bits bigint, bytes binary")
+    return base.mapInArrow(run, f"row {row_type}, own {own_type}, digest binary, keys array<bigint>, bits bigint, bytes binary, size bigint")
 
 
 def _sketches(texts: DataFrame, shape: tuple[int, int]) -> list:
@@ -235,6 +243,23 @@ def _alike(pairs: DataFrame, columns: tuple[str, str], verdict) -> DataFrame:
     return pairs.select("a", "b", *columns).mapInArrow(run, kinds)
 
 
+def _first_windows(texts: DataFrame, similarity: float) -> DataFrame:
+    """(row, size, key): the windows of each text of which sets that overlap enough share one."""
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        for batch in batches:
+            found = [windows(t) for t in batch.column(1).to_pylist()]
+            first = [w[: len(w) - math.ceil(similarity * len(w) - 1e-9) + 1] for w in found]
+            at = np.repeat(np.arange(len(found)), [len(w) for w in first])
+            flat = np.concatenate(first).view(np.int64) if first else np.zeros(0, dtype=np.int64)
+            sizes = np.array([len(w) for w in found], dtype=np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at)), pa.array(sizes[at]), pa.array(flat)], names=["row", "size", "key"])
+
+    return texts.mapInArrow(run, f"row {texts.schema['row'].dataType.simpleString()}, size bigint, key bigint")
+
+
 def similar_classes(rows: DataFrame, row_id: str, group_id: str, title: str, body: str, similarity: float = SIMILARITY) -> tuple[DataFrame, DataFrame]:
     """(members, links): (row, own, rep) of every long enough row, and (a, b), a < b, of linked classes."""
     base = _base(rows, row_id, group_id, title, body)
@@ -270,6 +295,15 @@ def similar_classes(rows: DataFrame, row_id: str, group_id: str, title: str, bod
     sketched = pairs.join(small.select(F.col("row").alias("a"), F.col("bytes").alias("x")), "a").join(small.select(F.col("row").alias("b"), F.col("bytes").alias("y")), "b")
     likely = materialise(_alike(sketched, ("x", "y"), sketch_alike), "likely")
 
+    # texts of few windows: a partner that overlaps enough has at most so many more
+    if not firsts.where(F.col("size") < FEW_WINDOWS).isEmpty():
+        small = firsts.where(F.col("size") <= FEW_WINDOWS / similarity).select(F.col("row").alias(row_id))
+        read = rows.select(row_id, group_id, title, body).join(_counted(small), row_id, "left_semi")
+        first = materialise(_first_windows(_base(read, row_id, group_id, title, body).select("row", "text"), similarity), "first")
+        met = first.where(F.col("size") < FEW_WINDOWS).alias("a").join(first.alias("b"), (F.col("a.key") == F.col("b.key")) & (F.col("a.row") != F.col("b.row")))
+        exact = met.select(F.least("a.row", "b.row").alias("a"), F.greatest("a.row", "b.row").alias("b")).distinct()
+        likely = materialise(likely.unionByName(exact).distinct(), "likely")
+
     def windows_alike(x, y):
         import numpy as np
 

@@ -67,3 +67,18 @@ def test_thresholds_keep_the_bound():
     # parts that are costly are skipped while others reach the bound
     assert chosen[:8] == [-1] * 8
     assert nearcopy.shape_of(10**5)[0] == 4 and nearcopy.shape_of(10**9)[0] > nearcopy.shape_of(10**7)[0]
+
+
+def test_repetitive_texts_as_brute_force(spark):
+    r = random.Random(5)
+    char = lambda: chr(0x4E00 + r.randrange(3000))
+    data = []
+    for g in range(150):
+        unit = [char() for _ in range(r.randrange(12, 60))]
+        for v in range(3):
+            own = list(unit)
+            for _ in range(v and r.randrange(1, 1 + max(1, len(unit) // 16))):
+                own[r.randrange(len(own))] = char()
+            data.append((len(data), f"id{g}-{v}", None, "".join(own) * (320 // len(own) + 1), "r", "k", 1))
+    found = rows(nearcopy.similar_pairs(spark.createDataFrame(data, S), "record_id", "id", "title", "content_text"))
+    assert found == brute(data) and len(found) > 100
