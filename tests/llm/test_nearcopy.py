@@ -82,3 +82,11 @@ def test_repetitive_texts_as_brute_force(spark):
             data.append((len(data), f"id{g}-{v}", None, "".join(own) * (320 // len(own) + 1), "r", "k", 1))
     found = rows(nearcopy.similar_pairs(spark.createDataFrame(data, S), "record_id", "id", "title", "content_text"))
     assert found == brute(data) and len(found) > 100
+
+
+def test_five_values_as_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(nearcopy, "FOUR_VALUES", 50)
+    data = corpus(11)
+    assert nearcopy.shape_of(len(data)) == (5, 112)
+    found = rows(nearcopy.similar_pairs(spark.createDataFrame(data, S), "record_id", "id", "title", "content_text"))
+    assert found == brute(data) and len(found) > 20
