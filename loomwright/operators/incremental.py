@@ -8,8 +8,9 @@ through dynamic partition overwrite, and stores the new fingerprints last.  A ru
 between leaves the old fingerprints, so the next run does the same partitions again and replaces
 what was written: nothing is skipped, nothing stays twice.
 
-``changes_by_run`` replays a whole log of runs in one pass with the same fingerprints: a partition
-that received nothing that counts before a run's cutoff is not looked at for that run.
+``changes_by_run`` replays a whole log of runs in one pass: a window over each key's runs.  The
+fingerprints it builds skip nothing, as a partition has a row only for runs in which it gained rows;
+incremental processing proper is ``refresh``.
 
 Defined results: a null key is a key of its own; null values compare equal to null; rows delivered
 twice change nothing; failed rows never count; without a succeeded run there is no case; an empty
@@ -132,7 +133,7 @@ def changes_by_run(checks: DataFrame, runs: list[tuple[str, object]], key: str,
     for c in ("rows", "high", "low"):
         moved = moved | ~F.col(c).eqNullSafe(F.lag(c).over(before))
     changed = so_far.withColumn("moved", moved).where("moved").select("part", "run")
-    # only the changed partitions of each run are recomputed
+    # every partition that gained rows has moved, so all of them are recomputed
     redo = placed.join(changed, ["part", "run"], "left_semi")
     history = W.partitionBy("part", "key").orderBy("run")
     running = redo.withColumn("now", F.max("best").over(history.rowsBetween(W.unboundedPreceding, W.currentRow)))
