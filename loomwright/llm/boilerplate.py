@@ -12,9 +12,14 @@ built by one partially aggregated shuffle however many pages a host has.
 * What lies between two tokens of the template, or between one and an end of the page, is a slot of
   the host.  The body is what fills the page's largest run; a slot that never holds it on enough pages
   is the site's, whatever fills it (breadcrumbs, dates, entries of lists).
-* Furniture that stands alone in the body, or on all hosts alike, leaves no such trace.  Stated forms
-  (navigation, breadcrumbs, tools, notices, footers) and list headings with the entries that follow
-  them without a break are added to the template; ``forms=False`` leaves them out.
+* Lines that fill slots in many ways (list headings and entries, links to the next page, tools) are
+  known by the slots they fill: a kind of line that lies outside the largest run on ``SLOT_SHARE`` of
+  its pages is the site's wherever it stands, also amid the body; what policies say lies in the largest
+  run always.  Kinds are the masked line; its start and shape where lines of its own are too few; its
+  shape alone where those are too few.  The finest kind with enough pages decides (``slot_kinds``).
+* A rest too rare for either (3 % of the lines at sf0.1) is left to stated forms: navigation, breadcrumbs,
+  tools, notices, footers, and list headings with the entries that follow them without a break.
+  ``forms=False`` leaves it out.
 
 All other lines are the remaining slots: the body.
 
@@ -39,6 +44,10 @@ from loomwright.session import materialise
 LEAST_PAGES = 12
 #: On hosts with few ids a class must stand on half of them, and on this many.
 LEAST_OF_FEW = 3
+#: Share of its pages on which a kind of line must lie outside the largest run.
+SLOT_SHARE = 0.03
+#: Characters of a line's start that tell kinds of one shape apart.
+START_CHARS = 3
 #: A token is a host's own if it is seen on less than this share of the hosts chance would give it.
 OWN_SHARE = 0.6
 #: Longest line, in characters, whose form is looked at; longer ones are the site's by the template, or
@@ -99,8 +108,10 @@ def _whole(patterns: list[str]) -> str:
 
 
 def page_lines(pages: DataFrame, row_id: str, page_id: str, url: str, text: str) -> DataFrame:
-    """(row, page, host, line_no, token, kind, chars): every line that is not blank; kind tells what its form says.
+    """(row, page, host, line_no, token, start, shape, marked, kind, chars): every line that is not blank.
 
+    token: the line, numbers masked; shape: the same, words masked; start: its first characters and its
+    shape; marked: whether the shape has signs that tell it from a plain line or a label with its value.
     kind: form (furniture anywhere), heading (opens a list), entry (of the form of list entries), ''.
     chars: length of the line.
     """
@@ -122,11 +133,12 @@ def page_lines(pages: DataFrame, row_id: str, page_id: str, url: str, text: str)
         .when(F.rlike("line", F.lit(_whole(ENTRIES))), "entry")
         .otherwise("")
     )
-    return (
-        read.withColumn("line", line)
-        .where("line != ''")
-        .select("row", "page", "host", (F.col("at") + 1).cast("long").alias("line_no"), F.xxhash64(F.regexp_replace("line", r"[0-9]+", "#")).alias("token"), kind.alias("kind"), F.length("line").alias("chars"))
-    )
+    kept = read.withColumn("line", line).where("line != ''").withColumn("masked", F.regexp_replace("line", r"[0-9]+", "#"))
+    shaped = kept.withColumn("shape", F.regexp_replace("masked", r"\p{L}+", "x"))
+    return shaped.select(
+        "row", "page", "host", (F.col("at") + 1).cast("long").alias("line_no"), F.xxhash64("masked").alias("token"), F.xxhash64(F.substring("masked", 1, START_CHARS), "shape").alias("start"),
+        F.xxhash64("shape").alias("shape"), F.rlike("shape", F.lit("[^x#：: ]")).alias("marked"), kind.alias("kind"), F.length("line").alias("chars"),
+    )
 
 
 def valid_classes(lines: DataFrame, classes: DataFrame) -> DataFrame:
@@ -182,34 +194,69 @@ def template_tokens(lines: DataFrame) -> DataFrame:
     return classes.unionByName(common.join(own, "token", "left_semi").select("host", "token")).distinct()
 
 
-def slot_lines(marked: DataFrame) -> DataFrame:
+def in_runs(lines: DataFrame) -> DataFrame:
+    """The lines with ``run`` and ``outside``.
+
+    A run begins with its template token and ends before the next one; outside: the line is none of the
+    template and its run is not the largest of a page that holds template tokens.
+    """
+    page = W.partitionBy("row")
+    placed = lines.withColumn("run", F.sum(F.col("nested").cast("int")).over(page.orderBy("line_no")))
+    sized = placed.withColumn("held", F.sum(F.when(~F.col("nested"), F.col("chars")).otherwise(0)).over(W.partitionBy("row", "run")))
+    outside = ~F.col("nested") & (F.col("held") < F.max("held").over(page)) & F.max("nested").over(page)
+    return sized.withColumn("outside", outside).drop("held")
+
+
+def slot_lines(placed: DataFrame) -> DataFrame:
     """(row, line_no) of the lines in slots of the template that never hold the largest run of a page.
 
-    marked: (row, page, host, line_no, token, chars, nested).
+    placed: lines with ``nested``, ``run`` and ``outside``.
     """
-    order = W.partitionBy("row").orderBy("line_no")
-    placed = marked.withColumn("run", F.sum(F.col("nested").cast("int")).over(order))
-    # a run begins with its template token; the token of the next run closes it
-    runs = placed.groupBy("row", "run", "page", "host").agg(F.max(F.when(F.col("nested"), F.col("token"))).alias("before"), F.sum(F.when(~F.col("nested"), F.col("chars")).otherwise(0)).alias("chars"))
-    bounded = runs.withColumn("after", F.lead("before").over(W.partitionBy("row").orderBy("run"))).withColumn("largest", F.col("chars") == F.max("chars").over(W.partitionBy("row")))
-    filled = materialise(bounded.where("chars > 0 AND (before IS NOT NULL OR after IS NOT NULL)").select("row", "run", "page", "host", F.xxhash64("before", "after", F.isnull("before")).alias("slot"), "largest"), "runs")
+    before = F.max(F.when(F.col("nested"), F.col("token"))).alias("before")
+    runs = placed.groupBy("row", "run", "page", "host").agg(before, F.count_if(~F.col("nested")).alias("lines"), (~F.max("outside")).alias("largest"))
+    bounded = runs.withColumn("after", F.lead("before").over(W.partitionBy("row").orderBy("run")))
+    filled = materialise(bounded.where("lines > 0 AND (before IS NOT NULL OR after IS NOT NULL)").select("row", "run", "page", "host", F.xxhash64("before", "after", F.isnull("before")).alias("slot"), "largest"), "runs")
     pages = filled.groupBy("host", "slot", "page").agg(F.max("largest").alias("largest"))
     site = pages.groupBy("host", "slot").agg(F.count(F.lit(1)).alias("pages"), F.max("largest").alias("largest")).where((F.col("pages") >= LEAST_PAGES) & ~F.col("largest")).select("host", "slot")
     return placed.where("NOT nested").join(filled.join(site, ["host", "slot"], "left_semi").select("row", "run"), ["row", "run"], "left_semi").select("row", "line_no")
 
 
+def slot_kinds(placed: DataFrame) -> DataFrame:
+    """(token): lines of the kinds that fill slots of templates; the finest kind on enough pages decides.
+
+    Pages are counted by kind after they were reduced to one row for each line text and page, so a kind
+    with a third of all lines is combined before the shuffle, like any other.
+    """
+    once = placed.where("NOT nested").groupBy("token", "start", "shape", "marked", "page").agg(F.max("outside").alias("outside"))
+    counts = [F.count(F.lit(1)).alias("pages"), F.count_if("outside").alias("out")]
+    kinds = materialise(once.groupBy("token", "start", "shape", "marked").agg(*counts), "kinds")
+    enough, fills = F.col("pages") >= LEAST_PAGES, (F.col("out") >= LEAST_OF_FEW) & (F.col("out") >= SLOT_SHARE * F.col("pages"))
+    sums = [F.sum("pages").alias("pages"), F.sum("out").alias("out")]
+
+    def decided(rows: DataFrame, kind: str) -> DataFrame:
+        groups = rows.groupBy(kind).agg(*sums).where(enough).select(kind, fills.alias("fills"))
+        return rows.join(groups, kind, "left")
+
+    by_start = decided(kinds.where(~enough), "start")
+    by_shape = decided(by_start.where("fills IS NULL AND marked").drop("fills"), "shape")
+    found = [kinds.where(enough & fills), by_start.where("fills"), by_shape.where("fills")]
+    return found[0].select("token").unionByName(found[1].select("token")).unionByName(found[2].select("token"))
+
+
 def site_lines(pages: DataFrame, row_id: str, page_id: str, url: str, text: str, forms: bool = True) -> DataFrame:
     """(row_id, line_no) of every line that belongs to the site; without ``forms`` by the template alone."""
     lines = materialise(page_lines(pages, row_id, page_id, url, text), "lines")
     template = template_tokens(lines).withColumn("nested", F.lit(True))
-    marked = materialise(lines.join(template, ["host", "token"], "left").withColumn("nested", F.coalesce("nested", F.lit(False))), "marked")
-    deduced = marked.where("nested").select("row", "line_no").unionByName(slot_lines(marked))
+    joined = lines.join(template, ["host", "token"], "left").withColumn("nested", F.coalesce("nested", F.lit(False)))
+    placed = materialise(in_runs(joined), "placed")
+    kinds = placed.where("NOT nested").join(slot_kinds(placed), "token", "left_semi").select("row", "line_no")
+    deduced = placed.where("nested").select("row", "line_no").unionByName(slot_lines(placed)).unionByName(kinds)
     if not forms:
         return deduced.distinct().withColumnRenamed("row", row_id)
-    marked = marked.select("row", "line_no", "kind", "nested")
+    marked = placed.select("row", "line_no", "kind", "nested")
     # entries belong to the heading above if nothing but entries stands between
     heads = marked.where("kind = 'heading'").select("row").distinct()
-    lists = marked.join(heads, "row", "left_semi").where("kind != '' OR nested OR line_no > 0")
+    lists = marked.join(heads, "row", "left_semi")
     order = W.partitionBy("row").orderBy("line_no")
     breaks = F.sum(F.when((F.col("kind") == "entry") & ~F.col("nested"), 0).otherwise(1)).over(order)
     runs = lists.select("row", "line_no", "kind", "nested", breaks.alias("run"))

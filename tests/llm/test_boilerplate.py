@@ -89,3 +89,21 @@ def test_long_lines_and_small_hosts(spark):
     df = spark.createDataFrame(data, "record_id long, id string, url string, content_text string")
     found = rows(boilerplate.site_lines(df, "record_id", "id", "url", "content_text"))
     assert found == [(i, n) for i in range(20) for n in (1, 11)] + [(100 + i, n) for i in range(6) for n in (1, 11)] + [(300, 1)]
+
+
+def test_invented_furniture_is_found_by_its_slots(spark):
+    """Headings, entries and tools that no stated form knows: below the page's foot on some pages, amid the body on others."""
+    data, truth = [], set()
+    for i in range(120):
+        host = i % 3
+        body = [f"{chr(0x4E00 + i * 7 + k)}单位应当在{chr(0x5000 + i * 3 + k)}月办结，逾期的书面说明理由。" for k in range(4)] + ["以上各项一并执行。"] * (i % 7 > 0)
+        extra = ["◎传给朋友◎", "瞧瞧旁处", f"◇ {chr(0x6000 + i)}地又有一件", f"◇ {chr(0x6100 + i)}地再有一件"]
+        top, foot = [f"第{host}号栈桥", f"{host}号灯塔值守"], [f"{host}号码头", f"{host}号仓位"]
+        extra = extra * (i % 5 > 0)
+        below = i % 4 == 0
+        lines = [*top, *body, foot[0], *extra, foot[1]] if below else [*top, *body[:2], *extra, *body[2:], *foot]
+        ours = [n for n, line in enumerate(lines, 1) if line not in body]
+        data.append((i, f"id{i}", f"https://www.h{host}.example/{i}", "\n".join(lines)))
+        truth |= {(i, n) for n in ours}
+    df = spark.createDataFrame(data, "record_id long, id string, url string, content_text string")
+    assert set(rows(boilerplate.site_lines(df, "record_id", "id", "url", "content_text", forms=False))) == truth
