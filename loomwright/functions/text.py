@@ -64,15 +64,24 @@ def normalized_title(col: Column) -> Column:
     return plain_title(nfkc(col))
 
 
-def document_number(col: Column) -> Column:
-    """A document number such as 能规〔2024〕404号 within the text; null if there is none."""
-    found = F.regexp_extract(col, r"[\x{4e00}-\x{9fff}A-Za-z]{1,20}[〔\[［(（]20[0-9]{2}[〕\]］)）]\s*[0-9]+号", 0)
-    return F.nullif(found, F.lit(""))
+# Organisations whose names begin a title, longer names first, what follows them, and the form of a number within a title.
+ISSUERS = ("国家能源局南方监管局", "国家能源局综合司", "国家能源局", "广东省发展和改革委员会", "广东省发展改革委", "广东省能源局", "南方能源监管局", "国家发展和改革委员会", "国家发展改革委", "广东省人民政府")
+AFTER_ISSUER = ("关于", "行政许可通告", "公告", "通告", "通知", "公示", "令")
+TITLE_NUMBER = r"国家能源局公告[\s\p{Z}]*20[0-9]{2}年第[0-9]+号"
+#: An organisation by its last word, for titles of organisations that no list names.
+ANY_ISSUER = r"[^，。；：:《》]{2,65}?(?:局|厅|委员会|委|部|办公室|分行|人民政府|司|中心)"
+#: A number such as 能规〔2024〕404号.
+ANY_NUMBER = r"[\x{4e00}-\x{9fff}A-Za-z]{1,20}[〔\[［(（]20[0-9]{2}[〕\]］)）]\s*[0-9]+号"
+
+
+def document_number(col: Column, form: str = TITLE_NUMBER) -> Column:
+    """The document number that a title states, cleaned; null if there is none."""
+    return F.nullif(clean(F.regexp_extract(col, form, 0)), F.lit(""))
 
 
-def title_issuer(col: Column) -> Column:
-    """An organisation that the title names before what it is about; null if there is none."""
-    found = F.regexp_extract(col, r"^([^，。；：:《》]{2,65}?(?:局|厅|委员会|委|部|办公室|分行|人民政府|司|中心))(?=关于|有关|公告|通告|通知|公示|令)", 1)
+def title_issuer(col: Column, form: str = "|".join(ISSUERS)) -> Column:
+    """The organisation that a title begins with, before what it is about; null if there is none."""
+    found = F.regexp_extract(col, f"^({form})[\\s\\p{{Z}}]*(?=" + "|".join(AFTER_ISSUER) + ")", 1)
     return F.nullif(found, F.lit(""))
 
 
@@ -119,3 +128,10 @@ def extension(name: Column) -> Column:
 def bytes_within(text: Column, limit: int) -> Column:
     """Whether the UTF-8 form has at most ``limit`` bytes."""
     return F.octet_length(text) <= limit
+
+
+def relevance_text(title: Column, body: Column, attachment_texts: Column, limit: int = 2000) -> Column:
+    """What a first reading gets: the title, then the first ``limit`` code points of the body and of all attachment texts, under fixed headings."""
+    files = F.array_join(F.filter(F.coalesce(attachment_texts, F.array().cast("array<string>")), lambda t: F.coalesce(t, F.lit("")) != ""), "\n")
+    parts = [F.coalesce(title, F.lit("")), F.lit("\n正文：\n"), F.substring(F.coalesce(body, F.lit("")), 1, limit), F.lit("\n附件解析文本：\n"), F.substring(files, 1, limit)]
+    return F.concat(*parts)

@@ -8,9 +8,9 @@ through dynamic partition overwrite, and stores the new fingerprints last.  A ru
 between leaves the old fingerprints, so the next run does the same partitions again and replaces
 what was written: nothing is skipped, nothing stays twice.
 
-``changes_by_run`` replays a whole log of runs in one pass: a window over each key's runs.  The
-fingerprints it builds skip nothing, as a partition has a row only for runs in which it gained rows;
-incremental processing proper is ``refresh``.
+``changes_by_run`` answers another question, what each of many past runs had to take, in one pass over
+the log: a window over each key's runs.  A run whose partitions are recomputed by ``refresh`` finds the
+same keys (tested); replaying every run that way would read the log once for each.
 
 Defined results: a null key is a key of its own; null values compare equal to null; rows delivered
 twice change nothing; failed rows never count; without a succeeded run there is no case; an empty
@@ -26,23 +26,29 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-#: Partitions of a keyed table.  Each holds some thousand keys at the sizes tested; at 100 TB raise
-#: it so that a partition stays near 1 GB.
-PARTITIONS = 256
+#: Rows of the source that one partition is meant to hold when a table is first built.
+PARTITION_ROWS = 1_000_000
+#: Partitions of a small table.
+LEAST_PARTITIONS = 64
 
 
-def partition_of(key: Column, partitions: int = PARTITIONS) -> Column:
+def partition_of(key: Column, partitions: int) -> Column:
     """The partition of a key."""
     return F.pmod(F.xxhash64(key), F.lit(partitions)).cast("int")
 
 
+def partitions_for(rows: int) -> int:
+    """How many partitions a table of so many source rows gets: a power of two, so that each holds about ``PARTITION_ROWS`` rows."""
+    return max(LEAST_PARTITIONS, 1 << max(0, (-(-rows // PARTITION_ROWS) - 1).bit_length()))
+
+
 def fingerprint_columns(columns: list[Column]) -> list[Column]:
     """Aggregates: rows, and the additive hash of their columns in two halves (no overflow below 2**31 rows a partition)."""
     h = F.xxhash64(*columns)
     return [F.count(F.lit(1)).alias("rows"), F.sum(F.shiftrightunsigned(h, 32)).alias("high"), F.sum(h.bitwiseAND(F.lit(0xFFFFFFFF))).alias("low")]
 
 
-def fingerprints(df: DataFrame, key: str, columns: list[str], partitions: int = PARTITIONS) -> DataFrame:
+def fingerprints(df: DataFrame, key: str, columns: list[str], partitions: int) -> DataFrame:
     """(part, rows, high, low) of every partition that has rows."""
     return df.groupBy(partition_of(F.col(key), partitions).alias("part")).agg(*fingerprint_columns([F.col(c) for c in columns]))
 
@@ -61,20 +67,26 @@ def _open(spark: SparkSession, path: str):
     return fs, target, fs.exists(target)
 
 
-def refresh(source: DataFrame, key: str, columns: list[str], compute: Callable[[DataFrame], DataFrame], path: str, partitions: int = PARTITIONS) -> DataFrame:
+def refresh(source: DataFrame, key: str, columns: list[str], compute: Callable[[DataFrame], DataFrame], path: str, partitions: int | None = None) -> DataFrame:
     """Brings the table at ``path`` up to date with ``source`` and returns (part, gone) of what was redone.
 
     compute: rows of some whole partitions to their result (one key's result may depend on that
     key's rows only).  The result is stored by partition below ``path/data``; ``path/done-*`` holds
-    the fingerprints of each success, the latest one counts.
+    the fingerprints of each success, the latest one counts, and its name the number of partitions,
+    which stays as it was when the table was built.
     """
     spark = source.sparkSession
-    new = fingerprints(source, key, columns, partitions)
     fs, root, there = _open(spark, path)
-    done = sorted((str(s.getPath()) for s in fs.listStatus(root) if s.getPath().getName().startswith("done-") and fs.exists(spark._jvm.org.apache.hadoop.fs.Path(s.getPath(), "_SUCCESS"))), key=lambda p: int(p.rsplit("-", 2)[1])) if there else []
+    of = lambda name: int(name.rsplit("/", 1)[1].split("-")[1])
+    done = sorted((str(s.getPath()) for s in fs.listStatus(root) if s.getPath().getName().startswith("done-") and fs.exists(spark._jvm.org.apache.hadoop.fs.Path(s.getPath(), "_SUCCESS"))), key=of) if there else []
+    if done:
+        partitions = int(done[-1].rsplit("/", 1)[1].split("-")[2])
+    elif partitions is None:
+        partitions = partitions_for(source.count())
+    new = fingerprints(source, key, columns, partitions)
     old = spark.read.parquet(done[-1]) if done else spark.createDataFrame([], new.schema)
-    number = int(done[-1].rsplit("-", 2)[1]) + 1 if done else 1
-    mark = f"{path}/done-{number}-{uuid.uuid4().hex}"
+    number = of(done[-1]) + 1 if done else 1
+    mark = f"{path}/done-{number}-{partitions}-{uuid.uuid4().hex}"
     # the fingerprints are read once: what is recomputed and what is recorded must agree
     pending = f"{path}/pending-{uuid.uuid4().hex}"
     new.write.parquet(pending)
@@ -84,8 +96,8 @@ def refresh(source: DataFrame, key: str, columns: list[str], compute: Callable[[
     rows = source.withColumn("_part", partition_of(F.col(key), partitions)).join(redo.withColumnRenamed("part", "_part"), "_part", "left_semi")
     result = compute(rows.drop("_part")).withColumn("part", partition_of(F.col(key), partitions))
     result.repartition("part").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("part").parquet(f"{path}/data")
-    # partitions that lost all rows: at most PARTITIONS of them, each one folder
-    for row in changed.where("gone").collect():
+    # partitions that lost all rows: one folder each
+    for row in changed.where("gone").toLocalIterator():
         fs.delete(spark._jvm.org.apache.hadoop.fs.Path(f"{path}/data/part={row['part']}"), True)
     new.write.parquet(mark)
     fs.delete(spark._jvm.org.apache.hadoop.fs.Path(pending), True)
@@ -109,7 +121,7 @@ def succeeded_runs(runs: DataFrame, kind: str) -> list[tuple[str, object]]:
     return [(r["run_id"], r["cutoff_at"]) for r in sorted(rows, key=lambda r: (r["cutoff_at"], str(r["started_at"]), r["run_id"]))]
 
 
-def changes_by_run(checks: DataFrame, runs: list[tuple[str, object]], key: str, arrived: str, order: list[Column], state: list[str], counts: Column, partitions: int = PARTITIONS) -> DataFrame:
+def changes_by_run(checks: DataFrame, runs: list[tuple[str, object]], key: str, arrived: str, order: list[Column], state: list[str], counts: Column) -> DataFrame:
     """(run_id, key): keys whose state at a run differs from that at the run before, or is their first.
 
     The state of a key is that of its row with the largest ``order`` among the rows that count and
@@ -123,20 +135,8 @@ def changes_by_run(checks: DataFrame, runs: list[tuple[str, object]], key: str,
     at = F.struct(*[c.alias(f"o{i}") for i, c in enumerate(order)], *[F.col(c) for c in state])
     seen = checks.where(F.coalesce(counts, F.lit(True))).select(F.col(key).alias("key"), first_at_or_after(F.col(arrived), [c for _, c in runs]).alias("run"), at.alias("best"))
     best = seen.where("run IS NOT NULL").groupBy("key", "run").agg(F.max("best").alias("best"))
-    # fingerprints of what each partition gained by each run; a running sum is the partition's fingerprint
-    placed = best.withColumn("part", partition_of(F.col("key"), partitions))
-    gained = placed.groupBy("part", "run").agg(*fingerprint_columns([F.col("key"), F.col("best")]))
-    over = W.partitionBy("part").orderBy("run").rowsBetween(W.unboundedPreceding, W.currentRow)
-    so_far = gained.select("part", "run", *[F.sum(c).over(over).alias(c) for c in ("rows", "high", "low")])
-    before = W.partitionBy("part").orderBy("run")
-    moved = F.lit(False)
-    for c in ("rows", "high", "low"):
-        moved = moved | ~F.col(c).eqNullSafe(F.lag(c).over(before))
-    changed = so_far.withColumn("moved", moved).where("moved").select("part", "run")
-    # every partition that gained rows has moved, so all of them are recomputed
-    redo = placed.join(changed, ["part", "run"], "left_semi")
-    history = W.partitionBy("part", "key").orderBy("run")
-    running = redo.withColumn("now", F.max("best").over(history.rowsBetween(W.unboundedPreceding, W.currentRow)))
+    history = W.partitionBy("key").orderBy("run")
+    running = best.withColumn("now", F.max("best").over(history.rowsBetween(W.unboundedPreceding, W.currentRow)))
     values = F.struct(*[F.col(f"now.{c}").alias(c) for c in state])
     compared = running.select("key", "run", values.alias("state"), F.lag(values).over(history).alias("was"))
     names = F.element_at(F.array(*[F.lit(r) for r, _ in runs]), F.col("run"))

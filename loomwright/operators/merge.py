@@ -5,24 +5,27 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from loomwright.functions.text import json_string
 from loomwright.operators import scan
 
 
-def version_history(checks: DataFrame, key: str, order: list[Column], failed: Column, content: str, attachments: str, chunk: Column | None = None) -> DataFrame:
+def version_history(checks: DataFrame, key: str, order: list[Column], failed: Column, content: str, attachments: str, chunk: Column | None = None, files: str | None = None) -> DataFrame:
     """Every check with ``event`` and ``change_type``, compared with the key's last good state.
 
     new: first check of a key; failed: a failed check (it never replaces a good state); unchanged;
-    updated, with change_type recovery (only failures stood before), content or attachments.  Checks
-    stated twice should be removed first.  Null hashes compare as equal.  ``chunk`` cuts keys of very
-    many checks (see ``scan``).
+    updated, with change_type recovery (only failures stood before), content, attachments, or, where
+    ``files`` names the column of the files' own keys (``binary_keys``), parser_output for attachments
+    that changed in nothing but what was read from them.  Checks stated twice should be removed first.
+    Null hashes compare as equal.  ``chunk`` cuts keys of very many checks (see ``scan``).
     """
     flagged = checks.withColumn("_bad", F.coalesce(failed, F.lit(False)))
-    state = F.when(~F.col("_bad"), F.struct(F.col(content).alias("c"), F.col(attachments).alias("a")))
+    state = F.when(~F.col("_bad"), F.struct(F.col(content).alias("c"), F.col(attachments).alias("a"), (F.col(files) if files else F.lit(None).cast("string")).alias("f")))
     seen = scan.last_values(flagged, [key], order, {"_was": state, "_before": F.lit(True)}, chunk)
-    same = F.col(content).eqNullSafe(F.col("_was.c")) & F.col(attachments).eqNullSafe(F.col("_was.a"))
+    same_text, same_files = F.col(content).eqNullSafe(F.col("_was.c")), F.col(attachments).eqNullSafe(F.col("_was.a"))
     first, recovered = F.col("_before").isNull(), F.col("_was").isNull() & F.col("_before").isNotNull()
-    event = F.when(F.col("_bad"), "failed").when(first, "new").when(recovered, "updated").when(same, "unchanged").otherwise("updated")
-    change = F.when(F.col("_bad") | first, None).when(recovered, "recovery").when(~F.col(content).eqNullSafe(F.col("_was.c")), "content").when(~F.col(attachments).eqNullSafe(F.col("_was.a")), "attachments")
+    event = F.when(F.col("_bad"), "failed").when(first, "new").when(recovered, "updated").when(same_text & same_files, "unchanged").otherwise("updated")
+    reread = F.col(files).eqNullSafe(F.col("_was.f")) if files else F.lit(False)
+    change = F.when(F.col("_bad") | first, None).when(recovered, "recovery").when(~same_text, "content").when(~same_files & reread, "parser_output").when(~same_files, "attachments")
     return seen.withColumn("event", event).withColumn("change_type", change).drop("_bad", "_was", "_before")
 
 
@@ -57,10 +60,14 @@ def first_values(rows: DataFrame, key: str, order: list[str], columns: list[str]
 
 
 def attachment_digest(attachments: Column) -> Column:
-    """SHA-256 over the sorted (url, sha256, status, text) of a record's attachments, independent of their order."""
-    each = F.transform(attachments, lambda a: F.concat_ws("\x1f", *[F.coalesce(a[c], F.lit("\x1d")) for c in ("url", "sha256", "status", "text")]))
-    rows = F.coalesce(each, F.array().cast("array<string>"))
-    return F.sha2(F.array_join(F.array_sort(rows), "\x1e"), 256)
+    """SHA-256 over the JSON array of the sorted [url, sha256, status, text] of a record's attachments, independent of their order.
+
+    Byte for byte what Python's ``json.dumps(..., ensure_ascii=False)`` gives; a null text counts as ''.
+    No attachments, null or empty, give the digest of ``[]``.
+    """
+    rows = F.transform(attachments, lambda a: F.struct(a["url"].alias("u"), a["sha256"].alias("s"), a["status"].alias("k"), F.coalesce(a["text"], F.lit("")).alias("t")))
+    each = F.transform(F.array_sort(rows), lambda r: F.concat(F.lit("["), F.concat_ws(", ", *[json_string(r[c]) for c in "uskt"]), F.lit("]")))
+    return F.sha2(F.concat(F.lit("["), F.coalesce(F.array_join(each, ", "), F.lit("")), F.lit("]")), 256)
 
 
 def binary_keys(attachments: Column) -> Column:
@@ -77,3 +84,17 @@ def union_of_arrays(rows: DataFrame, by: str, column: str) -> DataFrame:
     """(by, column): sorted distinct union of an array column; values meet one by one, not as arrays."""
     each = rows.select(by, F.explode(column).alias("_v")).distinct()
     return each.groupBy(by).agg(F.array_sort(F.collect_list("_v")).alias(column))
+
+
+def health_after(stats: DataFrame, previous: DataFrame, key: str, run: str, at: str) -> DataFrame:
+    """(key, last_run_id, last_success_at, consecutive_failures, status) after a run.
+
+    stats: (key, ok, pending) of the columns of the run; previous: (key, last_success_at,
+    consecutive_failures).  Failures start again at 0 on success; a success with nothing pending moves
+    ``last_success_at``; status is ok, pending or degraded.
+    """
+    both = stats.join(previous.select(key, "last_success_at", "consecutive_failures"), key, "left")
+    success = F.when(F.col("ok") & ~F.col("pending"), F.lit(at)).otherwise(F.col("last_success_at"))
+    failures = F.when(F.col("ok"), 0).otherwise(F.coalesce("consecutive_failures", F.lit(0)) + 1)
+    status = F.when(~F.col("ok"), "degraded").when(F.col("pending"), "pending").otherwise("ok")
+    return both.select(key, F.lit(run).alias("last_run_id"), success.alias("last_success_at"), failures.cast("long").alias("consecutive_failures"), status.alias("status"))

@@ -57,3 +57,9 @@ def candidate_page(text: Column, links: Column, markers: list[str], least_chars:
     for marker in markers:
         blocked = blocked | F.contains(F.lower(text), F.lit(marker.lower()))
     return F.coalesce((F.length(text) >= least_chars) & (links >= least_links) & ~blocked, F.lit(False))
+
+
+def membership(column: dict[str, Column], entry: dict[str, Column]) -> Column:
+    """The membership of an entry in a column: ids and address of the column, dates and title the list gave the entry."""
+    fields = [(column, "source_id", "source_id"), (column, "column_id", "column_id"), (column, "list_url", "url"), (entry, "list_date", "list_date"), (entry, "list_date_raw", "list_date_raw"), (entry, "list_title", "title")]
+    return F.struct(*[side.get(source, F.lit(None)).cast("string").alias(name) for side, name, source in fields])

@@ -51,3 +51,24 @@ def missing_from(wanted: DataFrame, present: DataFrame, key: str) -> DataFrame:
 def require(rows: DataFrame, what: str) -> DataFrame:
     """The rows; the query fails while running if there is any (an assertion that a set of violations is empty)."""
     return rows.where(F.assert_true(F.lit(False), F.lit(what)).isNull())
+
+
+def required(rows: DataFrame, columns: list[str]) -> DataFrame:
+    """The rows, with those columns alone; a missing column is an error before anything runs."""
+    missing = sorted(set(columns) - set(rows.columns))
+    if missing:
+        raise ValueError(f"required columns are missing: {missing}")
+    return rows.select(*columns)
+
+
+def referential(children: DataFrame, parents: DataFrame, key: str, what: str) -> DataFrame:
+    """Children joined with their parents; the query fails while running if a child has none."""
+    marked = children.join(parents.withColumn("_there", F.lit(True)), key, "left")
+    found = F.assert_true(F.col("_there").isNotNull(), F.concat(F.lit(f"{what}: "), F.coalesce(F.col(key).cast("string"), F.lit("null"))))
+    # the assertion has to be part of the result, or it would be pruned
+    return marked.where(found.isNull()).drop("_there")
+
+
+def column_presence(rows: DataFrame, columns: list[str]) -> DataFrame:
+    """(name, present) of the columns a step needs."""
+    return rows.sparkSession.createDataFrame([(c, c in rows.columns) for c in columns], "name string, present boolean")

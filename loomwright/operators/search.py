@@ -74,3 +74,21 @@ def related(items: DataFrame, key: str, tags: str, order: list[Column], most: in
 def facet_values(items: DataFrame, column: Column) -> DataFrame:
     """(value, n) of every distinct non-empty value."""
     return items.select(column.alias("value")).where("value IS NOT NULL AND value != ''").groupBy("value").agg(F.count(F.lit(1)).alias("n"))
+
+
+def between_dates(items: DataFrame, key: str, keys: list, date: str, since: str, until: str) -> DataFrame:
+    """Items of a given list of keys dated within the bounds, in order of date and key."""
+    return items.where(F.col(key).isin(*keys) & F.col(date).between(since, until)).orderBy(date, key)
+
+
+def issuer_name(issuer: Column, host: Column, title: Column, hosts: dict[str, str], titled: dict[str, tuple[str, str]] | None = None, unknown: str = "未提供") -> Column:
+    """The issuer; where there is none the organisation of the page's host.
+
+    titled: for hosts of several organisations, the part of a title that names one and its name.
+    """
+    name = F.lit(unknown)
+    for known, organisation in hosts.items():
+        name = F.when(host == known, organisation).otherwise(name)
+    for known, (part, organisation) in (titled or {}).items():
+        name = F.when((host == known) & F.contains(F.coalesce(title, F.lit("")), F.lit(part)), organisation).otherwise(name)
+    return F.coalesce(F.nullif(issuer, F.lit("")), name)

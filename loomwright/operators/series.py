@@ -99,3 +99,29 @@ def validation(rows: DataFrame, day: str, value: str, as_of: str, least_points:
     checks = by_day.agg(F.count(F.lit(1)).alias("points"), F.coalesce(F.sum("bad"), F.lit(0)).alias("bad_values"), F.count_if("conflict").alias("conflicts"), F.min(day).alias("first_day"), F.max(day).alias("last_day"))
     enough = (F.col("points") >= least_points) & (F.col("first_day") <= F.date_add(start, first_within))
     return checks.select("*", F.coalesce(enough & (F.col("bad_values") == 0) & (F.col("conflicts") == 0), F.lit(False)).alias("valid"))
+
+
+def not_older(checks: DataFrame, previous_last: str | None) -> DataFrame:
+    """The row of ``validation`` with ``fresh``: whether the series ends no earlier than the one it would replace; ``valid`` asks for that too."""
+    fresh = F.lit(True) if previous_last is None else F.coalesce(F.col("last_day") >= F.to_date(F.lit(previous_last)), F.lit(False))
+    return checks.withColumn("fresh", fresh).withColumn("valid", F.col("valid") & F.col("fresh"))
+
+
+def spreads(rows: DataFrame, sharp: Column, peak: Column, valley: Column, listed: Column, unit: int = 100, digits: int = 4) -> DataFrame:
+    """Rows with ``peak_spread`` and ``sharp_spread`` in the larger unit; the sharp one only where it applies to the whole period."""
+    wide = lambda high: F.round((high - valley) / unit, digits)
+    return rows.withColumn("peak_spread", wide(peak)).withColumn("sharp_spread", F.when(F.coalesce(listed, F.lit(False)), wide(sharp)))
+
+
+def date_axis(series: DataFrame, day: str, left: float, width: float, by: list[str] | None = None) -> DataFrame:
+    """The series with ``x``: its day on a linear axis from its first day to its last."""
+    by = by or []
+    bounds = series.groupBy(*by).agg(F.min(day).alias("_first"), F.max(day).alias("_last"))
+    joined = series.join(bounds, by) if by else series.crossJoin(F.broadcast(bounds))
+    share = F.datediff(day, "_first") / F.greatest(F.lit(1), F.datediff("_last", "_first"))
+    return joined.withColumn("x", F.round(F.lit(left) + share * width, 2)).drop("_first", "_last")
+
+
+def either(series: DataFrame, columns: list[str]) -> DataFrame:
+    """Points with a value in at least one of the columns."""
+    return series.where(F.coalesce(*columns).isNotNull())

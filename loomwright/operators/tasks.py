@@ -70,3 +70,41 @@ def known_here(entries: DataFrame, stored: DataFrame, key: str, column: str, col
 def resumed(pages: DataFrame, checkpoint: DataFrame, key: list[str]) -> DataFrame:
     """Pages that no checkpoint has passed."""
     return pages.join(checkpoint.select(*key).distinct(), key, "left_anti")
+
+
+def batch(tasks: DataFrame, order: list[Column], size: int) -> DataFrame:
+    """The first ``size`` tasks in order; 0 takes all."""
+    return tasks.orderBy(*order).limit(size) if size else tasks
+
+
+def backfill_open(entries: DataFrame, stored: DataFrame, processed: DataFrame, key: str, broken: Column) -> DataFrame:
+    """Entries a backfill still has to fetch: all but those processed before, stored, and stored without an error or open issue."""
+    whole = stored.where(~F.coalesce(broken, F.lit(False))).select(key).distinct().join(processed.select(key).distinct(), key, "left_semi")
+    return entries.join(whole, key, "left_anti")
+
+
+def left_pending(pending: DataFrame, done: DataFrame, key: str, member: str, active: DataFrame) -> DataFrame:
+    """(key, member) still pending: memberships of tasks that are done stay only under columns that were not active in the run."""
+    return pending.join(done.select(key, F.lit(True).alias("_done")).distinct(), key, "left").join(active.select(member, F.lit(True).alias("_active")).distinct(), member, "left").where("_done IS NULL OR _active IS NULL").drop("_done", "_active")
+
+
+def progress(columns: DataFrame, stored: DataFrame, tasks: DataFrame, column: str, key: str) -> DataFrame:
+    """(column, stored_count, remaining, pending) of every column.
+
+    stored: (key, column); tasks: (key, column, processed, checked).  remaining: discovered and not
+    processed; pending: queued for this run and not checked.
+    """
+    kept = stored.select(column, key).distinct().groupBy(column).agg(F.count(F.lit(1)).alias("stored_count"))
+    each = tasks.groupBy(column, key).agg(F.bool_or("processed").alias("p"), F.bool_or("checked").alias("c"))
+    queued = each.groupBy(column).agg(F.count_if(~F.col("p")).alias("remaining"), F.count_if(~F.col("c")).alias("pending"))
+    counts = columns.select(column).distinct().join(kept, column, "left").join(queued, column, "left")
+    return counts.select(column, *[F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("stored_count", "remaining", "pending")])
+
+
+def newest_supplement(entries: DataFrame, column: str, columns: list[str], order: list[Column], key: str, most: int = 50) -> DataFrame:
+    """The first ``most`` entries of each given column, each key once (the last mention in that order)."""
+    from pyspark.sql import Window as W
+
+    heads = entries.where(F.col(column).isin(*columns)).withColumn("_n", F.row_number().over(W.partitionBy(column).orderBy(*order))).where(F.col("_n") <= most)
+    last = F.max(F.struct("_n", *[F.col(c) for c in entries.columns])).alias("_e")
+    return heads.groupBy(key).agg(last).select(*[F.col(f"_e.{c}").alias(c) for c in entries.columns])

@@ -118,7 +118,8 @@ def check_statuses(spark, d):
 
 
 def missing_columns(spark, d):
-    return quality.missing_from(table(spark, d, "column_health"), table(spark, d, "policy_checks"), "column_id").select("column_id", "status")
+    """Monitored columns without any record of images alone."""
+    return quality.missing_from(table(spark, d, "column_health"), _p(spark, d).where("content_status = 'image_only'"), "column_id").select("column_id", "status")
 
 
 def budget_admission(spark, d):
@@ -197,7 +198,7 @@ SQL = {
             max(attempt)::BIGINT AS most_attempts, round(min(seconds), 4) AS fastest, round(max(seconds), 4) AS slowest FROM c GROUP BY column_id""",
     "check_statuses": """
         SELECT count(*) FILTER (status = 200) AS ok, count(*) FILTER (status BETWEEN 400 AND 499) AS client, count(*) FILTER (status >= 500) AS server, count(*) FILTER (status IS NULL) AS unknown FROM policy_checks""",
-    "missing_columns": "SELECT column_id, status FROM column_health h WHERE NOT EXISTS (SELECT 1 FROM policy_checks c WHERE c.column_id = h.column_id)",
+    "missing_columns": "SELECT column_id, status FROM column_health h WHERE NOT EXISTS (SELECT 1 FROM policies p WHERE p.column_id = h.column_id AND p.content_status = 'image_only')",
     "budget_admission": f"""
         WITH {_C}, r AS (SELECT check_id, seen_at, strftime(seen_at AT TIME ZONE 'UTC', '%Y-%m') AS period, (attempt * 0.2)::DECIMAL(12,4) AS money FROM c),
         s AS (SELECT *, sum(coalesce(money, 0)) OVER (PARTITION BY period {_O} ROWS UNBOUNDED PRECEDING) AS reserved, row_number() OVER (PARTITION BY period {_O}) AS n FROM r),

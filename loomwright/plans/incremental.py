@@ -57,11 +57,12 @@ _BEST = "ORDER BY try_cast(last_checked_at AS TIMESTAMPTZ) DESC NULLS LAST, chec
 SQL = {
     "p5_found": """
         WITH r AS (SELECT run_id, cutoff_at, row_number() OVER (ORDER BY cutoff_at, started_at) AS n FROM runs WHERE kind = 'collect' AND status = 'succeeded'),
-        s AS (SELECT r.run_id, r.n, c.id,
-                     arg_max(struct_pack(c := c.content_hash, a := c.attachments_hash), struct_pack(t := try_cast(c.last_checked_at AS TIMESTAMPTZ), k := c.check_id)) AS st
-              FROM r JOIN policy_checks c ON c.arrived_at <= r.cutoff_at AND c.content_status IS DISTINCT FROM 'failed' GROUP BY ALL),
-        cases AS (SELECT b.run_id, b.id FROM s b LEFT JOIN s a ON a.id = b.id AND a.n = b.n - 1
-                  WHERE a.n IS NULL OR a.st.c IS DISTINCT FROM b.st.c OR a.st.a IS DISTINCT FROM b.st.a),
+        f AS (SELECT c.id, r.run_id, r.n, struct_pack(t := coalesce(try_cast(c.last_checked_at AS TIMESTAMPTZ), TIMESTAMPTZ '0001-01-01 00:00:00+00'), k := c.check_id, c := c.content_hash, a := c.attachments_hash) AS s
+              FROM policy_checks c ASOF JOIN r ON c.arrived_at <= r.cutoff_at WHERE c.content_status IS DISTINCT FROM 'failed'),
+        g AS (SELECT id, run_id, n, arg_max(s, struct_pack(t := s.t, k := s.k)) AS s FROM f GROUP BY ALL),
+        w AS (SELECT id, run_id, n, arg_max(s, struct_pack(t := s.t, k := s.k)) OVER (PARTITION BY id ORDER BY n ROWS UNBOUNDED PRECEDING) AS s FROM g),
+        v AS (SELECT *, lag(s) OVER (PARTITION BY id ORDER BY n) AS b FROM w),
+        cases AS (SELECT run_id, id FROM v WHERE b IS NULL OR s.c IS DISTINCT FROM b.c OR s.a IS DISTINCT FROM b.a),
         p AS (SELECT * FROM policies WHERE content_status IS DISTINCT FROM 'failed'
               QUALIFY row_number() OVER (PARTITION BY id ORDER BY try_cast(last_checked_at AS TIMESTAMPTZ) DESC NULLS LAST, record_id) = 1),
         h AS (SELECT id, sha256('["storage-rules-4", ' || coalesce(to_json(title)::VARCHAR, 'null') || ', ' || coalesce('"' || content_hash || '"', 'null')

@@ -48,7 +48,7 @@ def snapshot_overlay(spark, d):
 
 
 def slim_index(spark, d):
-    return store.slim_index(table(spark, d, "policies"))
+    return store.slim_index(table(spark, d, "policies")).withColumn("column_ids", F.array_join("column_ids", "|"))
 
 
 QUERIES = {f.__name__: f for f in (local_times, status_labels, query_strings, resumed_columns, analysis_pending, provider_readings, snapshot_overlay, slim_index)}
@@ -71,5 +71,5 @@ SQL = {
     "provider_readings": "SELECT doc_id, string_split(text, '。')[1][1:50] AS answer, sha256(text) AS input_hash FROM documents WHERE text IS NOT NULL",
     "snapshot_overlay": r"""
         SELECT record_id, CASE WHEN content_status = 'complete' THEN trim(regexp_replace(coalesce(title, ''), '[\s\x0b\x1c-\x1f\x{85}\p{Z}]+', ' ', 'g')) ELSE title END AS title FROM policies""",
-    "slim_index": "SELECT id, url, title, list_date, publish_date, content_status FROM policies",
+    "slim_index": "SELECT id, url, title, array_to_string(column_ids, '|') AS column_ids, list_date, content_status FROM policies",
 }

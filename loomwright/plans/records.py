@@ -7,10 +7,11 @@ from pyspark.sql import functions as F
 
 from loomwright.functions import text as T
 from loomwright.functions import urls
-from loomwright.operators import dedup, merge, quality, screen, search
+from loomwright.operators import dedup, merge, quality, readings, screen, search
 from loomwright.plans.incremental import RULE_VERSION
 from loomwright.session import table
 
+# Whom a policy may concern.
 TARGETS = ["工商业用户侧储能", "独立储能", "电源侧配储", "电网侧储能", "储能产业链"]
 SP = r"[\s\x0b\x1c-\x1f\x{85}\p{Z}]"  # white space for DuckDB, as functions.text.SPACE
 
@@ -28,11 +29,25 @@ def _completed(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _source(spark: SparkSession, d: str) -> DataFrame:
-    """(id, source): title, body and attachment texts of each id's first stored row."""
-    attached = F.array_join(F.transform(F.filter(F.coalesce("attachments", F.array().cast(_p(spark, d).schema["attachments"].dataType)), lambda a: F.coalesce(a["text"], F.lit("")) != ""), lambda a: F.concat(F.lit("\n附件："), F.coalesce(a["name"], F.lit("")), F.lit("\n"), a["text"])), "")
-    rows = _p(spark, d).select("id", "record_id", F.concat(F.coalesce("title", F.lit("")), F.lit("\n"), F.coalesce("content_text", F.lit("")), attached).alias("source"), "content_status", "attachments")
-    firsts = rows.groupBy("id").agg(F.min("record_id").alias("record_id"))
-    return rows.join(firsts, ["id", "record_id"])
+    """(record_id, id, input_hash, source, content_status, attachments): title, body and attachment texts of every row, and the fingerprint of what was read."""
+    p = _p(spark, d)
+    attached = F.array_join(F.transform(F.filter(F.coalesce("attachments", F.array().cast(p.schema["attachments"].dataType)), lambda a: F.coalesce(a["text"], F.lit("")) != ""), lambda a: F.concat(F.lit("\n附件："), F.coalesce(a["name"], F.lit("")), F.lit("\n"), a["text"])), "")
+    source = F.concat(F.coalesce("title", F.lit("")), F.lit("\n"), F.coalesce("content_text", F.lit("")), attached)
+    return p.select("record_id", "id", T.fingerprint(RULE_VERSION, F.col("title"), F.col("content_hash"), F.col("attachments_hash")).alias("input_hash"), source.alias("source"), "content_status", "attachments")
+
+
+def _seen(spark: SparkSession, d: str) -> DataFrame:
+    """Readings with an interpretation and the ``source`` they were made from; null where no stored row has that input.
+
+    Rows of one id and input hold the same title and hashes; the smallest record_id stands for them.
+    """
+    rows = _source(spark, d)
+    one = rows.groupBy("id", "input_hash").agg(F.min("record_id").alias("record_id")).join(rows.select("record_id", "source"), "record_id")
+    return _a(spark, d).where("interpretation IS NOT NULL").join(one, ["id", "input_hash"], "left")
+
+
+def _index(spark: SparkSession, d: str) -> DataFrame:
+    return readings.reading_index(_p(spark, d), _a(spark, d), _completed(spark, d), RULE_VERSION)
 
 
 def text_clean(spark, d):
@@ -45,7 +60,11 @@ def date_extract(spark, d):
 
 
 def title_parts(spark, d):
-    return _p(spark, d).select("record_id", T.document_number(F.col("title")).alias("number"), T.title_issuer(F.col("title")).alias("issuer"), T.standalone_number(F.col("content_text")).alias("header_number"))
+    title = F.col("title")
+    return _p(spark, d).select(
+        "record_id", T.document_number(title).alias("known_number"), T.title_issuer(title).alias("known_issuer"), T.document_number(title, T.ANY_NUMBER).alias("number"), T.title_issuer(title, T.ANY_ISSUER).alias("issuer"),
+        T.standalone_number(F.col("content_text")).alias("header_number"),
+    )
 
 
 def url_normalize(spark, d):
@@ -58,7 +77,7 @@ def url_parts(spark, d):
 
 
 def hash_mismatch(spark, d):
-    return _p(spark, d).where(F.col("content_hash") != F.sha2(F.coalesce("content_text", F.lit("")), 256)).select("record_id")
+    return _p(spark, d).select("record_id", (F.col("content_hash") == F.sha2(F.coalesce("content_text", F.lit("")), 256)).alias("body"), (F.col("attachments_hash") == merge.attachment_digest(F.col("attachments"))).alias("files"))
 
 
 def fingerprint_stale(spark, d):
@@ -71,14 +90,43 @@ def keyword_screen(spark, d):
     return hits.where(F.size("keywords") > 0).select("record_id", F.array_join("keywords", "|").alias("keywords"))
 
 
+def reading_index(spark, d):
+    return _index(spark, d).select("id", "record_id", "canonical_id", F.array_join("keywords", "|").alias("keywords"), "relevance", "status", "visible")
+
+
 def topic_counts(spark, d):
-    return screen.exploded_counts(_a(spark, d).where("status = 'complete'"), F.col("interpretation.topics"), screen.TOPICS)
+    return readings.topic_counts(_index(spark, d))
 
 
 def category_counts(spark, d):
-    r = F.col("relevance")
-    decided = r.isin("直接相关", "间接相关", "无关")
-    return screen.flag_counts(_a(spark, d), {"direct": r == "直接相关", "indirect": r == "间接相关", "unrelated": r == "无关", "undecided": ~F.coalesce(decided, F.lit(False)), "to_check": F.col("review_status") == "待核查"})
+    return readings.category_counts(_index(spark, d))
+
+
+def index_summary(spark, d):
+    return readings.index_summary(_index(spark, d))
+
+
+def topic_shares(spark, d):
+    return readings.topic_shares(_index(spark, d))
+
+
+def relevance_texts(spark, d):
+    text = T.relevance_text(F.col("title"), F.col("content_text"), F.transform("attachments", lambda a: a["text"]))
+    return _p(spark, d).select("record_id", F.length(text).cast("long").alias("chars"), F.sha2(text, 256).alias("digest"))
+
+
+def whitelisted_readings(spark, d):
+    """The six validated fields of an interpretation, and nothing else of it."""
+    x = lambda f: F.col(f"interpretation.{f}")
+    lists = [F.array_join(x(f), "|").alias(f) for f in ("key_points", "topics", "targets", "evidence")]
+    return _a(spark, d).where("interpretation IS NOT NULL").select("analysis_no", x("summary").alias("summary"), *lists, x("impact.direction").alias("direction"), x("impact.reason").alias("reason"))
+
+
+def group_members(spark, d):
+    """Members of the groups of several records, each joined with its stored record; a member without one is an error."""
+    p = _p(spark, d)
+    members = dedup.canonical(p, _completed(spark, d)).where("members > 1").select("canonical_id", "record_id")
+    return quality.referential(members, p.select("record_id", "id", "url"), "record_id", "missing record").select("canonical_id", "record_id", "id", "url")
 
 
 def dedup_canonical(spark, d):
@@ -113,35 +161,47 @@ def integrity_counts(spark, d):
     return columns.unionByName(status).unionByName(attached).unionByName(several).groupBy("kind", "value").agg(F.count(F.lit(1)).alias("n"))
 
 
+EVIDENCED = ("publish_date", "written_date", "issuer", "doc_number")
+# Words of navigation that a body should not hold.
+NAVIGATION = ("设为首页", "网站地图", "扫一扫在手机打开当前页", "目录项的基本信息", "ICP备")
+
+
 def quality_violations(spark, d):
     text = F.coalesce("content_text", F.lit(""))
     rules = {
         "bad_id": ~F.rlike("id", F.lit("^[0-9a-f]{64}$")),
+        "other_id": F.col("id") != urls.page_id(urls.normalize_url(F.col("url"))),
         "body_hash": F.col("content_hash") != F.sha2(text, 256),
-        "bad_date": (F.col("publish_date") != "") & F.try_to_timestamp(F.col("publish_date"), F.lit("yyyy-MM-dd")).isNull(),
-        "image_with_text": (F.col("content_status") == "image_only") & (F.length(text) > 0),
+        "attachment_hash": F.col("attachments_hash") != merge.attachment_digest(F.col("attachments")),
+        "image_with_text": (F.col("content_status") == "image_only") & (F.length(text) >= 40),
         "empty_complete": (F.col("content_status") == "complete") & (F.length(text) == 0),
         "no_title": T.clean(F.col("title")) == "",
-        "repeated_column": F.size(F.array_distinct("column_ids")) < F.size("column_ids"),
-        "open_issue": F.size("collection_issues") > 0,
+        "repeated_column": F.size(F.array_distinct(F.transform("columns", lambda c: c["column_id"]))) < F.size("columns"),
+        "open_issue": (F.size("collection_issues") > 0) | F.col("last_fetch_error").isNotNull(),
     }
+    for field in ("list_date", "publish_date", "written_date"):
+        rules[f"bad_{field}"] = (F.col(field) != "") & F.try_to_timestamp(F.col(field), F.lit("yyyy-MM-dd")).isNull()
+    for field in EVIDENCED:
+        rules[f"no_evidence_{field}"] = (F.col(field) != "") & F.try_element_at("field_evidence", F.lit(field)).isNull()
+    for word in NAVIGATION:
+        rules[f"navigation_{word}"] = F.contains(text, F.lit(word))
     return quality.violations(_p(spark, d), "record_id", rules)
 
 
 def evidence_contains(spark, d):
-    rows = _a(spark, d).where("interpretation IS NOT NULL").join(_source(spark, d), "id")
-    return rows.select("analysis_no", F.coalesce(T.quotes_grounded(F.col("interpretation.evidence"), F.col("source")), F.lit(False)).alias("grounded"))
+    rows = _seen(spark, d)
+    return rows.select("analysis_no", F.when(F.col("source").isNotNull(), F.coalesce(T.quotes_grounded(F.col("interpretation.evidence"), F.col("source")), F.lit(False))).alias("grounded"))
 
 
 def numbers_ungrounded(spark, d):
-    rows = _a(spark, d).where("interpretation IS NOT NULL").join(_source(spark, d), "id")
+    rows = _seen(spark, d)
     output = F.concat(F.coalesce("interpretation.summary", F.lit("")), F.coalesce(F.array_join("interpretation.key_points", ""), F.lit("")))
     return rows.select("analysis_no", F.array_join(T.ungrounded_numbers(output, F.col("source")), "|").alias("numbers"))
 
 
 def interpretation_checks(spark, d):
-    rows = _a(spark, d).where("interpretation IS NOT NULL").join(_source(spark, d), "id")
-    return rows.select("analysis_no", quality.interpretation_failure(F.col("interpretation"), F.col("source"), screen.TOPICS, TARGETS).alias("failure"))
+    rows = _seen(spark, d)
+    return rows.select("analysis_no", F.when(F.col("source").isNull(), "source").otherwise(quality.interpretation_failure(F.col("interpretation"), F.col("source"), screen.TOPICS, TARGETS)).alias("failure"))
 
 
 def text_truncate(spark, d, limit: int = 1500):
@@ -156,11 +216,16 @@ def byte_guard(spark, d):
 
 
 def attachment_digests(spark, d):
+    """The digests are those stored with the records."""
     return _p(spark, d).select("record_id", merge.attachment_digest(F.col("attachments")).alias("digest"), F.array_join(merge.binary_keys(F.col("attachments")), "|").alias("keys"))
 
 
 def coverage_missing(spark, d):
-    return quality.missing_from(table(spark, d, "policy_checks").select("id").distinct(), _p(spark, d), "id")
+    """(column_id, discovered, missing): of the ids the checks found in a column, those without a complete record."""
+    found = table(spark, d, "policy_checks").select("column_id", "id").distinct()
+    missing = quality.missing_from(found, _p(spark, d).where("content_status = 'complete'"), "id").groupBy("column_id").agg(F.count(F.lit(1)).alias("missing"))
+    counts = found.groupBy("column_id").agg(F.count(F.lit(1)).alias("discovered"))
+    return counts.join(missing, counts["column_id"].eqNullSafe(missing["column_id"]), "left").select(counts["column_id"], "discovered", F.coalesce("missing", F.lit(0)).cast("long").alias("missing"))
 
 
 def semi_analysed(spark, d):
@@ -234,11 +299,13 @@ def _json_items(name):
     return f"coalesce(to_json({name})::VARCHAR, 'null')"
 
 
-_SOURCE = """
-    src AS (SELECT id, record_id, coalesce(title, '') || chr(10) || coalesce(content_text, '')
+_HASH = f"""sha256('["{RULE_VERSION}", ' || {_json_items('title')} || ', ' || {_json_items('content_hash')} || ', ' || {_json_items('attachments_hash')} || ']')"""
+_SOURCE = f"""
+    src AS (SELECT id, record_id, {_HASH} AS input_hash, coalesce(title, '') || chr(10) || coalesce(content_text, '')
               || coalesce(array_to_string(list_transform(list_filter(attachments, lambda a: coalesce(a.text, '') <> ''),
                    lambda a: chr(10) || '附件：' || coalesce(a.name, '') || chr(10) || a.text), ''), '') AS source, content_status, attachments
-            FROM policies QUALIFY row_number() OVER (PARTITION BY id ORDER BY record_id) = 1)"""
+            FROM policies),
+    one AS (SELECT id, input_hash, source FROM src QUALIFY row_number() OVER (PARTITION BY id, input_hash ORDER BY record_id) = 1)"""
 _DISPLAY = "coalesce(nullif(publish_date, ''), nullif(list_date, ''), '')"
 _KEYS = "[" + ", ".join(f"'{k}'" for k in screen.KEYWORDS) + "]"
 _TOPICS = "[" + ", ".join(f"'{k}'" for k in screen.TOPICS) + "]"
@@ -261,8 +328,26 @@ _GROUPED = f"""
             length(regexp_replace(coalesce(content_text, ''), '{SP}+', '', 'g')) AS chars
           FROM policies p LEFT JOIN done ON done.id = p.id)"""
 _ORDER = "ORDER BY o1, o2, chars DESC, id, record_id"
+_URL = r"""
+        SELECT record_id, u AS url, sha256(u) AS page_id FROM (SELECT record_id, regexp_extract(url, '^([^?#]*)', 1) || CASE WHEN q <> '' THEN '?' || q ELSE '' END AS u FROM (SELECT record_id, url,
+            array_to_string(list_sort(list_filter(string_split(regexp_extract(url, '\?([^#]*)', 1), '&'), lambda p: p <> '' AND NOT starts_with(lower(p), 'utm_'))), '&') AS q FROM policies))"""
+_STORED_SQL = f"stored AS (SELECT *, {_HASH} AS input_hash FROM policies QUALIFY row_number() OVER (PARTITION BY id ORDER BY (content_status IS DISTINCT FROM 'failed') DESC, try_cast(last_checked_at AS TIMESTAMPTZ) DESC NULLS LAST, record_id) = 1)"
+_STORED = _GROUPED.replace("FROM policies p", "FROM stored p")
+_INDEX = f"""
+    {_STORED_SQL},
+    {_STORED},
+    c AS (SELECT record_id, first_value(id) OVER (PARTITION BY k {_ORDER}) AS canonical_id FROM g),
+    r AS (SELECT a.id, a.relevance, a.status, a.review_status, a.interpretation FROM analyses a JOIN stored s ON s.id = a.id AND s.input_hash = a.input_hash
+          QUALIFY row_number() OVER (PARTITION BY a.id ORDER BY CASE a.status WHEN 'complete' THEN 0 WHEN 'irrelevant' THEN 1 WHEN 'pending_review' THEN 2 WHEN 'pending' THEN 3 ELSE 4 END,
+              try_cast(a.analyzed_at AS TIMESTAMPTZ) DESC NULLS LAST, a.analysis_no) = 1),
+    x AS (SELECT s.id, s.record_id, c.canonical_id, list_filter({_KEYS}, lambda k: contains(coalesce(title, '') || chr(10) || coalesce(content_text, ''), k)) AS keys,
+              r.id IS NOT NULL AS current, r.relevance, r.status AS reading, r.review_status, r.interpretation.topics AS topics
+          FROM stored s JOIN c USING (record_id) LEFT JOIN r ON r.id = s.id),
+    i AS (SELECT *, CASE WHEN len(keys) = 0 THEN 'keyword_no_match' WHEN current THEN coalesce(reading, 'pending') ELSE 'pending' END AS status,
+              len(keys) > 0 AND current AND coalesce(reading = 'complete' AND relevance IN ('直接相关', '间接相关'), false) AS visible FROM x)"""
 
 QUERIES = {f.__name__: f for f in (
+    reading_index, index_summary, topic_shares, relevance_texts, whitelisted_readings, group_members,
     text_clean, date_extract, title_parts, url_normalize, url_parts, hash_mismatch, fingerprint_stale, keyword_screen, topic_counts, category_counts, dedup_canonical, dedup_canonical_nfkc, dedup_groups,
     dedup_summary, duplicate_keys, integrity_counts, quality_violations, evidence_contains, numbers_ungrounded, interpretation_checks, text_truncate, byte_guard, attachment_digests, coverage_missing,
     semi_analysed, column_membership, id_columns, display_dates, search_facets, search_array_facet, search_page, recent_30d, facet_issuers, related_top5, set_operations, seeded_sample,
@@ -271,16 +356,19 @@ QUERIES = {f.__name__: f for f in (
 SQL = {
     "text_clean": rf"SELECT record_id, trim(regexp_replace(coalesce(title, ''), '{SP}+', ' ', 'g')) AS title, length(regexp_replace(coalesce(content_text, ''), '{SP}+', '', 'g')) AS chars FROM policies",
     "date_extract": f"SELECT record_id, {_iso('coalesce(columns[1].list_date_raw, chr(32))')} AS listed, {_iso('publish_date')} AS published, {_iso('title')} AS titled FROM policies",
-    "title_parts": r"""
-        SELECT record_id, nullif(regexp_extract(title, '[\x{4e00}-\x{9fff}A-Za-z]{1,20}[〔\[［(（]20[0-9]{2}[〕\]］)）]\s*[0-9]+号'), '') AS number,
-            nullif(regexp_extract(title, '^([^，。；：:《》]{2,65}?(?:局|厅|委员会|委|部|办公室|分行|人民政府|司|中心))(?:关于|有关|公告|通告|通知|公示|令)', 1), '') AS issuer,
-            list_filter(string_split(content_text, chr(10))[1:15], lambda l: regexp_full_match(l, '[\x{4e00}-\x{9fff}A-Za-z]{1,20}[〔\[［(]20[0-9]{2}[〕\]］)]\s*[0-9]+号'))[1] AS header_number
+    "title_parts": rf"""
+        SELECT record_id, nullif(trim(regexp_replace(regexp_extract(title, '国家能源局公告[\s\p{{Z}}]*20[0-9]{{2}}年第[0-9]+号'), '{SP}+', ' ', 'g')), '') AS known_number,
+            nullif(regexp_extract(title, '^({"|".join(T.ISSUERS)})[\s\p{{Z}}]*(?:{"|".join(T.AFTER_ISSUER)})', 1), '') AS known_issuer,
+            nullif(trim(regexp_replace(regexp_extract(title, '[\x{{4e00}}-\x{{9fff}}A-Za-z]{{1,20}}[〔\[［(（]20[0-9]{{2}}[〕\]］)）]\s*[0-9]+号'), '{SP}+', ' ', 'g')), '') AS number,
+            nullif(regexp_extract(title, '^([^，。；：:《》]{{2,65}}?(?:局|厅|委员会|委|部|办公室|分行|人民政府|司|中心))[\s\p{{Z}}]*(?:{"|".join(T.AFTER_ISSUER)})', 1), '') AS issuer,
+            list_filter(string_split(content_text, chr(10))[1:15], lambda l: regexp_full_match(l, '[\x{{4e00}}-\x{{9fff}}A-Za-z]{{1,20}}[〔\[［(]20[0-9]{{2}}[〕\]］)]\s*[0-9]+号'))[1] AS header_number
         FROM policies""",
     "url_parts": """
         SELECT record_id, lower(nullif(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#:]+)', 1), '')) AS host,
             nullif(lower(regexp_extract(url, '\\.([^./?#]+)(?:[?#].*)?$', 1)), '') AS extension,
             CASE WHEN regexp_matches(url, '^(?i:https?):') THEN url END AS safe FROM policies""",
-    "hash_mismatch": "SELECT record_id FROM policies WHERE content_hash <> sha256(coalesce(content_text, ''))",
+    "url_normalize": _URL,
+    "hash_mismatch": "SELECT record_id, content_hash = sha256(coalesce(content_text, '')) AS body, CASE WHEN attachments_hash IS NOT NULL THEN true END AS files FROM policies",
     "fingerprint_stale": f"""
         WITH h AS (SELECT DISTINCT id, sha256('["{RULE_VERSION}", ' || {_json_items('title')} || ', ' || {_json_items('content_hash')} || ', ' || {_json_items('attachments_hash')} || ']') AS h FROM policies)
         SELECT analysis_no, EXISTS (SELECT 1 FROM h WHERE h.id = a.id AND h.h = a.input_hash) AS current FROM analyses a""",
@@ -288,11 +376,31 @@ SQL = {
         SELECT record_id, array_to_string(k, '|') AS keywords FROM (
             SELECT record_id, list_filter({_KEYS}, lambda k: contains(coalesce(title, '') || chr(10) || coalesce(content_text, ''), k)) AS k FROM policies) WHERE len(k) > 0""",
     "topic_counts": f"""
-        WITH t AS (SELECT unnest({_TOPICS}) AS topic), n AS (SELECT unnest(interpretation.topics) AS topic FROM analyses WHERE status = 'complete')
+        WITH {_INDEX}, t AS (SELECT unnest({_TOPICS}) AS topic), n AS (SELECT unnest(topics) AS topic FROM i WHERE id = canonical_id AND len(keys) > 0 AND status = 'complete')
         SELECT t.topic, count(n.topic) AS n FROM t LEFT JOIN n USING (topic) GROUP BY t.topic""",
-    "category_counts": """
+    "topic_shares": f"""
+        WITH {_INDEX}, t AS (SELECT unnest({_TOPICS}) AS topic), n AS (SELECT unnest(topics) AS topic FROM i WHERE visible AND id = canonical_id),
+        k AS (SELECT t.topic, count(n.topic) AS n FROM t LEFT JOIN n USING (topic) GROUP BY t.topic)
+        SELECT topic, n, round(n / greatest(1, max(n) OVER ()), 6) AS share FROM k""",
+    "reading_index": f"WITH {_INDEX} SELECT id, record_id, canonical_id, array_to_string(keys, '|') AS keywords, relevance, status, visible FROM i",
+    "index_summary": f"""
+        WITH {_INDEX} SELECT count(*) FILTER (id = canonical_id) AS total, count(*) AS raw_total, count(*) - count(*) FILTER (id = canonical_id) AS merged_records,
+            count(*) FILTER (id = canonical_id AND len(keys) > 0) AS keyword_matches FROM i""",
+    "relevance_texts": """
+        WITH t AS (SELECT record_id, coalesce(title, '') || chr(10) || '正文：' || chr(10) || coalesce(content_text, '')[1:2000] || chr(10) || '附件解析文本：' || chr(10)
+              || coalesce(array_to_string(list_filter(list_transform(attachments, lambda a: a.text), lambda x: coalesce(x, '') <> ''), chr(10)), '')[1:2000] AS t FROM policies)
+        SELECT record_id, length(t) AS chars, sha256(t) AS digest FROM t""",
+    "whitelisted_readings": """
+        SELECT analysis_no, interpretation.summary AS summary, array_to_string(interpretation.key_points, '|') AS key_points, array_to_string(interpretation.topics, '|') AS topics,
+            array_to_string(interpretation.targets, '|') AS targets, array_to_string(interpretation.evidence, '|') AS evidence, interpretation.impact.direction AS direction, interpretation.impact.reason AS reason
+        FROM analyses WHERE interpretation IS NOT NULL""",
+    "group_members": f"""
+        WITH {_GROUPED}, m AS (SELECT record_id, first_value(id) OVER (PARTITION BY k {_ORDER}) AS canonical_id, count(*) OVER (PARTITION BY k) AS members FROM g)
+        SELECT canonical_id, record_id, p.id, p.url FROM m JOIN policies p USING (record_id) WHERE members > 1""",
+    "category_counts": f"""
+        WITH {_INDEX}, h AS (SELECT * FROM i WHERE id = canonical_id AND len(keys) > 0)
         SELECT count(*) FILTER (relevance = '直接相关') AS direct, count(*) FILTER (relevance = '间接相关') AS indirect, count(*) FILTER (relevance = '无关') AS unrelated,
-            count(*) FILTER (relevance IS NULL OR relevance NOT IN ('直接相关', '间接相关', '无关')) AS undecided, count(*) FILTER (review_status = '待核查') AS to_check FROM analyses""",
+            count(*) FILTER (relevance IS NULL OR relevance NOT IN ('直接相关', '间接相关', '无关')) AS undecided, count(*) FILTER (review_status = '待核查') AS to_check FROM h""",
     "dedup_canonical": f"WITH {_GROUPED} SELECT record_id, first_value(record_id) OVER (PARTITION BY k {_ORDER}) AS canonical_record, count(*) OVER (PARTITION BY k) AS members FROM g",
     "dedup_groups": f"""
         WITH {_GROUPED} SELECT first(id {_ORDER}) AS canonical_id, string_agg(id, '|' {_ORDER}) AS member_ids, string_agg(coalesce(url, ''), '|' {_ORDER}) AS urls FROM g GROUP BY k HAVING count(*) > 1""",
@@ -308,23 +416,27 @@ SQL = {
             UNION ALL SELECT 'several', '' FROM policies WHERE len(columns) > 1) GROUP BY ALL""",
     "quality_violations": rf"""
         SELECT 'bad_id' AS rule, record_id FROM policies WHERE NOT regexp_full_match(id, '[0-9a-f]{{64}}')
+        UNION ALL SELECT 'other_id', record_id FROM policies JOIN ({_URL}) USING (record_id) WHERE id <> page_id
         UNION ALL SELECT 'body_hash', record_id FROM policies WHERE content_hash <> sha256(coalesce(content_text, ''))
-        UNION ALL SELECT 'bad_date', record_id FROM policies WHERE publish_date <> '' AND (NOT regexp_full_match(publish_date, '[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}') OR try_strptime(publish_date, '%Y-%m-%d') IS NULL)
-        UNION ALL SELECT 'image_with_text', record_id FROM policies WHERE content_status = 'image_only' AND length(content_text) > 0
+        UNION ALL SELECT 'image_with_text', record_id FROM policies WHERE content_status = 'image_only' AND length(content_text) >= 40
         UNION ALL SELECT 'empty_complete', record_id FROM policies WHERE content_status = 'complete' AND coalesce(content_text, '') = ''
         UNION ALL SELECT 'no_title', record_id FROM policies WHERE trim(regexp_replace(coalesce(title, ''), '{SP}+', ' ', 'g')) = ''
-        UNION ALL SELECT 'repeated_column', record_id FROM policies WHERE len(list_distinct(column_ids)) < len(column_ids)
-        UNION ALL SELECT 'open_issue', record_id FROM policies WHERE len(collection_issues) > 0""",
+        UNION ALL SELECT 'repeated_column', record_id FROM policies WHERE len(list_distinct(list_transform(columns, lambda c: c.column_id))) < len(columns)
+        UNION ALL SELECT 'open_issue', record_id FROM policies WHERE len(collection_issues) > 0 OR last_fetch_error IS NOT NULL""" + "".join(
+        f" UNION ALL SELECT 'bad_{f}', record_id FROM policies WHERE {f} <> '' AND (NOT regexp_full_match({f}, '[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}') OR try_strptime({f}, '%Y-%m-%d') IS NULL)" for f in ("list_date", "publish_date", "written_date")
+    ) + "".join(f" UNION ALL SELECT 'no_evidence_{f}', record_id FROM policies WHERE {f} <> '' AND field_evidence['{f}'] IS NULL" for f in EVIDENCED)
+    + "".join(f" UNION ALL SELECT 'navigation_{w}', record_id FROM policies WHERE contains(content_text, '{w}')" for w in NAVIGATION),
     "evidence_contains": rf"""
-        WITH {_SOURCE} SELECT analysis_no, coalesce(len(list_filter(interpretation.evidence, lambda q: NOT (length(q) >= 8 AND
-            contains(regexp_replace(source, '{SP}+', '', 'g'), regexp_replace(q, '{SP}+', '', 'g'))))) = 0, false) AS grounded
-        FROM analyses JOIN src USING (id) WHERE interpretation IS NOT NULL""",
+        WITH {_SOURCE}, e AS (SELECT analysis_no, coalesce(len(list_filter(interpretation.evidence, lambda q: NOT (length(q) >= 8 AND
+            contains(regexp_replace(source, '{SP}+', '', 'g'), regexp_replace(q, '{SP}+', '', 'g'))))) = 0, false) AS grounded0, source IS NULL AS unseen
+        FROM analyses LEFT JOIN one USING (id, input_hash) WHERE interpretation IS NOT NULL)
+        SELECT analysis_no, CASE WHEN NOT unseen THEN grounded0 END AS grounded FROM e""",
     "numbers_ungrounded": rf"""
         WITH {_SOURCE} SELECT analysis_no, array_to_string(list_filter(regexp_extract_all(coalesce(interpretation.summary, '') || coalesce(array_to_string(interpretation.key_points, ''), ''), '[0-9]+(?:\.[0-9]+)?'),
-            lambda n: NOT contains(source, n)), '|') AS numbers FROM analyses JOIN src USING (id) WHERE interpretation IS NOT NULL""",
+            lambda n: NOT contains(source, n)), '|') AS numbers FROM analyses LEFT JOIN one USING (id, input_hash) WHERE interpretation IS NOT NULL""",
     "interpretation_checks": rf"""
-        WITH {_SOURCE}, i AS (SELECT analysis_no, interpretation AS x, source, regexp_replace(source, '{SP}+', '', 'g') AS bare FROM analyses JOIN src USING (id) WHERE interpretation IS NOT NULL)
-        SELECT analysis_no, CASE
+        WITH {_SOURCE}, i AS (SELECT analysis_no, interpretation AS x, source, regexp_replace(source, '{SP}+', '', 'g') AS bare FROM analyses LEFT JOIN one USING (id, input_hash) WHERE interpretation IS NOT NULL)
+        SELECT analysis_no, CASE WHEN source IS NULL THEN 'source'
             WHEN NOT coalesce(length(x.summary) BETWEEN 1 AND 50, false) THEN 'summary'
             WHEN NOT coalesce(len(x.key_points) = 3 AND len(list_filter(x.key_points, lambda p: NOT length(p) > 0)) = 0, false) THEN 'key_points'
             WHEN NOT coalesce(len(list_filter(x.topics, lambda t: NOT list_contains({_TOPICS}, t))) = 0 AND len(list_distinct(x.topics)) = len(x.topics) AND len(x.topics) <= 3, false) THEN 'topics'
@@ -339,11 +451,13 @@ SQL = {
             CASE WHEN len(list_filter(attachments, lambda a: coalesce(a.status, '') <> 'parsed')) > 0 THEN 'attachments' END,
             CASE WHEN length(source) > 1500 THEN 'length' END], lambda r: r IS NOT NULL), '|') AS reasons FROM src""",
     "byte_guard": f"WITH {_SOURCE} SELECT record_id, strlen(source) AS bytes FROM src WHERE strlen(source) > 5000",
-    "attachment_digests": """
-        SELECT record_id, sha256(coalesce(array_to_string(list_sort(list_transform(attachments, lambda a: coalesce(a.url, chr(29)) || chr(31) || coalesce(a.sha256, chr(29)) || chr(31)
-                || coalesce(a.status, chr(29)) || chr(31) || coalesce(a.text, chr(29)))), chr(30)), '')) AS digest,
+    "attachment_digests": f"""
+        SELECT record_id, coalesce(attachments_hash, sha256('[' || coalesce(array_to_string(list_sort(list_transform(attachments, lambda a: '[' || {_json_items('a.url')} || ', ' || {_json_items('a.sha256')} || ', ' || {_json_items('a.status')}
+                || ', ' || to_json(coalesce(a.text, ''))::VARCHAR || ']')), ', '), '') || ']')) AS digest,
             array_to_string(list_sort(list_transform(attachments, lambda a: a.url || ' ' || coalesce(a.sha256, ''))), '|') AS keys FROM policies""",
-    "coverage_missing": "SELECT DISTINCT id FROM policy_checks c WHERE NOT EXISTS (SELECT 1 FROM policies p WHERE p.id = c.id)",
+    "coverage_missing": """
+        WITH f AS (SELECT DISTINCT column_id, id FROM policy_checks)
+        SELECT column_id, count(*) AS discovered, count(*) FILTER (NOT EXISTS (SELECT 1 FROM policies p WHERE p.id = f.id AND p.content_status = 'complete')) AS missing FROM f GROUP BY column_id""",
     "semi_analysed": "SELECT record_id FROM policies p WHERE EXISTS (SELECT 1 FROM analyses a WHERE a.id = p.id AND a.status = 'complete' AND a.interpretation IS NOT NULL)",
     "column_membership": """
         SELECT h.column_id, h.name, h.status AS health, count(*) AS records FROM policies p JOIN column_health h ON list_contains(p.column_ids, h.column_id) GROUP BY ALL""",

@@ -19,12 +19,16 @@ def stream_windows(spark, d):
 
 def stream_failures(spark, d):
     rows = upsert.read_stream(spark, f"{d}/policy_checks.parquet").where("column_id IS NOT NULL").select("column_id", "check_id", (F.coalesce("content_status", F.lit("")) == "failed").alias("bad"))
-    return upsert.run_states(rows, "column_id", "check_id", "bad").select("column_id", "failures", F.col("last_success").cast("long").alias("last_success"))
+    return upsert.run_states(rows, "column_id", "check_id", "bad").select("column_id", "failures", "last_success")
 
 
 QUERIES = {f.__name__: f for f in (stream_upsert, stream_windows, stream_failures)}
 
 SQL = {
     "stream_upsert": "SELECT id, column_id, check_id, content_status FROM policy_checks QUALIFY row_number() OVER (PARTITION BY id, column_id ORDER BY arrived_at DESC, check_id DESC) = 1",
+    "stream_failures": """
+        WITH s AS (SELECT column_id, max(check_id) FILTER (content_status IS DISTINCT FROM 'failed') AS last_success FROM policy_checks WHERE column_id IS NOT NULL GROUP BY 1)
+        SELECT s.column_id, count(DISTINCT check_id) FILTER (content_status = 'failed' AND (last_success IS NULL OR check_id > last_success)) AS failures, any_value(last_success) AS last_success
+        FROM s JOIN policy_checks USING (column_id) GROUP BY 1""",
     "stream_windows": "SELECT strftime(ts, '%Y-%m-%d') AS day, event_type, count(*) AS n FROM events GROUP BY 1, 2",
 }

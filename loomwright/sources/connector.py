@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import json
 import os
+import time
 from collections.abc import Callable, Iterator
 from urllib.parse import urljoin, urlsplit
 from urllib.robotparser import RobotFileParser
@@ -92,6 +93,52 @@ def saved_fetch(folder: str, index: dict[str, dict]) -> Fetch:
     return fetch
 
 
+class Robots:
+    """What the robots files of hosts allow, each read once and kept for ``keep`` seconds."""
+
+    def __init__(self, fetch: Fetch, keep: float = 1800.0, clock: Callable[[], float] = time.monotonic):
+        self.fetch, self.keep, self.clock = fetch, keep, clock
+        self.known: dict[str, tuple[float, Callable[[str], bool], float]] = {}
+
+    def rules(self, url: str) -> tuple[Callable[[str], bool], float]:
+        parts = urlsplit(url)
+        root = f"{parts.scheme}://{parts.netloc}"
+        if root not in self.known or self.clock() - self.known[root][0] > self.keep:
+            try:
+                status, _, body = self.fetch(f"{root}/robots.txt")
+            except OSError:
+                status, body = 0, b""
+            self.known[root] = (self.clock(), *robots_rules(status, body))
+        return self.known[root][1:]
+
+    def allowed(self, url: str) -> bool:
+        return self.rules(url)[0](url)
+
+    def delay(self, url: str) -> float:
+        return self.rules(url)[1]
+
+
+class Pacer:
+    """Keeps a host's requests apart by an interval, or by its robots file's delay where that is longer.
+
+    A host is read by one task (``HostPages``), so no lock between tasks is needed.
+    """
+
+    def __init__(self, fetch: Fetch, robots: Robots, interval: float, wait: Callable[[float], None], clock: Callable[[], float] = time.monotonic):
+        self.inner, self.robots, self.interval, self.wait, self.clock = fetch, robots, interval, wait, clock
+        self.last: dict[str, float] = {}
+        self.waited = 0.0
+
+    def __call__(self, url: str) -> tuple[int, dict, bytes]:
+        host = urlsplit(url).hostname or ""
+        pause = self.last.get(host, float("-inf")) + max(self.interval, self.robots.delay(url)) - self.clock()
+        if pause > 0:
+            self.wait(pause)
+            self.waited += pause
+        self.last[host] = self.clock()
+        return self.inner(url)
+
+
 class HostPages(InputPartition):
     """The pages of one host."""
 
@@ -100,24 +147,34 @@ class HostPages(InputPartition):
 
 
 class PageReader(DataSourceReader):
-    def __init__(self, folder: str, retries: int):
-        self.folder, self.retries = folder, retries
+    """Reads the pages of an index; robots files are asked for on every hop, hosts are paced.
+
+    A saved answer costs no network, so nothing waits unless the option ``interval`` says so; a host
+    without a saved robots file counts as one that has none.
+    """
+
+    def __init__(self, folder: str, retries: int, interval: float = 0.0):
+        self.folder, self.retries, self.interval = folder, retries, interval
         with open(os.path.join(folder, "index.jsonl"), encoding="utf-8") as lines:
             self.index = {e["url"]: e for e in map(json.loads, filter(str.strip, lines))}
 
     def partitions(self) -> list[HostPages]:
         by_host: dict[str, list[str]] = {}
         for url, entry in self.index.items():
-            if entry.get("page", True):
+            if entry.get("page", True) and not urlsplit(url).path.endswith("/robots.txt"):
                 by_host.setdefault((urlsplit(url).hostname or "").lower(), []).append(url)
         return [HostPages(host, urls) for host, urls in by_host.items()]
 
     def read(self, partition: HostPages) -> Iterator[tuple]:
-        fetch = saved_fetch(self.folder, self.index)
+        saved = saved_fetch(self.folder, self.index)
+        robots = Robots(lambda url: saved(url) if url in self.index else (404, {}, b""))
+        fetch = Pacer(saved, robots, self.interval, time.sleep)
+        wait = time.sleep if self.interval else lambda _: None
         for url in partition.urls:
+            before = fetch.waited
             try:
-                final, status, body, attempts, waited = followed(fetch, url, retries=self.retries)
-                yield url, final, partition.host, status, attempts, waited, body, None
+                final, status, body, attempts, waited = followed(fetch, url, robots.allowed, retries=self.retries, wait=wait)
+                yield url, final, partition.host, status, attempts, waited + fetch.waited - before, body, None
             except Exception as problem:  # noqa: BLE001
                 yield url, None, partition.host, None, None, None, None, str(problem)[:300]
 
@@ -133,7 +190,7 @@ class FetchedPages(DataSource):
         return ROWS
 
     def reader(self, schema) -> PageReader:
-        return PageReader(self.options["path"], int(self.options.get("retries", 3)))
+        return PageReader(self.options["path"], int(self.options.get("retries", 3)), float(self.options.get("interval", 0)))
 
 
 def register(spark: SparkSession) -> None:

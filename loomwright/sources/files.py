@@ -1,19 +1,26 @@
-"""Attachment files: what they are by their first bytes, and the text of the office formats.
-
-PDF text needs a library this environment does not have: such files come out as ``needs_manual_review``.
-"""
+"""Attachment files: what they are by their first bytes, and the text of office formats and digital PDF files."""
 
 from __future__ import annotations
 
 import io
+import re
+import signal
+import threading
 import zipfile
+import zlib
+from contextlib import contextmanager
 from xml.etree import ElementTree
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+# File types that are read here.
+READABLE = ("pdf", "docx", "xlsx")
 MOST_CELLS = 2_000_000
 MOST_BYTES = 300 * 1024 * 1024
+MOST_PAGES = 600
+#: Longest time one file may take.
+SECONDS = 90.0
 WORD = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
 SHEET = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
 RELATION = "{http://schemas.openxmlformats.org/officeDocument/2006/relationships}id"
@@ -88,22 +95,182 @@ def _bounded(archive: zipfile.ZipFile) -> None:
         raise ValueError("the archive expands to more than 300 MiB")
 
 
+# What a file that gives no text is put down as.
+REVIEW, IS_HTML, OLD_OFFICE, NO_READER, NO_TEXT = "needs_manual_review", "attachment_link_returns_html", "legacy_or_encrypted_ole_container", "unsupported_format_no_ocr", "no_extractable_text"
+
+
 def file_text(data: bytes, detected: str) -> tuple[str, str, str | None]:
-    """(status, text, error) of one file."""
-    if detected == "html":
-        return "needs_manual_review", "", "attachment_link_returns_html"
+    """(status, text, error) of one file; a file that was read and holds no text is left to a person."""
+    known = {"html": IS_HTML, "ole": OLD_OFFICE}
+    if detected in known:
+        return REVIEW, "", known[detected]
+    if detected == "pdf":
+        return _read(pdf_text, data)
     if detected != "zip":
-        return "needs_manual_review", "", "unsupported_format_no_ocr"
+        return REVIEW, "", NO_READER
     try:
         with zipfile.ZipFile(io.BytesIO(data)) as archive:
             names = set(archive.namelist())
-        read = docx_text if "word/document.xml" in names else xlsx_text if "xl/workbook.xml" in names else None
-        if read is None:
-            return "needs_manual_review", "", "unsupported_format_no_ocr"
-        text, cut = read(data)
-        return ("partial" if cut else "parsed"), text, None
     except Exception as problem:  # noqa: BLE001
         return "failed", "", f"{type(problem).__name__}: {problem}"[:300]
+    reader = docx_text if "word/document.xml" in names else xlsx_text if "xl/workbook.xml" in names else None
+    return _read(reader, data) if reader else (REVIEW, "", NO_READER)
+
+
+def _read(reader, data: bytes) -> tuple[str, str, str | None]:
+    try:
+        with limited(SECONDS):
+            text, cut = reader(data)
+    except Exception as problem:  # noqa: BLE001
+        return "failed", "", f"{type(problem).__name__}: {problem}"[:300]
+    if not text.strip():
+        return REVIEW, "", NO_TEXT
+    return ("partial" if cut else "parsed"), text, None
+
+
+@contextmanager
+def limited(seconds: float):
+    """Ends what takes longer with an error.  A worker's main thread alone can be interrupted; elsewhere there is no limit."""
+    def late(*_):
+        raise TimeoutError(f"parsing took more than {seconds} s")
+
+    if threading.current_thread() is not threading.main_thread():
+        yield
+        return
+    before = signal.signal(signal.SIGALRM, late)
+    signal.setitimer(signal.ITIMER_REAL, seconds)
+    try:
+        yield
+    finally:
+        signal.setitimer(signal.ITIMER_REAL, 0)
+        signal.signal(signal.SIGALRM, before)
+
+
+class _Pdf:
+    """The objects of a PDF file that are written plainly or in compressed object streams, by number."""
+
+    def __init__(self, data: bytes):
+        self.objects: dict[int, bytes] = {int(m.group(1)): m.group(2) for m in re.finditer(rb"(?s)(\d+)\s+\d+\s+obj\b(.*?)\bendobj", data)}
+        if b"/Encrypt" in data:
+            raise ValueError("the file is encrypted")
+        for body in list(self.objects.values()):
+            if b"/ObjStm" in body:
+                inner, first = self.stream(body), int(re.search(rb"/First\s+(\d+)", body).group(1))
+                heads = [int(x) for x in inner[:first].split()]
+                ends = [*heads[3::2], len(inner) - first]
+                for number, at, end in zip(heads[::2], heads[1::2], ends):
+                    self.objects.setdefault(number, inner[first + at : first + end])
+
+    @staticmethod
+    def stream(body: bytes) -> bytes:
+        """The decoded stream of an object; b'' where it has none or another filter than Flate."""
+        found = re.search(rb"(?s)stream\r?\n(.*?)\r?\n?endstream", body)
+        if not found:
+            return b""
+        filters = re.search(rb"/Filter\s*\[?\s*((?:/\w+\s*)+)", body)
+        named = filters.group(1).split() if filters else []
+        if not named:
+            return found.group(1)
+        return zlib.decompressobj().decompress(found.group(1)) if named == [b"/FlateDecode"] else b""
+
+    def inherited(self, number: int, key: bytes) -> bytes:
+        """The value of a page's key, its own or that of a node above."""
+        for _ in range(32):
+            body = self.objects.get(number, b"")
+            if found := re.search(key + rb"\s*(\d+\s+\d+\s+R|<<(?s:.*?)>>(?:\s*>>)*)", body):
+                return self.resolved(found.group(1))
+            above = re.search(rb"/Parent\s+(\d+)\s+\d+\s+R", body)
+            if not above:
+                return b""
+            number = int(above.group(1))
+        return b""
+
+    def resolved(self, value: bytes) -> bytes:
+        reference = re.fullmatch(rb"(\d+)\s+\d+\s+R", value.strip())
+        return self.objects.get(int(reference.group(1)), b"") if reference else value
+
+    def pages(self, number: int | None = None, depth: int = 0) -> list[int]:
+        """Numbers of the pages in reading order."""
+        if number is None:
+            roots = [int(m.group(1)) for body in self.objects.values() if b"/Catalog" in body and (m := re.search(rb"/Pages\s+(\d+)", body))]
+            return self.pages(roots[-1]) if roots else []
+        body = self.objects.get(number, b"")
+        kids = re.search(rb"(?s)/Kids\s*\[(.*?)\]", body)
+        if not kids or depth > 32:
+            return [number]
+        return [p for k in re.findall(rb"(\d+)\s+\d+\s+R", kids.group(1)) for p in self.pages(int(k), depth + 1)]
+
+
+def _hex_text(digits: bytes) -> str:
+    return bytes.fromhex(digits.decode()).decode("utf-16-be", "replace")
+
+
+def _unicode_map(cmap: bytes) -> dict[int, str]:
+    """Character codes to text, from a font's ToUnicode map."""
+    table: dict[int, str] = {}
+    for block in re.findall(rb"(?s)beginbfchar(.*?)endbfchar", cmap):
+        table |= {int(a, 16): _hex_text(b) for a, b in re.findall(rb"<([0-9A-Fa-f]+)>\s*<([0-9A-Fa-f]+)>", block)}
+    for block in re.findall(rb"(?s)beginbfrange(.*?)endbfrange", cmap):
+        for low, high, start in re.findall(rb"<([0-9A-Fa-f]+)>\s*<([0-9A-Fa-f]+)>\s*<([0-9A-Fa-f]+)>", block):
+            first = _hex_text(start)
+            table |= {int(low, 16) + i: first[:-1] + chr(ord(first[-1]) + i) for i in range(min(int(high, 16) - int(low, 16), 0xFFFF) + 1)}
+    return table
+
+
+def _shown(token: bytes, table: dict[int, str] | None) -> str:
+    """The text of a string operand under a font's map; without a map, one byte a character."""
+    if token.startswith(b"<"):
+        digits = re.sub(rb"\s", b"", token[1:-1])
+        raw = bytes.fromhex((digits + b"0" * (len(digits) % 2)).decode())
+    else:
+        escapes = {b"n": b"\n", b"r": b"\r", b"t": b"\t", b"b": b"\b", b"f": b"\f"}
+        one = lambda m: bytes([int(m.group(1), 8) & 255]) if m.group(1)[:1].isdigit() else escapes.get(m.group(1), m.group(1).strip(b"\r\n"))
+        raw = re.sub(rb"(?s)\\([0-7]{1,3}|.)", one, token[1:-1])
+    if table is None:
+        return raw.decode("latin-1")
+    width = 2 if max(table, default=0) > 255 or token.startswith(b"<") else 1
+    return "".join(table.get(int.from_bytes(raw[i : i + width], "big"), "") for i in range(0, len(raw), width))
+
+
+_PDF_TOKEN = re.compile(rb"(?s)\((?:\\.|[^\\()]|\((?:\\.|[^\\()])*\))*\)|<[0-9A-Fa-f\s]*>|/[^\s/<>\[\]()]+|[-+.\d]+|[A-Za-z'\"*]+|\[|\]")
+
+
+def pdf_text(data: bytes) -> tuple[str, bool]:
+    """Each page under its number, a line for each text position; and whether pages without text that show images were left out.
+
+    Digital files with plain or Flate streams; fonts by their ToUnicode maps.  Encrypted files are an error.
+    """
+    pdf = _Pdf(data)
+    numbers = pdf.pages()
+    parts, cut = [], len(numbers) > MOST_PAGES
+    for n, page in enumerate(numbers[:MOST_PAGES], 1):
+        resources = pdf.inherited(page, rb"/Resources")
+        fonts = re.search(rb"(?s)/Font\s*(<<.*?>>|\d+\s+\d+\s+R)", resources)
+        named = dict(re.findall(rb"(/[^\s/<>\[\]()]+)\s+(\d+)\s+\d+\s+R", pdf.resolved(fonts.group(1)))) if fonts else {}
+        tables = {}
+        for name, number in named.items():
+            to = re.search(rb"/ToUnicode\s+(\d+)", pdf.objects.get(int(number), b""))
+            tables[name] = _unicode_map(pdf.stream(pdf.objects.get(int(to.group(1)), b""))) if to else None
+        contents = re.search(rb"(?s)/Contents\s*(\[.*?\]|\d+\s+\d+\s+R)", pdf.objects.get(page, b""))
+        streams = [pdf.stream(pdf.objects.get(int(c), b"")) for c in re.findall(rb"(\d+)\s+\d+\s+R", contents.group(1))] if contents else []
+        table, pieces, operands = None, [], []
+        for token in _PDF_TOKEN.findall(b"\n".join(streams)):
+            if token[:1].isalpha() or token in (b"'", b'"', b"T*"):
+                if token == b"Tf" and len(operands) >= 2:
+                    table = tables.get(operands[-2])
+                elif token in (b"Td", b"TD", b"Tm", b"T*", b"'", b'"'):
+                    pieces.append("\n")
+                if token in (b"Tj", b"TJ", b"'", b'"'):
+                    pieces += [_shown(o, table) for o in operands if o[:1] in b"(<"]
+                operands = []
+            else:
+                operands.append(token)
+        text = "\n".join(line for line in (" ".join(x.split()) for x in "".join(pieces).split("\n")) if line)
+        # a page of hardly any text that shows an image is a scan
+        cut |= len(text) < 20 and b"/XObject" in resources
+        if text:
+            parts.append(f"[第 {n} 页]\n{text}")
+    return "\n".join(parts), cut
 
 
 def read_files(files: DataFrame, path: str = "path", content: str = "content") -> DataFrame:

@@ -1,7 +1,7 @@
 """Record stores: one JSON document a record, append-only logs, snapshots and series files.
 
-Writes commit by renaming a staged folder, so readers see the old table or the new one.  All paths
-may lie on any file system Spark can reach.
+Writes commit by publishing the number of a finished version folder, so readers see the old table or
+the new one.  All paths may lie on any file system Spark can reach.
 """
 
 from __future__ import annotations
@@ -35,6 +35,40 @@ def read_documents(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return read.withColumn("_stem", F.regexp_extract(F.input_file_name(), r"([^/]+)\.json$", 1))
 
 
+def read_optional(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """The records of one JSON file; only a missing file is an empty table, a broken one is an error."""
+    if not exists(spark, path):
+        return spark.createDataFrame([], schema)
+    return spark.read.schema(schema).option("multiLine", True).option("mode", "FAILFAST").json(path)
+
+
+def write_documents(rows: DataFrame, path: str) -> None:
+    """Rows of (stem, body) as one file each, named after the stem.
+
+    Each task writes the files of its rows through the file system the path lies on, as whole files; a
+    task that runs again replaces them.  For stores of single documents; tables go to Parquet.
+    """
+    local = path.removeprefix("file://").removeprefix("file:")
+    if "://" in local:
+        raise ValueError("documents can be written where executors mount the folder; use a table elsewhere")
+
+    def run(batches):
+        import os
+
+        import pyarrow as pa
+
+        os.makedirs(local, exist_ok=True)
+        for batch in batches:
+            for stem, body in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                staged = os.path.join(local, f".{stem}.{uuid.uuid4().hex}")
+                with open(staged, "w", encoding="utf-8") as out:
+                    out.write(body)
+                os.replace(staged, os.path.join(local, f"{stem}.json"))
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows], pa.int64())], names=["n"])
+
+    rows.select("stem", "body").mapInArrow(run, "n bigint").agg(F.sum("n")).collect()
+
+
 def read_lines(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """Append-only JSON lines; a missing path is an empty table."""
     return spark.read.schema(schema).json(path) if exists(spark, path) else spark.createDataFrame([], schema)
@@ -45,23 +79,75 @@ def append_lines(rows: DataFrame, path: str) -> None:
     rows.write.mode("append").json(path)
 
 
-def write_snapshot(rows: DataFrame, path: str, form: str = "parquet") -> None:
-    """Replaces a table: writes beside it, then renames; on failure the old table stays or is put back."""
+def _versions(spark: SparkSession, path: str) -> list[int]:
+    """Numbers of the published versions of a table."""
+    fs, marks = _fs(spark, f"{path.rstrip('/')}/published")
+    return sorted(int(m.getPath().getName()) for m in fs.listStatus(marks)) if fs.exists(marks) else []
+
+
+def write_snapshot(rows: DataFrame, path: str, form: str = "parquet", keep: int = 2) -> str:
+    """Replaces a table: writes a version folder of its own, then publishes its number; returns the folder.
+
+    Publishing creates one empty file, which a file system does at once or not at all, so readers find
+    the old version or the new one at any time, and a write that fails leaves the old one.  Two writers
+    cannot publish one number: the later one fails.  The last ``keep`` versions stay for readers that
+    have begun with them.
+    """
     spark = rows.sparkSession
-    mark = uuid.uuid4().hex
-    staged, old = f"{path.rstrip('/')}.staged-{mark}", f"{path.rstrip('/')}.old-{mark}"
-    rows.write.format(form).mode("errorifexists").save(staged)
-    fs, target = _fs(spark, path)
+    root = path.rstrip("/")
+    done = _versions(spark, root)
+    number = done[-1] + 1 if done else 1
+    folder = f"{root}/version-{number}-{uuid.uuid4().hex}"
+    rows.write.format(form).mode("errorifexists").save(folder)
+    fs, _ = _fs(spark, root)
     path_of = spark._jvm.org.apache.hadoop.fs.Path
-    had = fs.exists(target)
-    if had and not fs.rename(target, path_of(old)):
-        raise OSError(f"cannot move {path} aside")
-    if not fs.rename(path_of(staged), target):
-        if had:
-            fs.rename(path_of(old), target)
-        raise OSError(f"cannot put the new table at {path}")
-    if had:
-        fs.delete(path_of(old), True)
+    target = path_of(f"{root}/published/{number}")
+    out = fs.create(target, False)
+    out.write(bytearray(folder.rsplit("/", 1)[1].encode()))
+    out.close()
+    for old in done[: len(done) + 1 - keep] if keep else []:
+        fs.delete(path_of(f"{root}/{_name(spark, root, old)}"), True)
+        fs.delete(path_of(f"{root}/published/{old}"), False)
+    return folder
+
+
+def _name(spark: SparkSession, root: str, number: int) -> str:
+    return spark.read.text(f"{root}/published/{number}").first()[0]
+
+
+def read_snapshot(spark: SparkSession, path: str, schema: str, form: str = "parquet") -> DataFrame:
+    """The published version of a table; an empty table where none was published yet."""
+    root, done = path.rstrip("/"), _versions(spark, path)
+    if not done:
+        return spark.createDataFrame([], schema)
+    return spark.read.format(form).schema(schema).load(f"{root}/{_name(spark, root, done[-1])}")
+
+
+class RunLock:
+    """One run at a time on a store: a file that only one of several writers can create.
+
+    The holder deletes it at the end, also of a failed run.  A run that died leaves the file; it names
+    its holder, and ``force`` takes it over.
+    """
+
+    def __init__(self, spark: SparkSession, path: str, holder: str = "run", force: bool = False):
+        self.spark, self.path, self.holder, self.force = spark, f"{path.rstrip('/')}/.lock", holder, force
+
+    def __enter__(self) -> RunLock:
+        fs, target = _fs(self.spark, self.path)
+        if self.force:
+            fs.delete(target, False)
+        try:
+            out = fs.create(target, False)
+        except Exception as problem:
+            raise RuntimeError(f"another run holds {self.path}") from problem
+        out.write(bytearray(self.holder.encode()))
+        out.close()
+        return self
+
+    def __exit__(self, *_) -> None:
+        fs, target = _fs(self.spark, self.path)
+        fs.delete(target, False)
 
 
 def overlay(base: DataFrame, update: DataFrame, key: list[str]) -> DataFrame:
@@ -71,7 +157,7 @@ def overlay(base: DataFrame, update: DataFrame, key: list[str]) -> DataFrame:
 
 def slim_index(documents: DataFrame) -> DataFrame:
     """The six columns of the index, by id."""
-    return documents.select("id", "url", "title", "list_date", "publish_date", "content_status").orderBy("id")
+    return documents.select("id", "url", "title", "column_ids", "list_date", "content_status").orderBy("id")
 
 
 def series(spark: SparkSession, path: str, point: str) -> DataFrame:
@@ -99,6 +185,15 @@ def unescaped(col: Column) -> Column:
     return col
 
 
+def encoded(text: Column, charset: str) -> Column:
+    """Text as bytes of a charset Spark does not know, in Arrow batches."""
+    @F.pandas_udf("binary")
+    def one(s):
+        return s.map(lambda x: x.encode(charset), na_action="ignore")
+
+    return one(text)
+
+
 def decoded(content: Column, declared: Column) -> Column:
     """Bytes as text: the declared charset if it is UTF-8 or a Chinese one and fits, else UTF-8 if valid, else GB18030; null if nothing fits."""
     import codecs

@@ -146,3 +146,43 @@ def test_relational(spark):
     right = spark.createDataFrame([("hot", "h"), ("cold", "c")], "k string, w string")
     assert rows(relational.salted_join(left, right, "k", 8)) == rows(left.join(right, "k"))
     assert rows(relational.salted_counts(left, ["k"])) == [("cold", 1), ("hot", 100)]
+
+
+def test_attachment_digests_are_those_of_the_records(spark):
+    import hashlib
+    import json
+
+    files = [[("u2", "s2", "parsed", 'a "quoted"\ttext'), ("u1", "s1", "failed", None)], [("u", None, "pending", "文")], [], None]
+    df = spark.createDataFrame(list(enumerate(files)), "i int, f array<struct<url:string,sha256:string,status:string,text:string>>")
+    expected = [hashlib.sha256(json.dumps(sorted([u, s, k, t or ""] for u, s, k, t in own or []), ensure_ascii=False).encode()).hexdigest() for own in files]
+    assert [r[1] for r in rows(df.select("i", merge.attachment_digest(F.col("f"))))] == expected
+
+
+def test_changes_of_what_was_read_from_files(spark):
+    log = [(1, "c", "a1", "k1", False), (2, "c", "a2", "k1", False), (3, "c", "a3", "k2", False), (4, "d", "a4", "k2", False), (5, None, None, None, True), (6, "d", "a4", "k2", False)]
+    df = spark.createDataFrame([("p", *r) for r in log], "id string, n int, c string, a string, k string, bad boolean")
+    out = merge.version_history(df, "id", [F.col("n")], F.col("bad"), "c", "a", files="k")
+    assert [r[1:] for r in rows(out.select("n", "event", "change_type"))] == [("new", None), ("updated", "parser_output"), ("updated", "attachments"), ("updated", "content"), ("failed", None), ("unchanged", None)]
+
+
+def test_tasks_of_a_run(spark):
+    from loomwright.operators import readings, tasks
+
+    t = spark.createDataFrame([(i,) for i in range(5)], "n int")
+    assert rows(tasks.batch(t, [F.desc("n")], 2)) == [(3,), (4,)] and tasks.batch(t, [F.desc("n")], 0).count() == 5
+    entries = spark.createDataFrame([("a",), ("b",), ("c",)], "k string")
+    stored = spark.createDataFrame([("a", None), ("b", "down")], "k string, e string")
+    assert rows(tasks.backfill_open(entries, stored, entries, "k", F.col("e").isNotNull())) == [("b",), ("c",)]
+    health = merge.health_after(spark.createDataFrame([("a", True, False), ("b", True, True), ("c", False, False)], "c string, ok boolean, pending boolean"), spark.createDataFrame([("b", "t0", 2), ("c", "t0", 2)], "c string, last_success_at string, consecutive_failures int"), "c", "r", "t1")
+    assert rows(health) == [("a", "r", "t1", 0, "ok"), ("b", "r", "t0", 0, "pending"), ("c", "r", "t0", 3, "degraded")]
+    with pytest.raises(Exception, match="missing parent: c"):
+        quality.referential(entries, stored, "k", "missing parent").collect()
+    with pytest.raises(ValueError, match="required"):
+        quality.required(t, ["n", "x"])
+    # a current reading counts only under the record's own fingerprint
+    p = spark.createDataFrame([("i", 1, "储能", "", "complete", "h", "g", "2026-01-01T00:00:00+00:00", "2026-01-01", "u", ["c"])], "id string, record_id long, title string, content_text string, content_status string, content_hash string, attachments_hash string, last_checked_at string, publish_date string, url string, column_ids array<string>")
+    hashed = readings.with_fingerprint(p, "r").first()["input_hash"]
+    a = spark.createDataFrame([("i", 1, hashed, "complete", "直接相关", "待核查", ([],), None), ("i", 2, "old", "irrelevant", "无关", None, None, None)], "id string, analysis_no long, input_hash string, status string, relevance string, review_status string, interpretation struct<topics:array<string>>, analyzed_at string")
+    index = readings.reading_index(p, a, a.select("id").limit(0), "r")
+    assert rows(index.select("id", "canonical_id", "status", "visible")) == [("i", "i", "complete", True)] and rows(readings.category_counts(index)) == [(1, 0, 0, 0, 1)]
+    assert rows(readings.reading_index(p, a, a.select("id").limit(0), "s").select("status", "visible", "relevance")) == [("pending", False, None)]

@@ -21,32 +21,36 @@ PAGE = """<html><head><meta name="PubDate" content="2026-03-09"><meta name="Arti
 <div class="fjlis">附件<a href="f/1.pdf">附件1.pdf</a></div><a href="/d?id=3" download="表.xlsx">下载</a><a href="/e" appendix="true">其他</a><a href="/page.html">链接</a><img src="fig.png"></div></body></html>"""
 
 
-def test_lists():
-    entries, following = html.list_entries(LIST, "https://s.example/a/index.html")
-    assert [(e["url"], e["title"], e["list_date"]) for e in entries] == [
-        ("https://s.example/a/1.html", "关于开展储能试点工作的通知（更正）", None), ("https://s.example/a/2.html", "关于开展储能试点工作的公告", "2026-03-04"),
+def test_lists(spark):
+    other = "<li><a href='/1'>一个足够长的条目标题啊</a>2026-1-2</li><a href='p2.html'> 下一页</a>"
+    df = spark.createDataFrame([("https://s.example/a/index.html", LIST), ("https://s.example/b", "<html>blocked</html>"), ("https://s.example/l/", other)], "url string, html string")
+    out = rows(html.read_lists(df).select("page_url", "position", "url", "title", "list_date", "next_url", "error"))
+    assert [r[:6] for r in out if r[2]] == [
+        ("https://s.example/a/index.html", 1, "https://s.example/a/1.html", "关于开展储能试点工作的通知（更正）", None, "https://s.example/a/index_1.html"),
+        ("https://s.example/a/index.html", 2, "https://s.example/a/2.html", "关于开展储能试点工作的公告", "2026-03-04", "https://s.example/a/index_1.html"),
+        ("https://s.example/l/", 1, "https://s.example/1", "一个足够长的条目标题啊", "2026-01-02", "https://s.example/l/p2.html"),
     ]
-    assert following == "https://s.example/a/index_1.html"
-    with pytest.raises(ValueError, match="no dated entries"):
-        html.list_entries("<html>blocked</html>", "https://s.example/")
-    assert html.list_entries("<li><a href='/1'>一个足够长的条目标题啊</a>2026-1-2</li><a href='p2.html'> 下一页</a>", "https://s.example/l/")[1] == "https://s.example/l/p2.html"
+    assert [r[0] for r in out if r[6] and "no dated entries" in r[6]] == ["https://s.example/b"]
 
 
-def test_articles():
+def test_articles(spark):
     r = html.article(PAGE, "https://s.example/a/1.html")
     assert (r["title"], r["doc_number"], r["issuer"], r["publish_date"], r["written_date"]) == ("某市能源局关于印发《办法》的通知", "能规〔2026〕12号", "某市能源局", "2026-03-02", "2026-03-01")
-    assert r["content_text"].split("\n")[:4] == ["能规〔2026〕12号", "第一段 & 正文", "第二行，本办法自印发之日起施行。", "1 2"] and "附件" not in r["content_text"] and r["content_status"] == "partial"
-    assert [(a["url"], a["format"], a["kind"]) for a in r["attachments"]] == [
-        ("https://s.example/a/f/1.pdf", "pdf", "attachment"), ("https://s.example/d?id=3", "xlsx", "attachment"), ("https://s.example/e", "unknown", "attachment"), ("https://s.example/a/fig.png", "png", "inline_image"),
-    ]
-    assert html.article('<div id="zoom"><img src="a.jpg"></div>', "https://s.example/", "题")["content_status"] == "image_only"
+    assert r["content_text"].split("\n")[:4] == ["能规〔2026〕12号", "第一段 & 正文", "第二行，本办法自印发之日起施行。", "1 2"] and "附件" not in r["content_text"]
     # the meta date counts only without a written date
     assert html.article('<meta name="PubDate" content="2026-03-09"><div id="zoom">' + "字" * 40 + "</div>", "https://s.example/", "题")["publish_date"] == "2026-03-09"
-    for bad in ("<p>no body</p>", '<div id="zoom"> </div>', ""):
-        with pytest.raises(ValueError, match="body"):
-            html.article(bad, "https://s.example/")
-    inner = html.article('<script>window.c = {question_data: {"article": {"title": "征求意见", "published_at": "2026-05-06 10:00", "content": "<p>' + "内容" * 30 + '</p>"}}}</script>', "https://s.example/", None)
-    assert (inner["title"], inner["publish_date"], inner["content_status"]) == ("征求意见", "2026-05-06", "complete")
+    inner = '<script>window.c = {question_data: {"article": {"title": "征求意见", "published_at": "2026-05-06 10:00", "content": "<p>' + "内容" * 30 + '</p>"}}}</script>'
+    numbered = '<h1>国家能源局公告 2026年第3号</h1><div id="zoom">' + "字" * 40 + "</div>"
+    pages = {"a/1.html": PAGE, "image": '<div id="zoom"><img src="a.jpg"></div>', "none": "<p>no body</p>", "empty": '<div id="zoom"> </div>', "null": "", "inner": inner, "n": numbered}
+    df = spark.createDataFrame([(f"https://s.example/{k}", v) for k, v in pages.items()], "url string, html string")
+    out = {k.rsplit("/", 1)[1]: r for k, r in ((r["url"], r) for r in html.read_articles(df).collect())}
+    assert [(a["url"], a["format"], a["kind"]) for a in out["1.html"]["attachments"]] == [
+        ("https://s.example/a/f/1.pdf", "pdf", "attachment"), ("https://s.example/d?id=3", "xlsx", "attachment"), ("https://s.example/e", "unknown", "attachment"), ("https://s.example/a/fig.png", "png", "inline_image"),
+    ]
+    assert {k: r["content_status"] for k, r in out.items()} == {"1.html": "partial", "image": "image_only", "none": "failed", "empty": "failed", "null": "failed", "inner": "complete", "n": "complete"}
+    assert all("body" in out[k]["error"] for k in ("none", "empty", "null")) and (out["inner"]["title"], out["inner"]["publish_date"]) == ("征求意见", "2026-05-06")
+    # number and issuer of the title, where the body has none
+    assert (out["n"]["doc_number"], out["n"]["issuer"]) == ("国家能源局公告 2026年第3号", "国家能源局")
     assert html.data_url('<div id="showData0" data="x:' + "a" * 32 + '">', "https://s.example/l/") == "https://s.example/l/ds_" + "a" * 32 + ".json" and html.data_url("<p>", "https://s.example/") is None
 
 
@@ -87,9 +91,113 @@ def test_files(spark, tmp_path):
     assert out["a.docx"]["text"] == "第一段\n甲\t乙" and out["b.xlsx"]["text"] == "[工作表：汇总]\n名称\t5\t=A1+1\n行"
     assert [out[n]["detected"] for n in sorted(found)] == ["zip", "zip", "pdf", "ole", "html", "zip", "zip", "png"]
     assert [out[n]["status"] for n in ("a.docx", "c.pdf", "e.pdf", "f.zip", "g.docx")] == ["parsed", "needs_manual_review", "needs_manual_review", "needs_manual_review", "failed"]
+    assert out["d.doc"]["error"] == "legacy_or_encrypted_ole_container" and out["c.pdf"]["error"] == "no_extractable_text"
     assert out["e.pdf"]["error"] == "attachment_link_returns_html"
 
 
+def pdf(*pages: tuple[str, bool]) -> bytes:
+    """A small PDF: Latin text in literal strings, or Chinese in hexadecimal ones under a ToUnicode map; streams are compressed."""
+    import zlib
+
+    out = {1: b"<< /Type /Catalog /Pages 2 0 R >>"}
+    kids, n = [], 10
+    for text, mapped in pages:
+        codes = {c: i for i, c in enumerate(dict.fromkeys(text), 1)}
+        shown = b"<" + b"".join(b"%04X" % codes[c] for c in text) + b">" if mapped else b"(" + text.replace("(", "\\(").encode("latin-1") + b")"
+        cmap = b"beginbfchar\n" + b"\n".join(b"<%04X> <%s>" % (i, c.encode("utf-16-be").hex().encode()) for c, i in codes.items()) + b"\nendbfchar"
+        parts = zlib.compress(b"BT /F1 12 Tf 72 700 Td " + (shown + b" Tj T* [(x) -20 (y)] TJ ET" if not mapped else b"[" + shown + b"] TJ ET"))
+        packed = zlib.compress(cmap)
+        out[n] = b"<< /Type /Page /Parent 2 0 R /Contents %d 0 R /Resources << /Font << /F1 %d 0 R >> >> >>" % (n + 1, n + 2)
+        out[n + 1] = b"<< /Length %d /Filter /FlateDecode >>\nstream\n%s\nendstream" % (len(parts), parts)
+        out[n + 2] = b"<< /Type /Font" + (b" /ToUnicode %d 0 R" % (n + 3) if mapped else b"") + b" >>"
+        out[n + 3] = b"<< /Length %d /Filter /FlateDecode >>\nstream\n%s\nendstream" % (len(packed), packed)
+        kids.append(b"%d 0 R" % n)
+        n += 4
+    out[2] = b"<< /Type /Pages /Kids [" + b" ".join(kids) + b"] /Count %d >>" % len(pages)
+    return b"%PDF-1.5\n" + b"\n".join(b"%d 0 obj\n%s\nendobj" % item for item in sorted(out.items()))
+
+
+def test_pdf_files():
+    assert files.file_text(pdf(("Hello (world", False), ("储能电站管理办法", True)), "pdf") == ("parsed", "[第 1 页]\nHello (world\nxy\n[第 2 页]\n储能电站管理办法", None)
+    assert files.file_text(b"%PDF-1.4", "pdf") == ("needs_manual_review", "", "no_extractable_text")
+    assert files.file_text(pdf(("a", False)) + b"<< /Encrypt 9 0 R >>", "pdf")[0] == "failed"
+    assert files.file_text(b"", "ole")[2] == "legacy_or_encrypted_ole_container"
+    import time
+
+    try:
+        with files.limited(0.05):
+            time.sleep(2)
+    except TimeoutError:
+        return
+    raise AssertionError("no limit")
+
+
+def test_discovery_resumes_and_ends(spark, tmp_path):
+    from loomwright.sources import updates
+
+    pages = {f"p{i}": ([{"url": f"u{i}{k}", "title": "t", "list_date": None if (i, k) == (0, 0) else f"2026-0{9 - i}-0{9 - k}"} for k in range(2)], f"p{i + 1}" if i < 4 else None) for i in range(5)}
+    calls = []
+
+    def read(at, broken=None):
+        calls.append(at)
+        if at == broken:
+            raise OSError("down")
+        return pages[at]
+
+    path = f"file://{tmp_path}/c"
+    with pytest.raises(OSError):
+        updates.discover(updates.Checkpoint(spark, path, "a"), lambda at: read(at, "p2"), "p0", "2026-06-01")
+    saved = updates.Checkpoint(spark, path, "a")
+    assert saved.state["visited"] == ["p0", "p1"] and saved.state["next"] == "p2"
+    calls.clear()
+    found = updates.discover(saved, read, "p0", "2026-06-01")
+    assert calls == ["p2", "p3", "p4"] and [e["url"] for e in found] == ["u00", "u01", "u10", "u11", "u20", "u21", "u30", "u31"] and saved.state["reason"] == "before_since"
+    assert updates.discover(updates.Checkpoint(spark, path, "a"), read, "p0", "2026-06-01") == found and calls == ["p2", "p3", "p4"]
+    fresh = updates.Checkpoint(spark, path, "b")
+    updates.discover(fresh, read, "p0", "2020-01-01", lambda u: u in ("u01", "u10", "u11"), 3)
+    assert fresh.state["reason"] == "known_streak" and fresh.state["visited"] == ["p0", "p1"]
+    last = updates.Checkpoint(spark, path, "c")
+    updates.discover(last, read, "p0", "2020-01-01")
+    assert last.state["reason"] == "end" and len(last.state["visited"]) == 5
+    for bad in (lambda at: (pages["p0"][0], "p0"), lambda at: ([], None)):
+        with pytest.raises(ValueError):
+            updates.discover(updates.Checkpoint(spark, path, "d"), bad, "p0", "2020-01-01")
+
+
+def test_series_and_gate(spark, tmp_path):
+    from loomwright.sources import updates
+
+    path = f"file://{tmp_path}/s"
+    prices = lambda last: spark.sql(f"SELECT explode(sequence(date_sub(date'{last}', 300), date'{last}')) AS date").select("date", F.lit(5.0).alias("close"), F.lit("x").alias("open"))
+    rules = {"least_points": 100, "first_within": 90}
+    assert updates.update_series(spark, path, lambda: prices("2026-06-30"), "2026-07-01", **rules).count() == 301
+    tries = []
+
+    def failing(df):
+        tries.append(1)
+        return df
+
+    for bad in (prices("2026-06-01"), prices("2026-06-30").withColumn("close", F.lit(-1.0)), prices("2026-06-30").drop("close")):
+        tries.clear()
+        with pytest.raises(RuntimeError, match="kept"):
+            updates.update_series(spark, path, lambda bad=bad: failing(bad), "2026-07-01", **rules)
+        assert len(tries) == 2 and store.read_snapshot(spark, path, "date date, close double").agg(F.max("date").cast("string")).first()[0] == "2026-06-30"
+    log = []
+    step = lambda name, value=None: lambda: log.append(name) or value
+    updates.gated(step("c", "success"), step("r"), step("a", 0), step("p"), step("k"))
+    for collect, failed in (("with_errors", 0), ("success", 2)):
+        with pytest.raises(RuntimeError, match="kept"):
+            updates.gated(step("c", collect), step("r"), step("a", failed), step("p"), step("k"))
+    assert "".join(log) == "crapkckcrak"
+    from loomwright.schemas import ANALYSES
+
+    made = spark.createDataFrame([{"id": "1", "title": "题", "url": "u", "input_hash": "h", "relevance": "直接相关", "review_status": "待核查", "review_reasons": ["甲", "乙"]}], ANALYSES).withColumn("analysis_no", F.lit(1))
+    now = spark.createDataFrame([("1", "h")], "id string, input_hash string")
+    assert "## 题" in updates.sample_report(made, now, ["1"], ["# 样例"]) and "核查提示：甲；乙" in updates.sample_report(made, now, ["1"], [])
+    with pytest.raises(ValueError, match="current input"):
+        updates.sample_report(made, now.where("id = '2'"), ["1"], [])
+
+
 def test_charsets(spark):
     bodies = [("储能".encode(), "text/html; charset=utf-8"), ("储能".encode("gb18030"), None), ("储能".encode("gb18030"), "text/html; charset=gb2312"), ("储能".encode("gb18030"), "text/html; charset=utf-8"), (b"\xff\xff\xff", None), (None, None), (b"", "charset=nonsense")]
     df = spark.createDataFrame([(i, b, c) for i, (b, c) in enumerate(bodies)], "i int, b binary, c string")
@@ -108,13 +216,23 @@ def test_document_store(spark, tmp_path):
 
 def test_snapshots_and_logs(spark, tmp_path):
     path = f"file://{tmp_path}/t"
-    store.write_snapshot(spark.range(3), path)
-    store.write_snapshot(spark.range(5), path)
-    assert spark.read.parquet(path).count() == 5
+    table = lambda: store.read_snapshot(spark, path, "id long")
+    assert table().count() == 0
+    for n in (3, 5):
+        store.write_snapshot(spark.range(n), path)
+        assert table().count() == n
     bad = spark.range(2).withColumn("x", F.raise_error(F.lit("broken")))
     with pytest.raises(Exception, match="broken"):
         store.write_snapshot(bad, path)
-    assert spark.read.parquet(path).count() == 5
+    assert table().count() == 5
+    for n in (6, 7):
+        store.write_snapshot(spark.range(n), path)
+    assert table().count() == 7 and len([d for d in (tmp_path / "t").iterdir() if (d / "_SUCCESS").exists()]) == 2
+    with store.RunLock(spark, path, "first"):
+        with pytest.raises(RuntimeError, match="another run"), store.RunLock(spark, path):
+            pass
+    with store.RunLock(spark, path):
+        pass
     for _ in range(2):
         store.append_lines(spark.range(2), f"{tmp_path}/log")
     assert store.read_lines(spark, f"{tmp_path}/log", "id long").count() == 4
