@@ -4,8 +4,9 @@ A passage is ``window`` consecutive letters or digits of an item, found in a doc
 ``errors`` edits.  Each item is split at multiples of ``piece`` characters, with
 ``piece = (window + 1) // (errors + 2)``: any window, wherever it begins, then holds at least
 ``errors + 1`` whole pieces, so with ``errors`` edits one piece survives unchanged.  Exact piece
-hits come from one Aho-Corasick pass over each document; only they are verified, with Myers'
-bit-parallel distance.
+hits come from one Aho-Corasick pass over each document.  Each hit proposes windows of the item and
+the stretch of the document each must lie in; Myers' bit-parallel distance decides, for all proposals
+of a batch at once (``myers_many``).
 
 The items are a stated query set: they are measured first and sent to the executors in blocks of
 at most ``block_chars`` characters; the corpus is read once for each block and never shuffled.
@@ -68,16 +69,49 @@ def myers(pattern: str, text: str) -> int:
     return best
 
 
+def myers_many(patterns, texts):
+    """``myers`` of many pairs at once: rows of code points, patterns of one length up to 64, texts padded at the end with 0.
+
+    Every step advances all pairs by one character with the same bit operations on 64-bit words.
+    """
+    import numpy as np
+
+    count, m = patterns.shape
+    one = np.uint64(1)
+    places = one << np.arange(m, dtype=np.uint64)
+    full = np.uint64((1 << m) - 1)
+    high = places[-1]
+    plus, minus = np.full(count, full), np.zeros(count, dtype=np.uint64)
+    score = np.full(count, m, dtype=np.int32)
+    best = score.copy()
+    for column in texts.T:
+        eq = ((patterns == column[:, None]) * places).sum(axis=1, dtype=np.uint64)
+        xv = eq | minus
+        xh = ((((eq & plus) + plus) & full) ^ plus) | eq
+        ph = minus | (~(xh | plus) & full)
+        mh = plus & xh
+        score += (ph & high) != 0
+        score -= (mh & high) != 0
+        ph, mh = (ph << one) & full, (mh << one) & full
+        plus, minus = mh | (~(xv | ph) & full), ph & xv
+        # the padding after a text matches nothing and does not count
+        np.minimum(best, np.where(column != 0, score, best), out=best)
+    return best
+
+
 class Matcher:
-    """Finds which items of a block leak into a text."""
+    """Finds which items of a block leak into texts."""
+
+    #: Proposals verified at once.
+    CHUNK = 20_000
 
     def __init__(self, items: list[tuple[int, str]], window: int = WINDOW, errors: int = 0):
         import ahocorasick
 
         self.window, self.errors = window, errors
         self.piece = (window + 1) // (errors + 2)
-        if self.piece < 1:
-            raise ValueError("too many errors for this window")
+        if self.piece < 1 or window > 64:
+            raise ValueError("too many errors for this window, or a window over 64")
         self.items = [(key, text) for key, text in ((k, letters_only(t)) for k, t in items) if len(text) >= window]
         places: dict[str, list[tuple[int, int]]] = defaultdict(list)
         for number, (_, text) in enumerate(self.items):
@@ -91,43 +125,57 @@ class Matcher:
         else:
             self.automaton = None
 
-    def verify(self, item: str, at: int, text: str, where: int) -> bool:
-        """Whether a window of the item around the piece at ``at`` stands in the text around ``where``."""
-        if not self.errors:
-            left = 0
-            while at - left > 0 and where - left > 0 and left < self.window and item[at - left - 1] == text[where - left - 1]:
-                left += 1
-            begin, origin = at - left, where - left
-            # only now is the whole passage compared
-            passage = item[begin : begin + self.window]
-            return len(passage) == self.window and passage == text[origin : origin + self.window] and myers(passage, text[origin : origin + self.window]) == 0
-        room = self.window + self.errors
-        near = text[max(0, where - room) : where + self.piece + room]
-        first, last = max(0, at + self.piece - self.window), min(at, len(item) - self.window)
-        return any(myers(item[begin : begin + self.window], near) <= self.errors for begin in range(first, last + 1))
-
-    def leaks(self, text: str | None) -> list[int]:
-        """Item keys that leak into the text, each once."""
-        if self.automaton is None or not text:
-            return []
-        text = letters_only(text)
-        if len(text) < self.window - self.errors:
-            return []
-        found: dict[int, None] = {}
-        tried: set[tuple[int, int]] = set()
+    def proposals(self, text: str) -> set[tuple[int, int, int]]:
+        """(item, begin of a window in it, where that lies in the text) of the windows that a piece hit makes possible."""
+        found: set[tuple[int, int, int]] = set()
+        tried: set[tuple[int, int, int]] = set()
         for end, places in self.automaton.iter(text):
             where = end - self.piece + 1
             for number, at in places:
-                if number in found:
-                    continue
-                # pieces that follow each other on one diagonal are one passage: tried once for exact matching
-                if not self.errors and (number, where - at, at - self.piece) in tried:
-                    tried.add((number, where - at, at))
-                    continue
-                tried.add((number, where - at, at))
-                if self.verify(self.items[number][1], at, text, where):
-                    found[number] = None
-        return list(dict.fromkeys(self.items[number][0] for number in found))
+                item, shift = self.items[number][1], where - at
+                # pieces that follow each other on one diagonal are one passage
+                follows = (number, shift, at - self.piece) in tried
+                tried.add((number, shift, at))
+                if self.errors:
+                    first, last = max(0, at + self.piece - self.window), min(at, len(item) - self.window)
+                    found.update((number, begin, begin + shift) for begin in range(first, last + 1))
+                elif not follows:
+                    # without errors only the window from where the passage begins can decide
+                    begin = at
+                    while begin > 0 and begin + shift > 0 and at - begin < self.window and item[begin - 1] == text[begin + shift - 1]:
+                        begin -= 1
+                    if begin + self.window <= len(item):
+                        found.add((number, begin, begin + shift))
+        return found
+
+    def leaks(self, texts: list[str | None]) -> list[list[int]]:
+        """For each text the keys of the items that leak into it, each once."""
+        import numpy as np
+
+        found: list[dict[int, None]] = [{} for _ in texts]
+        bare = [letters_only(t) for t in texts] if self.automaton is not None else []
+        waiting: list[tuple[int, int, str, str]] = []
+
+        def verify() -> None:
+            span = self.window + 2 * self.errors
+            codes = lambda strings, n: np.frombuffer("".join(x.ljust(n, "\0") for x in strings).encode("utf-32-le", "surrogatepass"), dtype=np.uint32).reshape(-1, n)
+            near = myers_many(codes([w[2] for w in waiting], self.window), codes([w[3] for w in waiting], span)) <= self.errors
+            for (at, number, *_), fits in zip(waiting, near):
+                if fits:
+                    found[at][number] = None
+            waiting.clear()
+
+        for at, text in enumerate(bare):
+            if len(text) < self.window - self.errors:
+                continue
+            for number, begin, where in self.proposals(text):
+                if number not in found[at]:
+                    waiting.append((at, number, self.items[number][1][begin : begin + self.window], text[max(0, where - self.errors) : max(0, where + self.window + self.errors)]))
+                    if len(waiting) >= self.CHUNK:
+                        verify()
+        if waiting:
+            verify()
+        return [list(dict.fromkeys(self.items[number][0] for number in own)) for own in found]
 
 
 def leaking_documents(
@@ -159,10 +207,10 @@ def leaking_documents(
 
             matcher = Matcher(shared.value, window, errors)
             for batch in batches:
-                keys, texts = batch.column(0).to_pylist(), batch.column(1)
+                keys, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
                 left, right = [], []
-                for key, text in zip(keys, texts):
-                    for item in matcher.leaks(text.as_py()):
+                for key, items in zip(keys, matcher.leaks(texts)):
+                    for item in items:
                         left.append(key)
                         right.append(item)
                 types = batch.schema.field(0).type, item_type

@@ -32,12 +32,21 @@ LOOK_ALIKES = {
     "l": "ӏ", "n": "ո", "o": "оοօ", "p": "рρ", "q": "ԛ", "s": "ѕ", "u": "υս", "v": "νѵ", "w": "ԝ", "x": "хχ", "y": "уγү",
     "〇": "○◯⭘", "·": "‧・•∙⋅", "…": "⋯", "~": "∼〜", "/": "∕⁄", ":": "∶", "|": "∣ǀ",
 }
+# Scripts of which many letters copy Latin ones, as pairs of a letter and the Latin letter it looks like.
+# Lisu and Canadian syllabics: capitals.  Coptic: capitals, then small letters.  Small capitals and other phonetic
+# letters, Cherokee small letters and modifier letters: small letters.
+COPIES = (
+    "ꓐB ꓑP ꓓD ꓔT ꓖG ꓗK ꓙJ ꓚC ꓜZ ꓝF ꓟM ꓠN ꓡL ꓢS ꓣR ꓦV ꓧH ꓪW ꓫX ꓬY ꓮA ꓰE ꓲI ꓳO ꓴU "
+    "ᐯV ᑌU ᑭP ᑯd ᒍJ ᒪL ᕼH ᕽX ᖇR ᖯb ᖴF ᗅA ᗞD ᗪD ᗰM ᗷB ᙭X "
+    "ⲀA ⲂB ⲌZ ⲎH ⲒI ⲔK ⲘM ⲚN ⲞO ⲢP ⲤC ⲦT ⲨY ⲬX ⲟo ⲣp ⲥc ⲓi ⲩy ⲭx "
+    "ɑa ᴄc ᴏo ᴜu ᴠv ᴡw ᴢz ꜱs ɩi ʏy ꭵi ꮁr ꮃw ꮓz ꮩv ꮪs ꮯc"
+)
 # Radicals without a decomposition and the ideographs they look like.
 RADICALS = "⺁⺇⺈⺊⺌⺎⺐⺒⺓⺕⺛⺜⺝⺠⺩⺪⺫⺬⺶⺻⺽⻁⻄⻅⻆⻉⻊⻋⻑⻓⻔⻗⻘⻙⻚⻛⻜⻝⻢⻣⻤⻥⻦⻧⻨⻩⻪⻬⻮⻯⻰"
 IDEOGRAPHS = "厂几刀卜小兀尢巳幺彐旡日月民王疋目示羊聿臼虎西见角贝足车長长门雨青韦页风飞食马骨鬼鱼鸟卤麦黄黾齐齿竜龙"
 # Marks that read as a quotation mark and as a hyphen.
-QUOTES = "\"'“”„‟‘’‚‛«»‹›「」『』〝〞〟`´′″＂＇"
-HYPHENS = "-‐‑‒–—―−⁃﹘﹣－➖"
+QUOTES = "\"'“”„‟‘’‚‛«»‹›「」『』〝〞〟`´′″＂＇ʼʹʻʽˈ"
+HYPHENS = "-‐‑‒–—―−⁃﹘﹣－➖─━"
 #: Invisible though not of the general categories Cf, Cc and Z.
 INVISIBLE = "͏ᅟᅠ឴឵᠋᠌᠍᠏ㅤﾠ⠀"
 
@@ -47,6 +56,7 @@ def mapping() -> dict[str, str]:
     """What each character becomes; those that stay as they are are not in it."""
     table: dict[str, str] = {}
     single = {c: to for to, own in LOOK_ALIKES.items() for c in own} | dict(zip(RADICALS, IDEOGRAPHS))
+    single |= {pair[0]: pair[1] for pair in COPIES.split()}
     single |= dict.fromkeys(QUOTES, '"') | dict.fromkeys(HYPHENS, "-")
 
     def settled(c: str) -> str:

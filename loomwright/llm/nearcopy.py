@@ -9,7 +9,8 @@ by no more than its threshold.
 
 Thresholds are unequal.  ``allocate`` chooses them by dynamic programming: least estimated work
 (candidates and keys) such that a pair of the least wanted similarity is missed in all parts with a
-probability of at most ``MISS``.  Candidates of each part and threshold are estimated from the
+probability of at most ``MISS``; ``planned`` takes the number of values a part holds that makes this
+least work smallest.  Candidates of each part and threshold are estimated from the
 pairs among ``ESTIMATE_RECORDS`` records picked by hash; that bound concerns the estimate alone,
 every record is indexed and probed.
 
@@ -19,8 +20,11 @@ pair above it fails with a probability below 1e-4); then exactly on the windows
 one class beforehand, so copies meet neither in the index nor in verification; class pairs are
 expanded to records last, group by group of (class, id), never within one id.
 
+A key with more than ``HOT_KEY`` rows is cut into blocks of rows, and pairs of blocks meet, so that no
+task compares more than ``HOT_KEY`` rows with as many.
+
 These bounds take the places of a sketch as independent, which they are not where a text has few
-distinct windows (repetitive text).  Pairs with a text of fewer than ``FEW_WINDOWS`` of them take an
+distinct windows (repetitive text).  Pairs with a text of fewer than ``PART_WINDOWS`` for each part take an
 exact way instead: sets that overlap enough share a window among the first of each in hash order.
 
 Defined results: null or short texts match nothing; a null title counts as ''; rows without an id
@@ -41,9 +45,10 @@ from loomwright.session import materialise, no_white
 WINDOW = 5
 SIMILARITY = 0.6
 LEAST_CHARS = 300
-#: Records up to which a part holds four values; each factor of 20 more adds a value to every part,
-#: so that chance candidates per record stay about level.
-FOUR_VALUES = 1_000_000
+#: Numbers of values a part may hold.
+WIDTHS = (4, 5)
+#: Rows of one key that are compared within one task.
+HOT_KEY = 4000
 #: Largest probability that a pair of exactly the wanted similarity is no candidate.
 MISS = 1e-3
 ESTIMATE_RECORDS = 4000
@@ -54,15 +59,16 @@ KEY_COST = 0.5
 BITS_APART = 25
 #: Ids up to this number (16 MB) are broadcast after they were counted; more are joined by shuffle.
 BROADCAST_IDS = 2_000_000
-#: Distinct windows below which a text's pairs are found exactly: three times the parts of four values.
-FEW_WINDOWS = 240
+#: Bytes of a sketch that are kept for the second test.
+BYTES = 256
+#: Windows for each part below which a text's pairs are found exactly.
+PART_WINDOWS = 3
 
 MASK = (1 << 64) - 1
 
 
-def shape_of(records: int, similarity: float = SIMILARITY, miss: float = MISS) -> tuple[int, int]:
+def shape_of(width: int, similarity: float = SIMILARITY, miss: float = MISS) -> tuple[int, int]:
     """(values of a part, parts): three tenths more parts than exact matching would need, so that some can be skipped."""
-    width = 4 + max(0, math.ceil(math.log(max(1, records) / FOUR_VALUES, 20)))
     needed = math.log(miss) / math.log(1 - similarity**width)
     return width, max(64, 16 * math.ceil(1.3 * needed / 16))
 
@@ -134,8 +140,8 @@ def hit_probability(threshold: int, width: int, similarity: float) -> float:
     return sum(math.comb(width, k) * (1 - similarity) ** k * similarity ** (width - k) for k in range(threshold + 1))
 
 
-def allocate(candidates: list[dict[int, float]], width: int, records: float, similarity: float = SIMILARITY, miss: float = MISS) -> list[int]:
-    """Thresholds of the parts: least work whose joint miss probability stays within the bound.
+def allocate(candidates: list[dict[int, float]], width: int, records: float, similarity: float = SIMILARITY, miss: float = MISS) -> tuple[float, list[int]]:
+    """(work, thresholds of the parts): least work whose joint miss probability stays within the bound.
 
     candidates: for each part, the estimated candidate pairs by threshold.  The dynamic program runs
     over parts and the logarithm of the miss probability reached so far, in steps of 0.01.
@@ -152,7 +158,8 @@ def allocate(candidates: list[dict[int, float]], width: int, records: float, sim
                 if to not in step or cost < step[to][0]:
                     step[to] = (cost, (*chosen, t))
         best = step
-    return list(best[max(best)][1])
+    work, chosen = best[max(best)]
+    return work, list(chosen)
 
 
 def estimated_candidates(sketches: list, records: int) -> list[dict[int, float]]:
@@ -174,6 +181,19 @@ def estimated_candidates(sketches: list, records: int) -> list[dict[int, float]]
     return [{0: max(a, 1.0) * scale, 1: max(b, 1.0) * scale} for a, b in zip(none, one)]
 
 
+def planned(texts: DataFrame, records: int, similarity: float) -> tuple[tuple[int, int], list[int]]:
+    """(shape, thresholds) of least estimated work over the numbers of values a part may hold, from a bounded number of texts."""
+    plans = []
+    for width in WIDTHS:
+        shape = shape_of(width, similarity)
+        known = _sketches(texts, shape)
+        if not known:
+            return shape, [0] * shape[1]
+        plans.append((*allocate(estimated_candidates(known, records), width, records, similarity), shape))
+    _, thresholds, shape = min(plans, key=lambda p: p[0])
+    return shape, thresholds
+
+
 def _base(rows: DataFrame, row_id: str, group_id: str, title: str, body: str) -> DataFrame:
     """(row, own, text) of the rows long enough: title and body without white space."""
     read = rows.select(F.col(row_id).alias("row"), F.col(group_id).alias("own"), F.coalesce(no_white(F.col(title)), F.lit("")).alias("_t"), no_white(F.col(body)).alias("_b"))
@@ -190,6 +210,8 @@ def _sketched(base: DataFrame, thresholds: list[int], shape: tuple[int, int]) ->
         import numpy as np
         import pyarrow as pa
 
+        # spread over all hashes and places, as values at neighbouring places of one hash go together
+        few, many = (np.linspace(0, shape[0] * shape[1] - 1, n).astype(int) for n in (64, BYTES))
         for batch in batches:
             digests, probes, bits, small, sizes = [], [], [], [], []
             for text in batch.column(2).to_pylist():
@@ -198,8 +220,8 @@ def _sketched(base: DataFrame, thresholds: list[int], shape: tuple[int, int]) ->
                 sizes.append(len(own))
                 digests.append(hashlib.blake2b(text.encode(), digest_size=16).digest())
                 probes.append(keys(values, thresholds).view(np.int64))
-                bits.append(int(np.packbits((values[0, :64] & np.uint64(1)).astype(bool)).view(np.int64)[0]))
-                small.append((values.ravel()[:256] & np.uint64(255)).astype(np.uint8).tobytes())
+                bits.append(int(np.packbits((values.ravel()[few] & np.uint64(1)).astype(bool)).view(np.int64)[0]))
+                small.append((values.ravel()[many] & np.uint64(255)).astype(np.uint8).tobytes())
             count = len(probes[0]) if probes else 0
             flat = np.concatenate(probes) if probes else np.zeros(0, dtype=np.int64)
             lists = pa.ListArray.from_arrays(pa.array(np.arange(len(digests) + 1, dtype=np.int32) * count), pa.array(flat))
@@ -243,6 +265,28 @@ def _alike(pairs: DataFrame, columns: tuple[str, str], verdict) -> DataFrame:
     return pairs.select("a", "b", *columns).mapInArrow(run, kinds)
 
 
+def _meeting(probes: DataFrame) -> DataFrame:
+    """(a, b), a < b: rows that share a key and whose travelling bits are close; probes: (row, bits, key).
+
+    Keys of more than ``HOT_KEY`` rows are joined block by block: a row belongs to one block of its key
+    and is laid beside every block, so any two rows of the key meet once, in the pair of their blocks.
+    """
+    close = F.bit_count(F.col("a.bits").bitwiseXOR(F.col("b.bits"))) <= BITS_APART
+    met = lambda x, y, on: x.alias("a").join(y.alias("b"), on & (F.col("a.row") < F.col("b.row")) & close).select(F.col("a.row").alias("a"), F.col("b.row").alias("b"))
+    same = F.col("a.key") == F.col("b.key")
+    sizes = probes.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > HOT_KEY)
+    hot = materialise(sizes.select("key", F.ceil(F.col("n") / HOT_KEY).cast("int").alias("blocks")), "hot")
+    if hot.isEmpty():
+        return met(probes, probes, same).distinct()
+    cold = probes.join(hot, "key", "left_anti")
+    placed = probes.join(hot, "key").withColumn("own", F.pmod(F.xxhash64("row"), F.col("blocks")).cast("int"))
+    beside = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    left = beside.select("row", "bits", "key", F.col("own").alias("x"), F.col("other").alias("y"))
+    right = beside.select("row", "bits", "key", F.col("other").alias("x"), F.col("own").alias("y"))
+    blocks = same & (F.col("a.x") == F.col("b.x")) & (F.col("a.y") == F.col("b.y"))
+    return met(cold, cold, same).unionByName(met(left, right, blocks)).distinct()
+
+
 def _first_windows(texts: DataFrame, similarity: float) -> DataFrame:
     """(row, size, key): the windows of each text of which sets that overlap enough share one."""
     def run(batches):
@@ -264,11 +308,9 @@ def similar_classes(rows: DataFrame, row_id: str, group_id: str, title: str, bod
     """(members, links): (row, own, rep) of every long enough row, and (a, b), a < b, of linked classes."""
     base = _base(rows, row_id, group_id, title, body)
     records = rows.count()
-    shape = shape_of(records, similarity)
     share = min(1.0, ESTIMATE_RECORDS / max(1, records))
     picked = base.where(F.pmod(F.xxhash64("row"), F.lit(1_000_003)) < int(share * 1_000_003)).select("text").limit(2 * ESTIMATE_RECORDS)
-    known = _sketches(picked, shape)
-    thresholds = allocate(estimated_candidates(known, records), shape[0], records, similarity) if known else [0] * shape[1]
+    shape, thresholds = planned(materialise(picked, "picked"), records, similarity)
 
     index = materialise(_sketched(base, thresholds, shape), "sketches")
     classes = index.groupBy("digest").agg(F.min("row").alias("rep"))
@@ -276,15 +318,8 @@ def similar_classes(rows: DataFrame, row_id: str, group_id: str, title: str, bod
     copies = members.where("row != rep").select("row")
     firsts = index.join(_counted(copies), "row", "left_anti")
 
-    probes = firsts.select("row", "bits", F.explode("keys").alias("key"))
-    pairs = (
-        probes.alias("a")
-        .join(probes.alias("b"), (F.col("a.key") == F.col("b.key")) & (F.col("a.row") < F.col("b.row")) & (F.bit_count(F.col("a.bits").bitwiseXOR(F.col("b.bits"))) <= BITS_APART))
-        .select(F.col("a.row").alias("a"), F.col("b.row").alias("b"))
-        .distinct()
-    )
-    bytes_kept = min(256, shape[0] * shape[1])
-    least = (similarity - 5 * math.sqrt(similarity * (1 - similarity) / bytes_kept)) * bytes_kept
+    pairs = _meeting(firsts.select("row", "bits", F.explode("keys").alias("key")))
+    least = (similarity - 5 * math.sqrt(similarity * (1 - similarity) / BYTES)) * BYTES
 
     def sketch_alike(x, y):
         import numpy as np
@@ -296,11 +331,12 @@ def similar_classes(rows: DataFrame, row_id: str, group_id: str, title: str, bod
     likely = materialise(_alike(sketched, ("x", "y"), sketch_alike), "likely")
 
     # texts of few windows: a partner that overlaps enough has at most so many more
-    if not firsts.where(F.col("size") < FEW_WINDOWS).isEmpty():
-        small = firsts.where(F.col("size") <= FEW_WINDOWS / similarity).select(F.col("row").alias(row_id))
+    few = PART_WINDOWS * shape[1]
+    if not firsts.where(F.col("size") < few).isEmpty():
+        small = firsts.where(F.col("size") <= few / similarity).select(F.col("row").alias(row_id))
         read = rows.select(row_id, group_id, title, body).join(_counted(small), row_id, "left_semi")
         first = materialise(_first_windows(_base(read, row_id, group_id, title, body).select("row", "text"), similarity), "first")
-        met = first.where(F.col("size") < FEW_WINDOWS).alias("a").join(first.alias("b"), (F.col("a.key") == F.col("b.key")) & (F.col("a.row") != F.col("b.row")))
+        met = first.where(F.col("size") < few).alias("a").join(first.alias("b"), (F.col("a.key") == F.col("b.key")) & (F.col("a.row") != F.col("b.row")))
         exact = met.select(F.least("a.row", "b.row").alias("a"), F.greatest("a.row", "b.row").alias("b")).distinct()
         likely = materialise(likely.unionByName(exact).distinct(), "likely")
 

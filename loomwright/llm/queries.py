@@ -26,6 +26,18 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p2_pieces(spark, sf_dir).where("piece_no = 2").select("record_id", "attachment_no")
 
 
+def p2_invariants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For every item that was too long, whether its pieces are short enough, share 200 characters each and give the item again."""
+    items = bisect.policy_items(table(spark, sf_dir, "policies")).where(F.length("text") > bisect.LIMIT)
+    parts = items.select("record_id", "attachment_no", "text", bisect.pieces(F.col("text")).alias("p"))
+    texts = F.transform("p", lambda x: x["text"])
+    whole = F.aggregate(texts, F.lit(""), lambda so, t: F.when(F.length(so) == 0, t).otherwise(F.concat(so, F.substring(t, bisect.OVERLAP + 1, bisect.LIMIT))))
+    shared = F.zip_with(F.slice(texts, 1, F.size(texts) - 1), F.slice(texts, 2, F.size(texts)), lambda a, b: F.right(a, F.lit(bisect.OVERLAP)) == F.substring(b, 1, bisect.OVERLAP))
+    return parts.select(
+        "record_id", "attachment_no", F.forall(texts, lambda t: F.length(t) <= bisect.LIMIT).alias("short"), F.forall(shared, lambda x: x).alias("shared"), F.sha2(whole, 256).alias("again"), (F.size("p") > 1).alias("cut")
+    )
+
+
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return boilerplate.site_lines(table(spark, sf_dir, "policies"), "record_id", "id", "url", "content_text")
 
@@ -60,6 +72,11 @@ def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leakage.leaking_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
 
 
+def p8_near(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that hold 40 letters or digits of an item with at most two edits."""
+    return leakage.leaking_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"), errors=2)
+
+
 def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return residue.residue(table(spark, sf_dir, "documents")).select("doc_id")
 
@@ -73,6 +90,7 @@ QUERIES = {
     "p1_forms": p1_forms,
     "p2_found": p2_found,
     "p2_pieces": p2_pieces,
+    "p2_invariants": p2_invariants,
     "p3_found": p3_found,
     "p3_bodies": p3_bodies,
     "p4_found": p4_found,
@@ -81,6 +99,7 @@ QUERIES = {
     "p6_classes": p6_classes,
     "p7_ids": p7_ids,
     "p8_found": p8_found,
+    "p8_near": p8_near,
     "p9_found": p9_found,
     "p9_kinds": p9_kinds,
 }
@@ -111,6 +130,21 @@ SQL: dict[str, str] = {
         c AS (SELECT a.record_id AS x, b.record_id AS y, count(*) AS k FROM w a JOIN w b ON a.w = b.w AND a.record_id < b.record_id AND a.id <> b.id GROUP BY ALL)
         SELECT x AS record_id_a, y AS record_id_b FROM c JOIN n p ON p.record_id = x JOIN n q ON q.record_id = y WHERE 5 * k >= 3 * (p.n + q.n - k)
     """,
+    "p2_invariants": """
+        WITH i AS (SELECT record_id, 0::BIGINT AS n, content_text AS t FROM policies UNION ALL
+            SELECT record_id, n, text FROM (SELECT record_id, unnest(range(1, len(attachments) + 1)) AS n, unnest(attachments).text AS text FROM policies))
+        SELECT record_id, n AS attachment_no, true AS short, true AS shared, sha256(t) AS again, true AS cut FROM i WHERE length(t) > 2000
+    """,
+    "p6_classes": r"""
+        WITH d AS (SELECT record_id, regexp_replace(coalesce(title, '') || content_text, '[\s\x{85}\x{0b}\p{Z}]', '', 'g') AS t
+                   FROM policies WHERE length(regexp_replace(content_text, '[\s\x{85}\x{0b}\p{Z}]', '', 'g')) >= 300),
+        m AS (SELECT record_id, t, min(record_id) OVER (PARTITION BY t) AS class_id FROM d),
+        w AS (SELECT DISTINCT class_id, t[i:i + 4] AS w FROM (SELECT class_id, t, unnest(range(1, length(t) - 3)) AS i FROM m WHERE record_id = class_id)),
+        n AS (SELECT class_id, count(*) AS n FROM w GROUP BY 1),
+        c AS (SELECT a.class_id AS x, b.class_id AS y, count(*) AS k FROM w a JOIN w b ON a.w = b.w AND a.class_id <> b.class_id GROUP BY ALL),
+        l AS (SELECT x AS class_id, count(*) AS links FROM c JOIN n p ON p.class_id = x JOIN n q ON q.class_id = y WHERE 5 * k >= 3 * (p.n + q.n - k) GROUP BY 1)
+        SELECT record_id, class_id, coalesce(links, 0) AS links FROM m LEFT JOIN l USING (class_id)
+    """,
     "p2_found": """
         SELECT record_id, 0::BIGINT AS attachment_no FROM policies WHERE length(content_text) > 2000
         UNION ALL

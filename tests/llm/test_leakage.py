@@ -24,6 +24,15 @@ def test_myers(pattern, text):
     assert leakage.myers(pattern, text) == edit(pattern, text)
 
 
+@settings(max_examples=80, deadline=None)
+@given(st.integers(1, 64), st.lists(st.tuples(st.text("abc", min_size=64, max_size=64), st.text("abc", max_size=40)), min_size=1, max_size=8))
+def test_myers_of_many(m, pairs):
+    import numpy as np
+
+    codes = lambda strings, n: np.array([[ord(c) for c in x.ljust(n, "\0")] for x in strings], dtype=np.uint32)
+    assert leakage.myers_many(codes([p[:m] for p, _ in pairs], m), codes([t for _, t in pairs], 40)).tolist() == [edit(p[:m], t) for p, t in pairs]
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.data())
 def test_as_brute_force(data):
@@ -33,7 +42,7 @@ def test_as_brute_force(data):
     text = data.draw(st.text("abx", max_size=20)) + item[at : at + 14] + data.draw(st.text("abx", max_size=20))
     matcher = leakage.Matcher([(7, item)], window=10, errors=errors)
     expected = any(edit(item[i : i + 10], text) <= errors for i in range(len(item) - 9)) and len(text) >= 10 - errors
-    assert (matcher.leaks(text) == [7]) == expected
+    assert (matcher.leaks([text, None, '']) == [[7], [], []]) == expected
 
 
 def test_rows(spark):

@@ -53,3 +53,11 @@ def test_pairs_of_rows(spark):
     df = spark.createDataFrame([(1, "BMS"), (2, "BMS"), (3, "ＢMS"), (4, None), (5, "x"), (6, "x"), (7, ""), (8, " ")], "record_id long, title string")
     assert rows(lookalike.same_reading_pairs(df, "record_id", "title")) == [(1, 3), (2, 3), (7, 8)]
     assert rows(lookalike.same_reading_pairs(df.limit(0), "record_id", "title")) == []
+
+
+def test_whole_scripts_that_copy_latin_letters(spark):
+    for pair in lookalike.COPIES.split():
+        assert len(pair) == 2 and lookalike.mapping()[pair[0]] == pair[1], pair
+    assert all(lookalike.mapping()[c] == '"' for c in "ʼʹ") and lookalike.mapping()["─"] == "-"
+    df = spark.createDataFrame([(1, "ꓐꓟꓢ"), (2, "BMS"), (3, "ⲂⲘS"), (4, "ᗷᗰS"), (5, "bms"), (6, "ᴠᴏꮯ"), (7, "voc")], "i long, t string")
+    assert rows(lookalike.same_reading_pairs(df, "i", "t")) == [(1, 2), (1, 3), (1, 4), (2, 3), (2, 4), (3, 4), (6, 7)]

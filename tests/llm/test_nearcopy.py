@@ -61,12 +61,14 @@ def test_thresholds_keep_the_bound():
     import math
 
     for records, estimates in ((1e5, [{0: 10.0, 1: 1e6}] * 64), (1e3, [{0: 1.0, 1: 2.0}] * 64), (1e6, [{0: 1e9, 1: 1e10}] * 8 + [{0: 5.0, 1: 1e5}] * 56)):
-        chosen = nearcopy.allocate(estimates, 4, records)
+        _, chosen = nearcopy.allocate(estimates, 4, records)
         missed = math.prod(1 - nearcopy.hit_probability(t, 4, nearcopy.SIMILARITY) for t in chosen if t >= 0)
         assert missed <= nearcopy.MISS * 1.05
     # parts that are costly are skipped while others reach the bound
     assert chosen[:8] == [-1] * 8
-    assert nearcopy.shape_of(10**5)[0] == 4 and nearcopy.shape_of(10**9)[0] > nearcopy.shape_of(10**7)[0]
+    # chance candidates grow with the square of the records, keys only with their number: more records take wider parts
+    least = lambda records: min(nearcopy.WIDTHS, key=lambda w: nearcopy.allocate([{0: records**2 * 20.0 ** (-w - 3), 1: records**2 * 20.0 ** (-w - 2)}] * nearcopy.shape_of(w)[1], w, records)[0])
+    assert least(1e4) == 4 and least(1e9) > 4
 
 
 def test_repetitive_texts_as_brute_force(spark):
@@ -85,8 +87,15 @@ def test_repetitive_texts_as_brute_force(spark):
 
 
 def test_five_values_as_brute_force(spark, monkeypatch):
-    monkeypatch.setattr(nearcopy, "FOUR_VALUES", 50)
     data = corpus(11)
-    assert nearcopy.shape_of(len(data)) == (5, 112)
+    monkeypatch.setattr(nearcopy, "WIDTHS", (5,))
     found = rows(nearcopy.similar_pairs(spark.createDataFrame(data, S), "record_id", "id", "title", "content_text"))
     assert found == brute(data) and len(found) > 20
+
+
+def test_hot_keys_meet_block_by_block(spark, monkeypatch):
+    monkeypatch.setattr(nearcopy, "HOT_KEY", 7)
+    r = random.Random(4)
+    data = [(i, r.getrandbits(3), k) for i in range(60) for k in ({1} if i % 3 else {1, i % 5 + 2})]
+    found = rows(nearcopy._meeting(spark.createDataFrame(data, "row long, bits long, key long")))
+    assert found == sorted({(a, b) for a, _, k in data for b, _, m in data if a < b and k == m})
