@@ -86,7 +86,11 @@ LATIN = (
     "reprehenderit sed sint sit sunt tempor ullamco ut velit veniam voluptate"
 )
 # one unit said over and over: a character five times, two or three characters or a word three times, a phrase twice
-REPEATS = r"(?=[一-龥])(?:(?P<a>[一-龥])(?P=a){4,}|(?P<b>[一-龥]{2,3})(?P=b){2,}|(?P<c>[一-龥]{4,8})(?P=c))|(?<![A-Za-z])(?P<d>[A-Za-z]{2,10})(?:[ ,](?P=d)){2,}(?![A-Za-z])"
+# a character that comes again within a phrase's length is looked for first, as most do not
+REPEATS = (
+    r"(?P<a>[一-龥])(?=[一-龥]{0,7}(?P=a))(?:(?P=a){4}|(?P<b>[一-龥])(?P=a)(?P=b)(?P=a)(?P=b)|(?P<c>[一-龥]{2})(?P=a)(?P=c)(?P=a)(?P=c)|(?P<e>[一-龥]{3,7})(?P=a)(?P=e))"
+    r"|(?=[A-Za-z])(?<![A-Za-z])(?P<d>[A-Za-z]{2,10}+)(?:[ ,](?P=d)){2,}(?![A-Za-z])"
+)
 QUOTED_BEFORE = "(?<![“‘「『\"'`])"
 QUOTED_AFTER = r"(?![”’」』\"'`]|\s?(?:写法|语法|标记|格式|变量|占位符|一类|字样|提示语|syntax|notation|marker|placeholder))"
 
@@ -150,15 +154,17 @@ PLACED_DEFAULT = "(?:" + "|".join([
     r"(?:NaN|undefined|null)(?=年|月|日|元|个|万|亿|%|％|小时|分钟)",
 ]) + ")"
 _WORDS = "|".join(LATIN.split())
-LATIN_RUN = r"(?<![A-Za-z])(?=[A-Za-z])(?i:(?:" + _WORDS + r")[\s.,]+){2}(?i:" + _WORDS + r")(?![A-Za-z])"
+LATIN_RUN = r"(?=[A-Za-z])(?<![A-Za-z])(?i:(?:" + _WORDS + r")[\s.,]+){2}(?i:" + _WORDS + r")(?![A-Za-z])"
 
 
 def holds_field(text: Column) -> Column:
     """A variable name or a hint to the writer stands in the text, neither quoted nor spoken about."""
-    # a plainer test first: most texts hold none of what every form needs
-    verbs = r"[填输插键补粘替完录更][写入充贴换善新][^【】\[\]［］<>〈〉（）()\n]{0,24}[】\]］>〉）)]"
-    inner = r"[{}«»]|@@|__|\[\[|<[%#a-z]|\[%|%[A-Za-z_.一-龥]{1,30}%|[\[<(](?i:insert|enter|your|add|type|replace)\b|" + verbs
-    hint = F.rlike(text, F.lit(r"(?=[{}«»@_\[<%(填输插键补粘替完录更])(?:" + inner + ")"))
+    # a plainer test first: most texts hold none of what every form needs (plain strings are found much faster than patterns)
+    inner = r"[{}«»]|@@|__|\[\[|<[%#a-z]|\[%|%[A-Za-z_.一-龥]{1,30}+%|[\[<(](?i:insert|enter|your|add|type|replace)\b"
+    hint = F.rlike(text, F.lit(r"(?=[{}«»@_\[<%(])(?:" + inner + ")"))
+    words = ["【", "［", "〈", "XXX", *(o + w for o in "[<" for w in ("请", "此处", "在此", "点击")), *(o + w for o in "（(" for w in ("请在此", "此处", "在此")), *(f"待{w}" for w in ("补充", "填写", "完善", "录入", "更新"))]
+    for word in words:
+        hint = hint | F.contains(text, F.lit(word))
     return hint & F.rlike(text, F.lit(FIELD))
 
 
@@ -169,7 +175,7 @@ def holds_default(text: Column) -> Column:
 
 def holds_filler(text: Column) -> Column:
     """A run of dummy text: three Latin dummy words in a row, or one unit over and over."""
-    typical = r"(?<![A-Za-z])(?=[LlIiDdAaCcEeTtVvNnUuMm])(?i:lorem|ipsum|dolore?|amet|consectetur|adipiscing|eiusmod|tempor|incididunt|labor(?:e|is)|aliqu(?:a|ip)|veniam|nostrud|ullamco|exercitation|nisi|magna|minim|commodo)(?![A-Za-z])"
+    typical = r"(?=[LlIiDdAaCcEeTtVvNnUuMm])(?<![A-Za-z])(?i:lorem|ipsum|dolore?|amet|consectetur|adipiscing|eiusmod|tempor|incididunt|labor(?:e|is)|aliqu(?:a|ip)|veniam|nostrud|ullamco|exercitation|nisi|magna|minim|commodo)(?![A-Za-z])"
     return (F.rlike(text, F.lit(typical)) & F.rlike(text, F.lit(LATIN_RUN))) | F.rlike(text, F.lit(re.sub(r"\(\?P=(\w)\)", r"\\k<\1>", REPEATS).replace("?P<", "?<")))
 
 
@@ -407,7 +413,7 @@ def residue(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", forms
     # exploding an array of one keeps the costly expression from being copied into every use of it
     once = read.select("id", "text", F.explode(F.array(kind)).alias("kind"))
     # a plainer test first, as most texts keep nothing of the kind
-    loose = F.rlike(text, F.lit("null|undefined|NaN|None|N/A|XX|××|object Object|[a-z0-9]_[a-z0-9]|[a-z][A-Z]")) & F.rlike(text, F.lit(LOOSE))
+    loose = F.rlike(text, F.lit("(?=[nuNX×oa-z0-9])(?:null|undefined|NaN|None|N/A|XX|××|object Object|[a-z0-9]_[a-z0-9]|[a-z][A-Z])")) & F.rlike(text, F.lit(LOOSE))
     judged = once.select("id", "kind", "text", F.when(F.col("kind").isNull() & loose, clause_slots(text)).alias("loose"))
     # of a page only its masked form is needed later, of other rows the text
     kept = judged.where("kind IS NOT NULL OR size(loose) > 0").select("id", "kind", F.when(F.col("kind") == "page", masked_page(text)).when(F.col("kind").isNotNull(), text).alias("text"), "loose")
