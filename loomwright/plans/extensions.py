@@ -49,7 +49,9 @@ def x_ranks(spark, d):
 
 
 def x_percentiles(spark, d):
-    return table(spark, d, "lineitem").groupBy("l_returnflag").agg(F.round(F.percentile("l_extendedprice", 0.5), 4).alias("median"), F.round(F.stddev_samp("l_quantity"), 6).alias("deviation"))
+    line = table(spark, d, "lineitem")
+    middle = relational.exact_percentile(line, ["l_returnflag"], "l_extendedprice", 0.5, "median").select("l_returnflag", F.round("median", 4).alias("median"))
+    return middle.join(line.groupBy("l_returnflag").agg(F.round(F.stddev_samp("l_quantity"), 6).alias("deviation")), "l_returnflag")
 
 
 def x_set_all(spark, d):
@@ -91,17 +93,8 @@ def x_json_props(spark, d):
 
 def x_nearest_vectors(spark, d):
     """For every vector whose id is divisible by 100, its five nearest by cosine among all vectors: a stated query set against all rows."""
-    rows = table(spark, d, "embeddings").select("vec_id", F.transform("embedding", lambda x: x.cast("double")).alias("v"))
-    norm = lambda v: F.sqrt(F.aggregate(v, F.lit(0.0), lambda a, x: a + x * x))
-    unit = rows.select("vec_id", F.transform("v", lambda x: x / norm(F.col("v"))).alias("u"))
-    queries = unit.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("u").alias("q"))
-    dot = F.aggregate(F.zip_with("q", "u", lambda a, b: a * b), F.lit(0.0), lambda a, x: a + x)
-    # queries are one row in a hundred and go out in bounded blocks only if they are few; else both sides are shuffled by block
-    blocks = 8
-    left = queries.withColumn("_b", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    right = unit.withColumn("_b", F.pmod("vec_id", F.lit(blocks)).cast("int"))
-    scored = left.join(right, "_b").where("query_id != vec_id").select("query_id", "vec_id", dot.alias("similarity"))
-    return relational.top_per_key(scored, ["query_id"], [F.desc("similarity"), F.asc("vec_id")], 5).select("query_id", "vec_id", F.round("similarity", 5).alias("similarity"), "n")
+    rows = table(spark, d, "embeddings")
+    return relational.nearest_vectors(rows, rows.where("vec_id % 100 = 0"), "vec_id", "embedding", 5).select("query_id", "vec_id", F.round("similarity", 5).alias("similarity"), "n")
 
 
 QUERIES = {f.__name__: f for f in (

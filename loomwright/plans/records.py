@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import unicodedata
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -328,6 +330,22 @@ _GROUPED = f"""
             length(regexp_replace(coalesce(content_text, ''), '{SP}+', '', 'g')) AS chars
           FROM policies p LEFT JOIN done ON done.id = p.id)"""
 _ORDER = "ORDER BY o1, o2, chars DESC, id, record_id"
+
+
+def _nfkc(name: str) -> str:
+    """NFKC in SQL for the blocks of compatibility characters that titles use: those made plain by rule, then NFC."""
+    blocks = ((0xA0, 0xBF), (0x2000, 0x206F), (0x2100, 0x218F), (0x2460, 0x24FF), (0x2F00, 0x2FDF), (0x3000, 0x303F), (0xF900, 0xFAFF), (0xFB00, 0xFB06), (0xFE10, 0xFE1F), (0xFE30, 0xFE6F), (0xFF00, 0xFFEF))
+    plain = {chr(c): unicodedata.normalize("NFKC", chr(c)) for low, high in blocks for c in range(low, high + 1)}
+    changed = {c: to for c, to in plain.items() if c != to}
+    quoted = lambda x: x.replace("'", "''")
+    single = {c: to for c, to in changed.items() if len(to) == 1}
+    sql = f"translate({name}, '{quoted(''.join(single))}', '{quoted(''.join(single.values()))}')"
+    for c, to in changed.items():
+        if len(to) > 1:
+            sql = f"replace({sql}, '{c}', '{quoted(to)}')"
+    return f"nfc_normalize({sql})"
+
+
 _URL = r"""
         SELECT record_id, u AS url, sha256(u) AS page_id FROM (SELECT record_id, regexp_extract(url, '^([^?#]*)', 1) || CASE WHEN q <> '' THEN '?' || q ELSE '' END AS u FROM (SELECT record_id, url,
             array_to_string(list_sort(list_filter(string_split(regexp_extract(url, '\?([^#]*)', 1), '&'), lambda p: p <> '' AND NOT starts_with(lower(p), 'utm_'))), '&') AS q FROM policies))"""
@@ -402,6 +420,8 @@ SQL = {
         SELECT count(*) FILTER (relevance = '直接相关') AS direct, count(*) FILTER (relevance = '间接相关') AS indirect, count(*) FILTER (relevance = '无关') AS unrelated,
             count(*) FILTER (relevance IS NULL OR relevance NOT IN ('直接相关', '间接相关', '无关')) AS undecided, count(*) FILTER (review_status = '待核查') AS to_check FROM h""",
     "dedup_canonical": f"WITH {_GROUPED} SELECT record_id, first_value(record_id) OVER (PARTITION BY k {_ORDER}) AS canonical_record, count(*) OVER (PARTITION BY k) AS members FROM g",
+    "dedup_canonical_nfkc": f"""
+        WITH {_GROUPED.replace("coalesce(title, '')", f"coalesce({_nfkc('title')}, '')")} SELECT record_id, first_value(record_id) OVER (PARTITION BY k {_ORDER}) AS canonical_record, count(*) OVER (PARTITION BY k) AS members FROM g""",
     "dedup_groups": f"""
         WITH {_GROUPED} SELECT first(id {_ORDER}) AS canonical_id, string_agg(id, '|' {_ORDER}) AS member_ids, string_agg(coalesce(url, ''), '|' {_ORDER}) AS urls FROM g GROUP BY k HAVING count(*) > 1""",
     "dedup_summary": f"WITH {_GROUPED} SELECT count(DISTINCT k) AS groups, count(*) AS records, count(*) - count(DISTINCT k) AS merged FROM g",

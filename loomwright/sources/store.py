@@ -11,6 +11,9 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from loomwright.functions.text import iso_date
+from loomwright.functions.urls import absolute, normalize_url
+
 
 def _fs(spark: SparkSession, path: str):
     target = spark._jvm.org.apache.hadoop.fs.Path(path)
@@ -161,21 +164,26 @@ def slim_index(documents: DataFrame) -> DataFrame:
 
 
 def series(spark: SparkSession, path: str, point: str) -> DataFrame:
-    """The points of a curated series file: an object with an array ``series`` of ``point`` structs."""
+    """The points of a curated series file: an object with an array ``series`` of ``point`` structs; a missing file has none."""
+    if not exists(spark, path):
+        return spark.createDataFrame([], point.replace(":", " "))
     return spark.read.schema(f"series array<struct<{point}>>").option("multiLine", True).json(path).select(F.inline("series"))
 
 
 def json_list(pages: DataFrame, body: str, url: str) -> DataFrame:
-    """(page columns, link, title, list_date_raw) of list pages that are JSON with a ``datasource`` array.
+    """(page, link, title, list_date, list_date_raw) of list pages that are JSON with a ``datasource`` array.
 
     Titles lose their markup; without a link of its own an entry takes the first one in its title.
+    Links come out absolute and in their canonical form; entries without a public one are left out.
     """
     item = "array<struct<publishUrl:string,showTitle:string,title:string,publishTime:string>>"
     rows = pages.select(url, F.explode(F.from_json(body, f"datasource {item}")["datasource"]).alias("e"))
     shown = F.coalesce(F.nullif(F.col("e.showTitle"), F.lit("")), F.col("e.title"), F.lit(""))
     inner = F.nullif(F.regexp_extract(shown, r"href\s*=\s*[\"']([^\"']+)", 1), F.lit(""))
     bare = F.regexp_replace(shown, "<[^>]+>", "")
-    return rows.select(url, F.coalesce(F.nullif(F.col("e.publishUrl"), F.lit("")), inner).alias("link"), unescaped(bare).alias("title"), F.col("e.publishTime").alias("list_date_raw")).where("link IS NOT NULL")
+    given = F.coalesce(F.nullif(F.col("e.publishUrl"), F.lit("")), inner)
+    raw = F.col("e.publishTime")
+    return rows.select(url, normalize_url(absolute(F.col(url), given)).alias("link"), unescaped(bare).alias("title"), iso_date(raw).alias("list_date"), raw.alias("list_date_raw")).where("link IS NOT NULL")
 
 
 def unescaped(col: Column) -> Column:

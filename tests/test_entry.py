@@ -9,7 +9,7 @@ import __spark_entry__ as entry
 
 ROOT = Path(__file__).resolve().parents[1]
 SMALL = Path("/root/testdata/sf0.001")
-CORE = ["p5_found", "dedup_canonical", "keyword_screen", "version_history", "asof_all_days", "gap_segments", "x_star_join", "x_sessions", "json_store"]
+CORE = ["p5_found", "dedup_canonical", "keyword_screen", "version_history", "asof_all_days", "gap_segments", "x_star_join", "x_sessions", "json_store", "reading_index", "quality_violations", "column_progress", "html_attachments", "pdf_files"]
 
 
 def test_every_sql_has_its_query():

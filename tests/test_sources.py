@@ -243,9 +243,9 @@ def test_snapshots_and_logs(spark, tmp_path):
 
 
 def test_json_lists(spark):
-    body = '{"datasource": [{"showTitle": "<a href=\'/x\'>标题 &amp; 名</a>", "publishTime": "2026-01-02 03:04:05"}, {"title": "无链接"}, {"publishUrl": "/y", "title": "二"}]}'
-    df = spark.createDataFrame([("p", body), ("q", "broken"), ("r", None)], "page string, body string")
-    assert rows(store.json_list(df, "body", "page")) == [("p", "/x", "标题 & 名", "2026-01-02 03:04:05"), ("p", "/y", "二", None)]
+    body = '{"datasource": [{"showTitle": "<a href=\'/x\'>标题 &amp; 名</a>", "publishTime": "2026-01-02 03:04:05"}, {"title": "无链接"}, {"publishUrl": "/y", "title": "二"}, {"publishUrl": "javascript:x", "title": "三"}]}'
+    df = spark.createDataFrame([("https://s.example/l/i.html", body), ("https://s.example/q", "broken"), ("https://s.example/r", None)], "page string, body string")
+    assert [r[1:] for r in rows(store.json_list(df, "body", "page"))] == [("https://s.example/x", "标题 & 名", "2026-01-02", "2026-01-02 03:04:05"), ("https://s.example/y", "二", None, None)]
 
 
 def test_provider_cache(spark):
