@@ -93,8 +93,12 @@ def real_date(column: str) -> Column:
     return F.coalesce(shape & F.try_to_timestamp(F.when(shape, F.col(column)), F.lit("yyyy-MM-dd")).isNotNull(), F.lit(False))
 
 
-def policy_votes(policies: DataFrame, analyses: DataFrame) -> DataFrame:
-    """Long rows of the project's four fields, and of title and issuer, which go by votes alone."""
+#: The day by which votes are aged where the caller names none.
+VOTE_DAY = "2026-12-31 00:00:00"
+
+
+def policy_votes(policies: DataFrame, analyses: DataFrame, day: str = VOTE_DAY) -> DataFrame:
+    """Long rows of the project's four fields, and of title and issuer, which go by votes alone, aged up to ``day``."""
     checked = instant(F.col("last_checked_at"))
     status = ["complete", "partial", "image_only", "failed"]
     zero = F.lit(0)
@@ -106,7 +110,7 @@ def policy_votes(policies: DataFrame, analyses: DataFrame) -> DataFrame:
         Field("title", stripped("title")),
         Field("issuer", stripped("issuer")),
     ]
-    now = F.to_timestamp(F.lit("2026-12-31 00:00:00"))
+    now = F.to_timestamp(F.lit(day))
     rows = long_rows(policies, "id", "record_id", fields, trust, checked, now)
     done = F.when((F.col("status") == "complete") & F.col("interpretation").isNotNull(), "interpreted").when(F.col("status") != "complete", F.col("status"))
     read = analyses.withColumn("_done", done)
@@ -122,9 +126,9 @@ def best_rows(policies: DataFrame, analyses: DataFrame) -> DataFrame:
     return pivoted(won, ["text", "date", "analysis", "title", "issuer"]).join(several, "key", "left_semi").withColumnRenamed("key", "id")
 
 
-def survivors(policies: DataFrame, analyses: DataFrame) -> DataFrame:
-    """One record for each id: every field from the row that won it."""
-    won = pivoted(winners(policy_votes(policies, analyses)), ["text", "date", "analysis", "title", "issuer"])
+def survivors(policies: DataFrame, analyses: DataFrame, day: str = VOTE_DAY) -> DataFrame:
+    """One record for each id: every field from the row that won it; votes are aged up to ``day``."""
+    won = pivoted(winners(policy_votes(policies, analyses, day)), ["text", "date", "analysis", "title", "issuer"])
     p = policies.select("record_id", "content_status", "content_text", "publish_date", "title", "issuer")
     take = lambda field, *columns: p.select(F.col("record_id").alias(field), *columns)
     return (
