@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 from collections.abc import Callable
+from itertools import takewhile
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,55 +12,59 @@ from pyspark.sql import functions as F
 from loomwright.operators import quality, series
 from loomwright.sources import store
 
-ENTRIES = "url string, title string, list_date string, list_date_raw string, page string, position int"
 Page = tuple[list[dict], str | None]
 
 
 class Checkpoint:
-    """What a discovery has read so far, as one published JSON text: pages visited, the next page, entries, whether it is complete.
+    """What a discovery has read so far, published page by page as one JSON text.
 
-    A checkpoint is valid for one configuration; another digest starts anew.
+    pages: the addresses read; found: entries by URL; upcoming: the next page; ended: why it ended, ''
+    while it has not.  It is valid for one configuration; another digest starts anew.
     """
 
     def __init__(self, spark: SparkSession, path: str, digest: str):
-        self.spark, self.path, self.digest = spark, path, digest
-        saved = store.read_snapshot(spark, path, "state string").first()
-        state = json.loads(saved["state"]) if saved else {}
-        fresh = {"digest": digest, "visited": [], "next": None, "entries": {}, "complete": False, "reason": None}
-        self.state = state if state.get("digest") == digest else fresh
+        self.spark, self.path = spark, path
+        row = store.read_snapshot(spark, path, "digest string, state string").where(F.col("digest") == digest).first()
+        self.digest = digest
+        self.pages, self.found, self.upcoming, self.ended = json.loads(row["state"]) if row else ([], {}, None, "")
 
-    def save(self) -> None:
-        store.write_snapshot(self.spark.createDataFrame([(json.dumps(self.state, ensure_ascii=False),)], "state string"), self.path)
+    def publish(self) -> None:
+        text = json.dumps([self.pages, self.found, self.upcoming, self.ended], ensure_ascii=False)
+        store.write_snapshot(self.spark.createDataFrame([(self.digest, text)], "digest string, state string"), self.path)
 
 
-def discover(checkpoint: Checkpoint, read: Callable[[str], Page], start: str, since: str, known: Callable[[str], bool] = lambda _: False, streak: int = 0) -> list[dict]:
+def trailing(flags: list[bool], before: int) -> int:
+    """Length of the run of true flags at the end, going on from a run of ``before`` if all are true."""
+    end = len(list(takewhile(bool, reversed(flags))))
+    return before + end if end == len(flags) else end
+
+
+def discover(point: Checkpoint, read: Callable[[str], Page], start: str, since: str, known: Callable[[str], bool] = lambda _: False, streak: int = 0) -> list[dict]:
     """Entries of a column's list pages, newest pages first, resumed where a run before stopped.
 
-    ``read`` gives a page's entries and the next page.  What a page told is saved before the next one
-    is read, so a crash repeats at most one page.  A page without entries and a page met twice are
-    errors.  It ends after a page with only entries dated before ``since``, after the page that
-    completes ``streak`` known entries in a row (0: never), or with the last page; undated entries
-    count as recent.  Pages follow one another, so this is a loop of one column's list pages.
+    ``read`` gives a page's entries and the next page.  What a page told is published before the next
+    one is read, so a crash repeats at most one page.  A page without entries and a page met twice are
+    errors.  It ends after a page that has nothing as recent as ``since``, after the page whose last
+    ``streak`` recent entries are known (0: never; a run may begin on the page before), or with the last
+    page; undated entries count as recent.  Each page names the next, so this is a loop over one
+    column's list pages.
     """
-    state = checkpoint.state
-    at, run = state["next"] or start, 0
-    while not state["complete"]:
-        if at in state["visited"]:
-            raise ValueError(f"pages lead in a circle: {at}")
-        found, following = read(at)
-        if not found:
+    run = 0
+    while not point.ended:
+        page = point.upcoming or start
+        if page in point.pages:
+            raise ValueError(f"pages lead in a circle: {page}")
+        entries, point.upcoming = read(page)
+        if not entries:
             raise ValueError("a list page without entries cannot end a discovery")
-        for entry in found:
-            if entry["list_date"] and entry["list_date"] < since:
-                continue
-            run = run + 1 if known(entry["url"]) else 0
-            state["entries"][entry["url"]] = entry
-        old = all(e["list_date"] and e["list_date"] < since for e in found)
-        reason = "before_since" if old else "known_streak" if streak and run >= streak else None if following else "end"
-        state.update(visited=[*state["visited"], at], next=following, complete=reason is not None, reason=reason)
-        checkpoint.save()
-        at = following
-    return list(state["entries"].values())
+        recent = [e for e in entries if (e["list_date"] or since) >= since]
+        run = trailing([known(e["url"]) for e in recent], run)
+        point.pages.append(page)
+        point.found |= {e["url"]: e for e in recent}
+        ends = {"before_since": not recent, "known_streak": 0 < streak <= run, "end": not point.upcoming}
+        point.ended = next((why for why, holds in ends.items() if holds), "")
+        point.publish()
+    return list(point.found.values())
 
 
 def update_series(spark: SparkSession, path: str, fetch: Callable[[], DataFrame], as_of: str, attempts: int = 2, **rules) -> DataFrame:

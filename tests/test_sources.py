@@ -148,17 +148,17 @@ def test_discovery_resumes_and_ends(spark, tmp_path):
     with pytest.raises(OSError):
         updates.discover(updates.Checkpoint(spark, path, "a"), lambda at: read(at, "p2"), "p0", "2026-06-01")
     saved = updates.Checkpoint(spark, path, "a")
-    assert saved.state["visited"] == ["p0", "p1"] and saved.state["next"] == "p2"
+    assert saved.pages == ["p0", "p1"] and saved.upcoming == "p2"
     calls.clear()
     found = updates.discover(saved, read, "p0", "2026-06-01")
-    assert calls == ["p2", "p3", "p4"] and [e["url"] for e in found] == ["u00", "u01", "u10", "u11", "u20", "u21", "u30", "u31"] and saved.state["reason"] == "before_since"
+    assert calls == ["p2", "p3", "p4"] and [e["url"] for e in found] == ["u00", "u01", "u10", "u11", "u20", "u21", "u30", "u31"] and saved.ended == "before_since"
     assert updates.discover(updates.Checkpoint(spark, path, "a"), read, "p0", "2026-06-01") == found and calls == ["p2", "p3", "p4"]
     fresh = updates.Checkpoint(spark, path, "b")
     updates.discover(fresh, read, "p0", "2020-01-01", lambda u: u in ("u01", "u10", "u11"), 3)
-    assert fresh.state["reason"] == "known_streak" and fresh.state["visited"] == ["p0", "p1"]
+    assert fresh.ended == "known_streak" and fresh.pages == ["p0", "p1"]
     last = updates.Checkpoint(spark, path, "c")
     updates.discover(last, read, "p0", "2020-01-01")
-    assert last.state["reason"] == "end" and len(last.state["visited"]) == 5
+    assert last.ended == "end" and len(last.pages) == 5
     for bad in (lambda at: (pages["p0"][0], "p0"), lambda at: ([], None)):
         with pytest.raises(ValueError):
             updates.discover(updates.Checkpoint(spark, path, "d"), bad, "p0", "2020-01-01")
