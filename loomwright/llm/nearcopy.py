@@ -14,18 +14,27 @@ least work smallest.  Candidates of each part and threshold are estimated from t
 pairs among ``ESTIMATE_RECORDS`` records picked by hash; that bound concerns the estimate alone,
 every record is indexed and probed.
 
-Candidates are verified three times: while the index is probed, by 64 bits that travel with each
+Candidates are verified three times: while the index is probed, by 256 bits that travel with each
 key; by the share of equal sketch bytes (both bounds lie so far from the wanted similarity that a
 pair above it fails with a probability below 1e-4); then exactly on the windows of both texts.  Equal texts form
 one class beforehand, so copies meet neither in the index nor in verification; class pairs are
 expanded to records last, group by group of (class, id), never within one id.
 
+Chance candidates grow with the square of the records, so what is written for each of them decides the
+disk.  Only the two rows of a candidate that passes the bits are written.  The index is probed
+``ROUND_KEYS`` keys of each record at a time, and candidates meet their sketch bytes and their texts in
+slices of ``SLICE_PAIRS`` for each record; shuffle files of a round or slice are deleted when it is
+written (``freeing``).  All rounds and slices are done: they bound what lies on disk at one time, not
+what is compared.
+
 A key with more than ``HOT_KEY`` rows is cut into blocks of rows, and pairs of blocks meet, so that no
 task compares more than ``HOT_KEY`` rows with as many.
 
 These bounds take the places of a sketch as independent, which they are not where a text has few
 distinct windows (repetitive text).  Pairs with a text of fewer than ``PART_WINDOWS`` for each part take an
-exact way instead: sets that overlap enough share a window among the first of each in hash order.
+exact way instead: sets that overlap enough share a window among the first of each in any one order.  The
+order takes windows that are common among the estimate's records last; it sets cost, not results.  As
+such pairs can be many, ``planned`` counts them as work of the width that needs them.
 
 Defined results: null or short texts match nothing; a null title counts as ''; rows without an id
 pair with nothing; ties at the
@@ -36,8 +45,11 @@ columns are not read.
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
+from contextlib import contextmanager
+from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomwright.session import materialise, no_white
@@ -55,14 +67,22 @@ ESTIMATE_RECORDS = 4000
 #: Work of one key (written, shuffled, sorted) in units of one candidate pair.
 KEY_COST = 0.5
 
-#: Most of the 64 travelling bits in which a pair may differ.
-BITS_APART = 25
+#: Travelling bits, the low bits of the kept bytes, as longs of 64.
+BITS = 256
+#: Standard deviations by which a pair of the wanted similarity may differ in more bits than it should (7e-6 fail).
+BITS_SPREAD = 4.5
+#: Keys of each record that are shuffled at one time.
+ROUND_KEYS = 16
+#: Candidates for each record that are laid beside their bytes or texts at one time.
+SLICE_PAIRS = 2
 #: Ids up to this number (16 MB) are broadcast after they were counted; more are joined by shuffle.
 BROADCAST_IDS = 2_000_000
-#: Bytes of a sketch that are kept for the second test.
-BYTES = 256
+#: Bytes of a sketch that are kept for the second test; the low bits of all are the travelling bits.
+BYTES = BITS
 #: Windows for each part below which a text's pairs are found exactly.
 PART_WINDOWS = 3
+#: Texts of the estimate that hold a window, from which it counts as common.
+COMMON = 5
 
 MASK = (1 << 64) - 1
 
@@ -186,14 +206,36 @@ def planned(texts: DataFrame, records: int, similarity: float) -> tuple[tuple[in
     plans = []
     for width in WIDTHS:
         shape = shape_of(width, similarity)
-        known = _sketches(texts, shape)
+        sizes, known = _sketches(texts, shape)
         if not known:
             return shape, [0] * shape[1]
-        plans.append((*allocate(estimated_candidates(known, records), width, records, similarity), shape))
+        work, thresholds = allocate(estimated_candidates(known, records), width, records, similarity)
+        # texts of few windows may meet any text that is not much longer
+        few = PART_WINDOWS * shape[1]
+        exact = sum(n < few for n in sizes) * sum(n <= few / similarity for n in sizes)
+        plans.append((work + exact * (records / len(known)) ** 2, thresholds, shape))
     _, thresholds, shape = min(plans, key=lambda p: p[0])
     return shape, thresholds
 
 
+@contextmanager
+def freeing(spark: SparkSession) -> Iterator[None]:
+    """Shuffle files of a query are deleted when it ends, not when the driver happens to collect its garbage."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
+
+
+def most_bits_apart(similarity: float) -> int:
+    """Most of the travelling bits in which a pair may differ: bits of values that differ are equal by chance half the time."""
+    differ = (1 - similarity) / 2
+    return int(BITS * differ + BITS_SPREAD * math.sqrt(BITS * differ * (1 - differ)))
+
+
 def _base(rows: DataFrame, row_id: str, group_id: str, title: str, body: str) -> DataFrame:
     """(row, own, text) of the rows long enough: title and body without white space."""
     read = rows.select(F.col(row_id).alias("row"), F.col(group_id).alias("own"), F.coalesce(no_white(F.col(title)), F.lit("")).alias("_t"), no_white(F.col(body)).alias("_b"))
@@ -201,8 +243,9 @@ def _base(rows: DataFrame, row_id: str, group_id: str, title: str, body: str) ->
 
 
 def _sketched(base: DataFrame, thresholds: list[int], shape: tuple[int, int]) -> DataFrame:
-    """(row, own, digest, keys, bits, bytes, size) of every row; Python sees each text once."""
+    """(row, own, digest, keys, bits0.., bytes, size) of every row; Python sees each text once."""
     row_type, own_type = base.schema["row"].dataType.simpleString(), base.schema["own"].dataType.simpleString()
+    longs = [f"bits{i}" for i in range(BITS // 64)]
 
     def run(batches):
         import hashlib
@@ -211,7 +254,7 @@ def _sketched(base: DataFrame, thresholds: list[int], shape: tuple[int, int]) ->
         import pyarrow as pa
 
         # spread over all hashes and places, as values at neighbouring places of one hash go together
-        few, many = (np.linspace(0, shape[0] * shape[1] - 1, n).astype(int) for n in (64, BYTES))
+        many = np.linspace(0, shape[0] * shape[1] - 1, BYTES).astype(int)
         for batch in batches:
             digests, probes, bits, small, sizes = [], [], [], [], []
             for text in batch.column(2).to_pylist():
@@ -220,29 +263,51 @@ def _sketched(base: DataFrame, thresholds: list[int], shape: tuple[int, int]) ->
                 sizes.append(len(own))
                 digests.append(hashlib.blake2b(text.encode(), digest_size=16).digest())
                 probes.append(keys(values, thresholds).view(np.int64))
-                bits.append(int(np.packbits((values.ravel()[few] & np.uint64(1)).astype(bool)).view(np.int64)[0]))
-                small.append((values.ravel()[many] & np.uint64(255)).astype(np.uint8).tobytes())
+                kept = (values.ravel()[many] & np.uint64(255)).astype(np.uint8)
+                bits.append(np.packbits(kept & 1).view(np.int64))
+                small.append(kept.tobytes())
             count = len(probes[0]) if probes else 0
             flat = np.concatenate(probes) if probes else np.zeros(0, dtype=np.int64)
             lists = pa.ListArray.from_arrays(pa.array(np.arange(len(digests) + 1, dtype=np.int32) * count), pa.array(flat))
+            apart = np.array(bits, dtype=np.int64).reshape(len(bits), len(longs))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(digests, pa.binary()), lists, pa.array(bits, pa.int64()), pa.array(small, pa.binary()), pa.array(sizes, pa.int64())], names=["row", "own", "digest", "keys", "bits", "bytes", "size"]
+                [batch.column(0), batch.column(1), pa.array(digests, pa.binary()), lists, *(pa.array(x) for x in apart.T.copy()), pa.array(small, pa.binary()), pa.array(sizes, pa.int64())],
+                names=["row", "own", "digest", "keys", *longs, "bytes", "size"],
             )
 
-    return base.mapInArrow(run, f"row {row_type}, own {own_type}, digest binary, keys array<bigint>, bits bigint, bytes binary, size bigint")
+    return base.mapInArrow(run, f"row {row_type}, own {own_type}, digest binary, keys array<bigint>, {', '.join(f'{x} bigint' for x in longs)}, bytes binary, size bigint")
 
 
-def _sketches(texts: DataFrame, shape: tuple[int, int]) -> list:
-    """The sketches of a bounded number of texts; they are made on the executors, only they (a few kB each) come to the driver."""
+def _sketches(texts: DataFrame, shape: tuple[int, int]) -> tuple[list[int], list]:
+    """(numbers of windows, sketches) of a bounded number of texts; they are made on the executors, only they (a few kB each) come to the driver."""
     import numpy as np
 
     def run(batches):
         import pyarrow as pa
 
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([pa.array([sketch(windows(t), shape).tobytes() for t in batch.column(0).to_pylist()], pa.binary())], names=["values"])
+            found = [windows(t) for t in batch.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array([len(w) for w in found], pa.int64()), pa.array([sketch(w, shape).tobytes() for w in found], pa.binary())], names=["size", "values"])
+
+    read = texts.mapInArrow(run, "size bigint, values binary").collect()
+    return [r["size"] for r in read], [np.frombuffer(r["values"], dtype=np.uint64).reshape(shape) for r in read]
 
-    return [np.frombuffer(r["values"], dtype=np.uint64).reshape(shape) for r in texts.mapInArrow(run, "values binary").collect()]
+
+def _common(texts: DataFrame, most: float):
+    """(windows, sorted; texts that hold each) of windows that are common among a bounded number of texts of at most ``most`` windows."""
+    import numpy as np
+
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        for batch in batches:
+            found = [w for w in map(windows, batch.column(0).to_pylist()) if len(w) <= most]
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.zeros(0, dtype=np.uint64), *found]).view(np.int64))], names=["key"])
+
+    counts = texts.mapInArrow(run, "key bigint").groupBy("key").count().where(F.col("count") >= COMMON).collect()
+    held = sorted((r["key"] & MASK, r["count"]) for r in counts)
+    return np.array([k for k, _ in held], dtype=np.uint64), np.array([n for _, n in held], dtype=np.int64)
 
 
 def _counted(ids: DataFrame) -> DataFrame:
@@ -265,13 +330,38 @@ def _alike(pairs: DataFrame, columns: tuple[str, str], verdict) -> DataFrame:
     return pairs.select("a", "b", *columns).mapInArrow(run, kinds)
 
 
-def _meeting(probes: DataFrame) -> DataFrame:
-    """(a, b), a < b: rows that share a key and whose travelling bits are close; probes: (row, bits, key).
+def _verified(pairs: DataFrame, values: DataFrame, verdict, name: str) -> DataFrame:
+    """(a, b) of the pairs whose two values pass ``verdict``; values: (row, value).
+
+    Each pair lies beside a value while it is shuffled, so pairs go slice by slice, by a hash of ``a``.
+    """
+    slices = max(1, math.ceil(pairs.count() / (SLICE_PAIRS * max(1, values.count()))))
+    passed = []
+    for k in range(slices):
+        own = lambda c: F.pmod(F.xxhash64(c), F.lit(slices)) == k  # noqa: B023, E731
+        left = values.where(own("row")).select(F.col("row").alias("a"), F.col("value").alias("x"))
+        both = pairs.where(own("a")).join(left, "a").join(values.select(F.col("row").alias("b"), F.col("value").alias("y")), "b")
+        passed.append(materialise(_alike(both, ("x", "y"), verdict), name))
+    return reduce(DataFrame.unionByName, passed)
+
+
+def _met(firsts: DataFrame, count: int, similarity: float) -> DataFrame:
+    """(a, b), a < b, each once: rows that share one of their ``count`` keys and whose travelling bits are close."""
+    rounds = max(1, math.ceil(count / ROUND_KEYS))
+    ends = [count * k // rounds for k in range(rounds + 1)]
+    bits = [c for c in firsts.columns if c.startswith("bits")]
+    met = [materialise(_meeting(firsts.select("row", *bits, F.explode(F.slice("keys", start + 1, end - start)).alias("key")), most_bits_apart(similarity)), "met") for start, end in zip(ends, ends[1:])]
+    return met[0] if rounds == 1 else materialise(reduce(DataFrame.unionByName, met).distinct(), "pairs")
+
+
+def _meeting(probes: DataFrame, apart: int = BITS) -> DataFrame:
+    """(a, b), a < b: rows that share a key and of whose travelling bits at most ``apart`` differ; probes: (row, bits.., key).
 
     Keys of more than ``HOT_KEY`` rows are joined block by block: a row belongs to one block of its key
     and is laid beside every block, so any two rows of the key meet once, in the pair of their blocks.
     """
-    close = F.bit_count(F.col("a.bits").bitwiseXOR(F.col("b.bits"))) <= BITS_APART
+    bits = [c for c in probes.columns if c.startswith("bits")]
+    close = reduce(lambda x, y: x + y, (F.bit_count(F.col(f"a.{c}").bitwiseXOR(F.col(f"b.{c}"))) for c in bits)) <= apart
     met = lambda x, y, on: x.alias("a").join(y.alias("b"), on & (F.col("a.row") < F.col("b.row")) & close).select(F.col("a.row").alias("a"), F.col("b.row").alias("b"))
     same = F.col("a.key") == F.col("b.key")
     sizes = probes.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > HOT_KEY)
@@ -281,20 +371,28 @@ def _meeting(probes: DataFrame) -> DataFrame:
     cold = probes.join(hot, "key", "left_anti")
     placed = probes.join(hot, "key").withColumn("own", F.pmod(F.xxhash64("row"), F.col("blocks")).cast("int"))
     beside = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    left = beside.select("row", "bits", "key", F.col("own").alias("x"), F.col("other").alias("y"))
-    right = beside.select("row", "bits", "key", F.col("other").alias("x"), F.col("own").alias("y"))
+    left = beside.select("row", *bits, "key", F.col("own").alias("x"), F.col("other").alias("y"))
+    right = beside.select("row", *bits, "key", F.col("other").alias("x"), F.col("own").alias("y"))
     blocks = same & (F.col("a.x") == F.col("b.x")) & (F.col("a.y") == F.col("b.y"))
     return met(cold, cold, same).unionByName(met(left, right, blocks)).distinct()
 
 
-def _first_windows(texts: DataFrame, similarity: float) -> DataFrame:
-    """(row, size, key): the windows of each text of which sets that overlap enough share one."""
+def _first_windows(texts: DataFrame, similarity: float, common) -> DataFrame:
+    """(row, size, key): the windows of each text of which sets that overlap enough share one, common windows last."""
+    known, counts = common
+
     def run(batches):
         import numpy as np
         import pyarrow as pa
 
+        def ordered(w):
+            if not len(known):
+                return w
+            at = np.minimum(np.searchsorted(known, w), len(known) - 1)
+            return w[np.argsort(np.where(known[at] == w, counts[at], 0), kind="stable")]
+
         for batch in batches:
-            found = [windows(t) for t in batch.column(1).to_pylist()]
+            found = [ordered(windows(t)) for t in batch.column(1).to_pylist()]
             first = [w[: len(w) - math.ceil(similarity * len(w) - 1e-9) + 1] for w in found]
             at = np.repeat(np.arange(len(found)), [len(w) for w in first])
             flat = np.concatenate(first).view(np.int64) if first else np.zeros(0, dtype=np.int64)
@@ -306,11 +404,17 @@ def _first_windows(texts: DataFrame, similarity: float) -> DataFrame:
 
 def similar_classes(rows: DataFrame, row_id: str, group_id: str, title: str, body: str, similarity: float = SIMILARITY) -> tuple[DataFrame, DataFrame]:
     """(members, links): (row, own, rep) of every long enough row, and (a, b), a < b, of linked classes."""
+    with freeing(rows.sparkSession):
+        return _similar_classes(rows, row_id, group_id, title, body, similarity)
+
+
+def _similar_classes(rows: DataFrame, row_id: str, group_id: str, title: str, body: str, similarity: float) -> tuple[DataFrame, DataFrame]:
     base = _base(rows, row_id, group_id, title, body)
     records = rows.count()
     share = min(1.0, ESTIMATE_RECORDS / max(1, records))
     picked = base.where(F.pmod(F.xxhash64("row"), F.lit(1_000_003)) < int(share * 1_000_003)).select("text").limit(2 * ESTIMATE_RECORDS)
-    shape, thresholds = planned(materialise(picked, "picked"), records, similarity)
+    picked = materialise(picked, "picked")
+    shape, thresholds = planned(picked, records, similarity)
 
     index = materialise(_sketched(base, thresholds, shape), "sketches")
     classes = index.groupBy("digest").agg(F.min("row").alias("rep"))
@@ -318,7 +422,7 @@ def similar_classes(rows: DataFrame, row_id: str, group_id: str, title: str, bod
     copies = members.where("row != rep").select("row")
     firsts = index.join(_counted(copies), "row", "left_anti")
 
-    pairs = _meeting(firsts.select("row", "bits", F.explode("keys").alias("key")))
+    pairs = _met(firsts, sum(shape[0] if t else 1 for t in thresholds if t >= 0), similarity)
     least = (similarity - 5 * math.sqrt(similarity * (1 - similarity) / BYTES)) * BYTES
 
     def sketch_alike(x, y):
@@ -326,17 +430,16 @@ def similar_classes(rows: DataFrame, row_id: str, group_id: str, title: str, bod
 
         return int((np.frombuffer(x, np.uint8) == np.frombuffer(y, np.uint8)).sum()) >= least
 
-    small = firsts.select("row", "bytes")
-    sketched = pairs.join(small.select(F.col("row").alias("a"), F.col("bytes").alias("x")), "a").join(small.select(F.col("row").alias("b"), F.col("bytes").alias("y")), "b")
-    likely = materialise(_alike(sketched, ("x", "y"), sketch_alike), "likely")
+    likely = _verified(pairs, firsts.select("row", F.col("bytes").alias("value")), sketch_alike, "likely")
 
     # texts of few windows: a partner that overlaps enough has at most so many more
     few = PART_WINDOWS * shape[1]
     if not firsts.where(F.col("size") < few).isEmpty():
         small = firsts.where(F.col("size") <= few / similarity).select(F.col("row").alias(row_id))
         read = rows.select(row_id, group_id, title, body).join(_counted(small), row_id, "left_semi")
-        first = materialise(_first_windows(_base(read, row_id, group_id, title, body).select("row", "text"), similarity), "first")
-        met = first.where(F.col("size") < few).alias("a").join(first.alias("b"), (F.col("a.key") == F.col("b.key")) & (F.col("a.row") != F.col("b.row")))
+        first = materialise(_first_windows(_base(read, row_id, group_id, title, body).select("row", "text"), similarity, _common(picked, few / similarity)), "first")
+        near = F.least("a.size", "b.size") >= similarity * F.greatest("a.size", "b.size") - 1e-9
+        met = first.where(F.col("size") < few).alias("a").join(first.alias("b"), (F.col("a.key") == F.col("b.key")) & (F.col("a.row") != F.col("b.row")) & near)
         exact = met.select(F.least("a.row", "b.row").alias("a"), F.greatest("a.row", "b.row").alias("b")).distinct()
         likely = materialise(likely.unionByName(exact).distinct(), "likely")
 
@@ -350,9 +453,8 @@ def similar_classes(rows: DataFrame, row_id: str, group_id: str, title: str, bod
     needed = likely.select(F.explode(F.array("a", "b")).alias("row")).distinct()
     # the rows are narrowed before their texts are stripped again
     again = rows.select(row_id, group_id, title, body).join(_counted(needed.withColumnRenamed("row", row_id)), row_id, "left_semi")
-    texts = materialise(_base(again, row_id, group_id, title, body).select("row", "text"), "texts")
-    both = likely.join(texts.select(F.col("row").alias("a"), F.col("text").alias("x")), "a").join(texts.select(F.col("row").alias("b"), F.col("text").alias("y")), "b")
-    return members, materialise(_alike(both, ("x", "y"), windows_alike), "links")
+    texts = materialise(_base(again, row_id, group_id, title, body).select("row", F.col("text").alias("value")), "texts")
+    return members, _verified(likely, texts, windows_alike, "links")
 
 
 def similar_pairs(rows: DataFrame, row_id: str, group_id: str, title: str, body: str, similarity: float = SIMILARITY) -> DataFrame:

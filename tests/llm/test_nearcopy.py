@@ -99,3 +99,49 @@ def test_hot_keys_meet_block_by_block(spark, monkeypatch):
     data = [(i, r.getrandbits(3), k) for i in range(60) for k in ({1} if i % 3 else {1, i % 5 + 2})]
     found = rows(nearcopy._meeting(spark.createDataFrame(data, "row long, bits long, key long")))
     assert found == sorted({(a, b) for a, _, k in data for b, _, m in data if a < b and k == m})
+
+
+def patched(count, blocks, pool, chars, seed):
+    """Texts of some of a pool of blocks: any two share a fifth to a quarter of their windows, each pair others."""
+    r = random.Random(seed)
+    drawn = ["".join(chr(0x4E00 + r.randrange(20000)) for _ in range(chars)) for _ in range(pool)]
+    return [(i, f"id{i}", None, "".join(r.sample(drawn, blocks)), "r", "k", 1) for i in range(count)]
+
+
+def test_chance_candidates_are_dropped_while_the_index_is_probed(spark, monkeypatch):
+    data = patched(150, 12, 38, 40, 7)
+    beside, alike = [], nearcopy._alike
+
+    def counted(pairs, *rest):
+        beside.append(pairs.count())
+        return alike(pairs, *rest)
+
+    monkeypatch.setattr(nearcopy, "_alike", counted)
+    monkeypatch.setattr(nearcopy, "WIDTHS", (4,))
+    data.append((150, "copy", None, data[0][3][:-9], "r", "k", 1))
+    found = rows(nearcopy.similar_pairs(spark.createDataFrame(data, S), "record_id", "id", "title", "content_text"))
+    assert found == brute(data) and (0, 150) in found
+    # what is written for each candidate decides the disk: few of the 11,175 pairs may get so far
+    assert sum(beside) < 200
+
+
+def test_width_counts_the_pairs_it_needs_exactly(spark):
+    texts = spark.createDataFrame([(d[3],) for d in patched(300, 10, 23, 30, 8)], "text string")
+    # wider parts meet fewer by chance, but with their number of parts all of these texts have few windows
+    assert nearcopy.planned(texts, 4_000_000, nearcopy.SIMILARITY)[0][0] == 4
+
+
+def test_rounds_and_slices_as_brute_force(spark, monkeypatch):
+    for name, value in (("ROUND_KEYS", 7), ("SLICE_PAIRS", 0.1), ("HOT_KEY", 2)):
+        monkeypatch.setattr(nearcopy, name, value)
+    data = corpus(12)
+    found = rows(nearcopy.similar_pairs(spark.createDataFrame(data, S), "record_id", "id", "title", "content_text"))
+    assert found == brute(data) and len(found) > 20
+
+
+def test_shuffle_files_are_freed_by_each_write(spark, monkeypatch):
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before, seen, write = spark.conf.get(name, None), [], nearcopy.materialise
+    monkeypatch.setattr(nearcopy, "materialise", lambda df, label: seen.append(spark.conf.get(name, None)) or write(df, label))
+    nearcopy.similar_classes(spark.createDataFrame(corpus(13), S), "record_id", "id", "title", "content_text")
+    assert seen and set(seen) == {"true"} and spark.conf.get(name, None) == before
